@@ -37,12 +37,12 @@ def rates(cells: DataFrame) -> DataFrame:
 
 def macro_f1(df: DataFrame, by=(), y: str = "y", pred: str = "pred") -> DataFrame:
     """Mean of per-class F1 over the classes present in truth or prediction; any number of classes."""
-    cells = df.groupBy(*by, y, pred).agg(F.count(F.lit(1)).alias("c"))
-    truth = cells.select(*by, F.col(y).alias("cls"), F.col("c").alias("n_true"), F.lit(0).cast("long").alias("n_pred"),
-                         F.when(F.col(y) == F.col(pred), F.col("c")).otherwise(F.lit(0)).alias("hit"))
-    guess = cells.select(*by, F.col(pred).alias("cls"), F.lit(0).cast("long").alias("n_true"), F.col("c").alias("n_pred"),
-                         F.lit(0).cast("long").alias("hit"))
-    per = truth.unionByName(guess).groupBy(*by, "cls").agg(F.sum("n_true").alias("t"), F.sum("n_pred").alias("p"), F.sum("hit").alias("h"))
+    cells = df.groupBy(*by, y, pred).agg(F.count(F.lit(1)).alias("_c"))
+    truth = cells.select(*by, F.col(y).alias("_cls"), F.col("_c").alias("_nt"), F.lit(0).cast("long").alias("_np"),
+                         F.when(F.col(y) == F.col(pred), F.col("_c")).otherwise(F.lit(0)).alias("_hit"))
+    guess = cells.select(*by, F.col(pred).alias("_cls"), F.lit(0).cast("long").alias("_nt"), F.col("_c").alias("_np"),
+                         F.lit(0).cast("long").alias("_hit"))
+    per = truth.unionByName(guess).groupBy(*by, "_cls").agg(F.sum("_nt").alias("t"), F.sum("_np").alias("p"), F.sum("_hit").alias("h"))
     return per.groupBy(*by).agg(F.avg(ratio(2 * F.col("h"), F.col("t") + F.col("p"), 0)).alias("macro_f1"))
 
 

@@ -108,21 +108,32 @@ def fisher(df: DataFrame, vector: str, label: str, names, by=()) -> DataFrame:
     return fisher_from_moments(class_moments(df, vector, label, names, by), label, by)
 
 
-def davies_bouldin(df: DataFrame, vector: str, label: str) -> DataFrame:
-    """Mean over classes of the worst (s_i + s_j) / d_ij. Two passes over the rows; the class pairs are result-sized."""
-    centers = bounded(vector_summary(df, vector, [label]).select(F.col(label).alias("_cls"), F.col("mean").alias("center")), 10_000)
-    spread = (
-        df.join(centers, F.col(label) == F.col("_cls"))
-        .groupBy("_cls").agg(F.avg(euclidean(F.col(vector).cast("array<double>"), F.col("center"))).alias("s"),
-                             F.first("center").alias("center"))
-    )
-    # One row with all centers (classes, not rows): each class compares itself with that array.
-    every = spread.select("_cls", "s", "center", F.collect_list(F.struct("_cls", "s", "center")).over(
-        Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+def davies_bouldin(df: DataFrame, vector: str, label: str, prefixes=None) -> DataFrame:
+    """Mean over classes of the worst (s_i + s_j) / d_ij. Two passes over the rows; the class pairs are result-sized.
+
+    ``prefixes`` asks for the index of the first n components for several n at once: rows (n, davies_bouldin).
+    """
+    sizes = prefixes or [None]
+    centers = bounded(vector_summary(df, vector, [label]).select(F.col(label).alias("_cls"), F.col("mean").alias("_center")), 10_000)
+
+    def head(c, n):
+        return c if n is None else F.slice(c, 1, n)
+
+    v = F.col(vector).cast("array<double>")
+    spread = df.join(centers, F.col(label) == F.col("_cls")).groupBy("_cls").agg(
+        *[F.avg(euclidean(head(v, n), head(F.col("_center"), n))).alias(f"_s{i}") for i, n in enumerate(sizes)],
+        F.first("_center").alias("_center"))
+    per = F.array(*[F.struct(F.lit(n).cast("int").alias("n"), F.col(f"_s{i}").alias("_s"), head(F.col("_center"), n).alias("_c"))
+                    for i, n in enumerate(sizes)])
+    long = spread.select("_cls", F.inline(per))
+    # One array with all centers (classes, not rows) per n: each class compares itself with it.
+    whole = Window.partitionBy("n").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    every = long.withColumn("_all", F.collect_list(F.struct("_cls", "_s", "_c")).over(whole))
     worst = F.array_max(F.transform(
         F.filter("_all", lambda o: o["_cls"] != F.col("_cls")),
-        lambda o: F.try_divide(F.col("s") + o["s"], euclidean(F.col("center"), o["center"]))))
-    return every.agg(F.avg(worst).alias("davies_bouldin"))
+        lambda o: F.try_divide(F.col("_s") + o["_s"], euclidean(F.col("_c"), o["_c"]))))
+    out = every.groupBy("n").agg(F.avg(worst).alias("davies_bouldin"))
+    return out if prefixes else out.drop("n")
 
 
 def silhouette(sample: DataFrame, vector: str, label: str, max_rows: int = 5000) -> DataFrame:

@@ -52,21 +52,17 @@ def variance_gate(table: DataFrame, threshold: float = 0.85, check: bool = True)
 
 
 def simplex_grid(table: DataFrame, steps: int = 30) -> DataFrame:
-    """Every candidate at every admissible weight point (alpha, beta, gamma), numbered in grid order.
+    """Every candidate at every admissible weight point (alpha, beta, gamma) = (i, j, steps - i - j) / steps.
 
-    Weights are i/steps, j/steps and the rest; the grid is a constant array exploded next to each candidate.
+    ``point`` = i (steps + 1) + j orders the grid. The points are two sequences exploded next to each candidate.
     """
-    points = []
-    for i in range(steps + 1):
-        for j in range(steps + 1 - i):
-            a, b, c = i / steps, j / steps, (steps - i - j) / steps
-            if a >= MIN_ALPHA and b >= MIN_BETA and c <= MAX_GAMMA:
-                points.append((len(points), a, b, c))
-    grid = table.sparkSession.createDataFrame(points, "point int, alpha double, beta double, gamma double")
-    packed = grid.agg(F.sort_array(F.collect_list(F.struct("point", "alpha", "beta", "gamma"))).alias("_grid")).first()[0]
-    cells = F.array(*[F.struct(F.lit(p["point"]).alias("point"), F.lit(p["alpha"]).alias("alpha"),
-                               F.lit(p["beta"]).alias("beta"), F.lit(p["gamma"]).alias("gamma")) for p in packed])
-    return table.select("*", F.inline(cells))
+    unit = F.lit(float(steps))
+    rows = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("_i"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps) - F.col("_i"))).alias("_j"))
+    rows = rows.withColumns({
+        "point": F.col("_i") * (steps + 1) + F.col("_j"), "alpha": F.col("_i") / unit, "beta": F.col("_j") / unit,
+        "gamma": (F.lit(steps) - F.col("_i") - F.col("_j")) / unit})
+    return rows.filter((F.col("alpha") >= MIN_ALPHA) & (F.col("beta") >= MIN_BETA) & (F.col("gamma") <= MAX_GAMMA)).drop("_i", "_j")
 
 
 def objective(alpha: Column, beta: Column, gamma: Column) -> Column:

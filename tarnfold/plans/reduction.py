@@ -83,8 +83,8 @@ def ablation(cv_rows: DataFrame, names, label: str, k: int, n: int, fold: str, f
 
 
 def component_metrics(train: DataFrame, vector: str, label: str, n_values, reps: int = 2) -> DataFrame:
-    """V, S, DBI and Q for every n. One PCA serves all n: its first n axes are the n-axis solution, so Fisher scores come
-    from one pass and only the Davies-Bouldin distances are taken per n."""
+    """V, S, DBI and Q for every n. One PCA serves all n, because its first n axes are the n-axis solution: Fisher scores
+    and Davies-Bouldin distances of every n come from one pass each."""
     spark = train.sparkSession
     dim = len(vector_summary(train, vector).first()["mean"])
     n_values = [n for n in n_values if n <= dim]
@@ -95,10 +95,8 @@ def component_metrics(train: DataFrame, vector: str, label: str, n_values, reps:
     table = vector_summary(scored, "scores", [label])
     moments = per_feature(table, [label, "n"], ["mean", "var_pop"], names)
     fisher = {r["pos"]: r["fisher"] for r in scoring.fisher_from_moments(moments, label).collect()}  # one row per component
-    rows = []
-    for n in n_values:
-        dbi = scoring.davies_bouldin(scored.withColumn("scores", F.slice("scores", 1, n)), "scores", label).first()[0]
-        rows.append((n, float(sum(pca.ratio[:n])), sum(fisher[i] for i in range(n)) / n, float(dbi)))
+    dbi = {r["n"]: r["davies_bouldin"] for r in scoring.davies_bouldin(scored, "scores", label, n_values).collect()}
+    rows = [(n, float(sum(pca.ratio[:n])), sum(fisher[i] for i in range(n)) / n, dbi[n]) for n in n_values]
     out = spark.createDataFrame(rows, "n int, v_n double, s_n double, dbi double")
     return out.withColumn("q_n", search.gate_cost(F.col("n"), reps))
 
