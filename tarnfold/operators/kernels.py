@@ -46,8 +46,10 @@ def rbf_value(a: Column, b: Column, gamma: float) -> Column:
     return F.exp(F.lit(-gamma) * squared_distance(a, b))
 
 
-def phase_value(re_a: Column, im_a: Column, re_b: Column, im_b: Column) -> Column:
-    """Squared overlap of two phase expansions."""
+def phase_value(a: Column, b: Column, size: int) -> Column:
+    """Squared overlap of two states held as real parts followed by imaginary parts."""
+    re_a, im_a = F.slice(a, 1, size), F.slice(a, size + 1, size)
+    re_b, im_b = F.slice(b, 1, size), F.slice(b, size + 1, size)
     real = dot(re_a, re_b) + dot(im_a, im_b)
     imag = dot(re_a, im_b) - dot(im_a, re_b)
     return real * real + imag * imag

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["labels", "summaries", "sampling", "encoding", "scores", "search"]
+MODULES = ["labels", "summaries", "sampling", "encoding", "scores", "search", "kernels"]
 
 
 
