@@ -78,6 +78,8 @@ def _binomial_two_sided(small: pd.Series, total: pd.Series) -> pd.Series:
     def tail(k: float, n: float) -> float:
         if n == 0 or 2 * k >= n:
             return 1.0
+        if n <= 512:  # exact integers
+            return min(1.0, 2 * sum(math.comb(int(n), i) for i in range(int(k) + 1)) / 2 ** int(n))
         return min(1.0, 2.0 * beta_share(n - k, k + 1.0, 0.5))
 
     return _each(tail, small, total)

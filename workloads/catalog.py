@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["labels", "summaries", "sampling", "encoding", "scores", "search", "kernels"]
+MODULES = ["sources", "labels", "summaries", "sampling", "encoding", "scores", "search", "kernels", "metrics", "paired",
+           "classifiers", "shift", "checks"]
 
 
 
