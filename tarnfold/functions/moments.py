@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -56,17 +57,17 @@ def second_moments(df: DataFrame, vector: str, dim: int, by=(), shift=None, weig
             rows = batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim) - center
             rows = np.hstack([rows, np.ones((batch.num_rows, 1))])
             weights = batch.column("_w").to_numpy(zero_copy_only=False)
-            keys = list(zip(*[batch.column(n).to_pylist() for n in by])) if by else [()] * batch.num_rows
-            places: dict = {}
-            for at, k in enumerate(keys):
-                places.setdefault(k, []).append(at)
+            places = {(): slice(None)}
+            if by:
+                frame = pd.DataFrame({n: batch.column(n).to_pandas() for n in by})
+                places = {k if isinstance(k, tuple) else (k,): at for k, at in frame.groupby(by, sort=False).indices.items()}
             for k, at in places.items():
                 part = rows[at]
                 block = part.T @ (part * weights[at][:, None])
                 acc[k] = acc[k] + block if k in acc else block
         for k, block in acc.items():
             values = block[upper_i, upper_j]
-            cols = [pa.array([v] * len(values), type=t) for v, t in zip(k, types)]
+            cols = [pa.array([v] * len(values), type=kind) for v, kind in zip(k, types)]
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array(upper_i.astype("int32")), pa.array(upper_j.astype("int32")), pa.array(values)],
                 names=[*by, "i", "j", "s"])

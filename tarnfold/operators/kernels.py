@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tarnfold.functions.hashing import uniform
 from tarnfold.functions.moments import second_moments, vector_summary
 from tarnfold.functions.vectors import dot, squared_distance
-from tarnfold.session import bounded
+from tarnfold.session import bounded, settle
 
 #: Most reference rows a kernel row may be computed against.
 MAX_REFERENCE = 4096
@@ -203,57 +203,53 @@ def diagonal_check(rows: DataFrame, pos: str = "pos", k: str = "k", floor: float
 def map_statistics(df: DataFrame, phi: str, dim: int, y: str, by=()) -> DataFrame:
     """Alignment, label CKA, effective rank, block means, off-diagonal mean and variance of the full N x N kernel.
 
-    With M = sum phi phi' and s = sum phi: |K| = |M|, trace K = trace M, sum K = |s|^2, and class sums give the label
-    terms. The D x D blocks are summed per task before the shuffle.
+    With M = sum phi phi' and s = sum phi: |K| = |M|, trace K = trace M, sum K = |s|^2, and the class sums give the label
+    terms. One pass sums a block per class, with K_ii as an extra component; the rest works on those blocks.
     """
     by = list(by)
-    squares = df.select(*by, y, phi, dot(F.col(phi), F.col(phi)).alias("_kii"))
-    moments = second_moments(squares, phi, dim, by)
-    edge = F.lit(dim)
+    rows = df.select(*by, F.col(y).cast("int").alias("_y"), F.concat(F.col(phi), F.array(dot(F.col(phi), F.col(phi)))).alias("_z"))
+    blocks = settle(second_moments(rows, "_z", dim + 1, [*by, "_y"]))
+    one, own = F.lit(dim + 1), F.lit(dim)            # index of the constant and of K_ii
+    moments = blocks.groupBy(*by, "i", "j").agg(F.sum("s").alias("s"))
     double = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.lit(2.0))
-    inner = (F.col("i") < edge) & (F.col("j") < edge)
+    inner = F.col("j") < own
     total = moments.groupBy(*by).agg(
         F.sum(F.when(inner, double * F.col("s") * F.col("s"))).alias("k2"),
         F.sum(F.when(inner & (F.col("i") == F.col("j")), F.col("s"))).alias("trace"),
-        F.sum(F.when((F.col("i") < edge) & (F.col("j") == edge), F.col("s") * F.col("s"))).alias("ksum"),
-        F.sum(F.when((F.col("i") == edge) & (F.col("j") == edge), F.col("s"))).alias("n"))
-    # |M - n mu mu'|^2 needs mu' M mu: pair each M entry with the two sums it touches
-    sums = moments.filter((F.col("j") == edge) & (F.col("i") < edge)).select(*by, F.col("i").alias("_at"), F.col("s").alias("_sum"))
+        F.sum(F.when((F.col("i") < own) & (F.col("j") == one), F.col("s") * F.col("s"))).alias("ksum"),
+        F.sum(F.when((F.col("i") == own) & (F.col("j") == own), F.col("s"))).alias("diag2"),
+        F.sum(F.when((F.col("i") == one) & (F.col("j") == one), F.col("s"))).alias("n"))
+    # |M - n mu mu'|^2 needs mu' M mu: each M entry meets the two sums it touches
+    sums = moments.filter((F.col("j") == one) & (F.col("i") < own)).select(*by, F.col("i").alias("_at"), F.col("s").alias("_sum"))
     left = sums.select(*by, F.col("_at").alias("i"), F.col("_sum").alias("_si"))
     right = sums.select(*by, F.col("_at").alias("j"), F.col("_sum").alias("_sj"))
     cross = moments.filter(inner).join(left, [*by, "i"]).join(right, [*by, "j"]) \
         .groupBy(*by).agg(F.sum(double * F.col("s") * F.col("_si") * F.col("_sj")).alias("sms"))
-    classes = vector_summary(squares, phi, [*by, y])
-    scaled = classes.select(*by, y, "n", F.transform("mean", lambda v: v * F.col("n")).alias("_c"))
-    class_rows = scaled.groupBy(*by).agg(
-        F.sum(dot(F.col("_c"), F.col("_c"))).alias("within_sum"),
-        F.sum(F.col("n") * F.col("n")).alias("within_n"),
-        F.max(F.when(F.col(y) == 1, F.col("n"))).alias("n1"),
-        F.max(F.when(F.col(y) == 0, F.col("n"))).alias("n0"))
-    diag = squares.groupBy(*by).agg(F.sum(F.col("_kii") * F.col("_kii")).alias("diag2"))
-    out = _join_rows(_join_rows(_join_rows(total, cross, by), class_rows, by), diag, by)
+    classes = blocks.filter(F.col("j") == one).groupBy(*by, "_y").agg(
+        F.sum(F.when(F.col("i") < own, F.col("s") * F.col("s"))).alias("_cc"), F.sum(F.when(F.col("i") == one, F.col("s"))).alias("_n"))
+    labels = classes.groupBy(*by).agg(
+        F.sum("_cc").alias("within_sum"), F.sum(F.col("_n") * F.col("_n")).alias("within_n"),
+        F.sum(F.when(F.col("_y") == 1, F.col("_cc")).otherwise(-F.col("_cc"))).alias("ygap"),   # y' K 1
+        F.sum(F.when(F.col("_y") == 1, F.col("_n")).otherwise(-F.col("_n"))).alias("ysum"))
+    out = _join_rows(_join_rows(total, cross, by), labels, by)
     n, ks, within = F.col("n"), F.col("ksum"), F.col("within_sum")
     across_sum = ks - within                        # both orders of the two classes
     signed = within - across_sum                    # y' K y
     centered2 = F.col("k2") - F.lit(2.0) / n * F.col("sms") + ks * ks / (n * n)
-    n1, n0 = F.coalesce("n1", F.lit(0)), F.coalesce("n0", F.lit(0))
-    ybar = (n1 - n0) / n
-    # (y - ybar)' K (y - ybar), with y' K 1 = |c1|^2 - |c0|^2 expressed through the class sums
-    gap = _join_rows(out, scaled.groupBy(*by).agg(
-        F.sum(F.when(F.col(y) == 1, dot(F.col("_c"), F.col("_c"))).otherwise(-dot(F.col("_c"), F.col("_c")))).alias("ygap")), by)
-    label_mass = n - (n1 - n0) * (n1 - n0) / n
+    ybar = F.col("ysum") / n
+    label_mass = n - F.col("ysum") * F.col("ysum") / n
     off = n * (n - 1)
-    mean_off = (ks - F.col("trace")) / off
-    return gap.select(
+    mean_off = F.try_divide(ks - F.col("trace"), off)
+    return out.select(
         *by, n.cast("long").alias("n"),
         F.coalesce(F.try_divide(signed, F.sqrt("k2") * n), F.lit(0.0)).alias("alignment"),
         F.coalesce(F.try_divide(signed - F.lit(2.0) * ybar * F.col("ygap") + ybar * ybar * ks,
                                 F.sqrt(F.greatest(centered2, F.lit(0.0))) * label_mass), F.lit(0.0)).alias("label_cka"),
         F.try_divide(F.col("trace") * F.col("trace"), F.col("k2")).alias("effective_rank"),
-        F.try_divide(within, F.col("within_n").cast("double")).alias("within"),
-        F.try_divide(across_sum, (n * n - F.col("within_n")).cast("double")).alias("across"),
+        F.try_divide(within, F.col("within_n")).alias("within"),
+        F.try_divide(across_sum, n * n - F.col("within_n")).alias("across"),
         mean_off.alias("mean_off"),
-        ((F.col("k2") - F.col("diag2")) / off - mean_off * mean_off).alias("var_off"))
+        (F.try_divide(F.col("k2") - F.col("diag2"), off) - mean_off * mean_off).alias("var_off"))
 
 
 def _join_rows(a: DataFrame, b: DataFrame, by) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfold.functions.scalars import ratio
-from tarnfold.operators.ranking import Splits, running_totals, value_ranks
+from tarnfold.operators.ranking import Splits, running_totals, value_slots
 
 
 def confusion(df: DataFrame, by=(), y: str = "y", pred: str = "pred") -> DataFrame:
@@ -144,12 +144,11 @@ def group_accuracy(df: DataFrame, by, group: str, groups=None, y: str = "y", pre
 def reliability(df: DataFrame, by, prob: str, key, bins: int = 10, y: str = "y", seed: int = 0) -> DataFrame:
     """Equal-count bins by probability: max(n // bins, 1) rows each, the last one takes the rest.
 
-    Rows are ranked exactly through range buckets; equal probabilities follow the seeded hash of the key.
+    Equal probabilities follow the seeded hash of the key. Only rows of range buckets across a bin border are ranked.
     """
-    ranked = value_ranks(df.select(*by, *key, y, F.col(prob).cast("double").alias("_p")), by, "_p", key, seed)
-    width = F.greatest(F.floor(F.col("n_rows") / bins), F.lit(1))
-    slot = F.least(F.floor((F.col("rn") - 1) / width), F.lit(bins - 1)).cast("int")
-    return ranked.groupBy(*by, slot.alias("bin")).agg(
+    rows = df.select(*by, *key, y, F.col(prob).cast("double").alias("_p"))
+    binned = value_slots(rows, by, "_p", key, bins, seed, out="bin")
+    return binned.groupBy(*by, "bin").agg(
         F.avg("_p").alias("confidence"), F.avg(F.col(y).cast("double")).alias("rate"), F.count(F.lit(1)).alias("size")) \
         .withColumn("over_confident", F.col("rate") < F.col("confidence"))
 

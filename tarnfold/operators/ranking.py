@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfold.functions.hashing import hash_bucket, seeded_hash
-from tarnfold.session import bounded, parts_of
+from tarnfold.session import bounded, parts_of, settle
 
 #: Hash ranges per stratum in rank and cut searches.
 HASH_BUCKETS = 4096
@@ -78,20 +78,35 @@ def running_totals(table: DataFrame, by, order: str, sums, splits: Splits, desce
     )
 
 
+def _offsets(hist: DataFrame, by, buckets) -> DataFrame:
+    """Rows before each bucket and rows of the whole group, from a (by, buckets) -> _c table that is run once."""
+    hist = settle(hist)
+    before = Window.partitionBy(*by).orderBy(*buckets).rowsBetween(Window.unboundedPreceding, -1)
+    return bounded(hist.select(
+        *by, *buckets, "_c", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
+        F.sum("_c").over(Window.partitionBy(*by)).alias("_size")))
+
+
+def _hash_cut(df: DataFrame, by, key, seed, buckets: int):
+    hashed = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", hash_bucket(F.col("_h"), buckets))
+    return hashed, _offsets(hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c")), by, ["_b"])
+
+
+def _value_cut(df: DataFrame, by, value: str, key, seed, splits: Splits, tie_buckets: int):
+    hashed = splits.add_to(df.withColumn("_h", seeded_hash(key, seed)), value)
+    heavy = splits.is_heavy(F.col(value).cast("double"))
+    hashed = hashed.withColumn("_b", F.when(heavy, hash_bucket(F.col("_h"), tie_buckets)).otherwise(F.lit(0)))
+    hist = hashed.groupBy(*by, "_range", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    return hashed, _offsets(hist, by, ["_range", "_b"])
+
+
 def hash_ranks(df: DataFrame, by, key, seed=0, buckets: int = HASH_BUCKETS, rank: str = "rn",
                size: str | None = None) -> DataFrame:
     """Rank 1..n of every row inside ``by`` in the seeded shuffle order (hash, then key)."""
     by, key = list(by), list(key)
-    hashed = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", hash_bucket(F.col("_h"), buckets))
-    hist = hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hist.select(*by, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
-                          F.sum("_c").over(Window.partitionBy(*by)).alias("_size"))
+    hashed, offsets = _hash_cut(df, by, key, seed, buckets)
     inner = Window.partitionBy(*by, "_b").orderBy("_h", *key)
-    ranked = (
-        hashed.join(bounded(offsets), [*by, "_b"])
-        .withColumn(rank, (F.row_number().over(inner) + F.col("_off")).cast("long"))
-    )
+    ranked = hashed.join(offsets, [*by, "_b"]).withColumn(rank, (F.row_number().over(inner) + F.col("_off")).cast("long"))
     if size:
         ranked = ranked.withColumn(size, F.col("_size").cast("long"))
     return ranked.select(*df.columns, rank, *([size] if size else []))
@@ -101,21 +116,43 @@ def value_ranks(df: DataFrame, by, value: str, key, seed=0, splits: Splits | Non
                 size: str = "n_rows", tie_buckets: int = 64) -> DataFrame:
     """Rank 1..n inside ``by`` along ``value``; equal values follow the seeded hash of the key, then the key."""
     by, key = list(by), list(key)
-    splits = splits or Splits.of(df, value)
-    hashed = splits.add_to(df.withColumn("_h", seeded_hash(key, seed)), value)
-    hashed = hashed.withColumn(
-        "_b", F.when(splits.is_heavy(F.col(value).cast("double")), hash_bucket(F.col("_h"), tie_buckets)).otherwise(F.lit(0)))
-    hist = hashed.groupBy(*by, "_range", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*by).orderBy("_range", "_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hist.select(*by, "_range", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
-                          F.sum("_c").over(Window.partitionBy(*by)).alias("_size"))
+    hashed, offsets = _value_cut(df, by, value, key, seed, splits or Splits.of(df, value), tie_buckets)
     inner = Window.partitionBy(*by, "_range", "_b").orderBy(value, "_h", *key)
-    return (
-        hashed.join(bounded(offsets), [*by, "_range", "_b"])
-        .select(*df.columns,
-                (F.row_number().over(inner) + F.col("_off")).cast("long").alias(rank),
-                F.col("_size").cast("long").alias(size))
-    )
+    return hashed.join(offsets, [*by, "_range", "_b"]).select(
+        *df.columns, (F.row_number().over(inner) + F.col("_off")).cast("long").alias(rank), F.col("_size").cast("long").alias(size))
+
+
+def _slots(joined: DataFrame, columns, inner: Window, slots: int, out: str) -> DataFrame:
+    """Equal-count slot of each row: max(n // slots, 1) rows per slot, the last one takes the rest.
+
+    A bucket that lies inside one slot settles its rows as they are; only rows of buckets across a slot border are
+    shuffled and ranked, at most (slots - 1) buckets per group.
+    """
+    width = F.greatest(F.floor(F.col("_size") / F.lit(slots)), F.lit(1))
+
+    def slot(rank):
+        return F.least(F.floor((rank - 1) / width), F.lit(slots - 1)).cast("int")
+
+    first, last = slot(F.col("_off") + 1), slot(F.col("_off") + F.col("_c"))
+    sure = joined.filter(first == last).select(*columns, first.alias(out))
+    torn = joined.filter(first != last).withColumn("_rn", F.row_number().over(inner) + F.col("_off"))
+    return sure.unionByName(torn.select(*columns, slot(F.col("_rn")).alias(out)))
+
+
+def hash_slots(df: DataFrame, by, key, slots: int, seed=0, buckets: int = HASH_BUCKETS, out: str = "slot") -> DataFrame:
+    """Cut the seeded shuffle order of each group into equal slots 0..slots-1."""
+    by, key = list(by), list(key)
+    hashed, offsets = _hash_cut(df, by, key, seed, buckets)
+    return _slots(hashed.join(offsets, [*by, "_b"]), df.columns, Window.partitionBy(*by, "_b").orderBy("_h", *key), slots, out)
+
+
+def value_slots(df: DataFrame, by, value: str, key, slots: int, seed=0, splits: Splits | None = None, out: str = "slot",
+                tie_buckets: int = 64) -> DataFrame:
+    """Cut each group into equal slots along ``value``; equal values follow the seeded hash of the key, then the key."""
+    by, key = list(by), list(key)
+    hashed, offsets = _value_cut(df, by, value, key, seed, splits or Splits.of(df, value), tie_buckets)
+    inner = Window.partitionBy(*by, "_range", "_b").orderBy(value, "_h", *key)
+    return _slots(hashed.join(offsets, [*by, "_range", "_b"]), df.columns, inner, slots, out)
 
 
 def exact_quantiles(df: DataFrame, by, value: str, probs, names=None, splits: Splits | None = None) -> DataFrame:

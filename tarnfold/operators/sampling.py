@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfold.functions.hashing import hash_bucket, seeded_hash
-from tarnfold.operators.ranking import HASH_BUCKETS, hash_ranks
-from tarnfold.session import bounded
+from tarnfold.operators.ranking import HASH_BUCKETS, hash_ranks, hash_slots
+from tarnfold.session import bounded, settle
 
 
 def _whole(group) -> Window:
@@ -21,7 +21,8 @@ def _whole(group) -> Window:
 
 
 def stratum_counts(df: DataFrame, stratum: str, group=()) -> DataFrame:
-    return df.groupBy(*group, stratum).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per (group, stratum), run once."""
+    return settle(df.groupBy(*group, stratum).agg(F.count(F.lit(1)).alias("n")))
 
 
 # --- quotas -----------------------------------------------------------------------------------------------------
@@ -137,56 +138,72 @@ def plan_quotas(counts: DataFrame, n_samples, stratum: str, rare=(), min_rare: i
 
 # --- drawing ----------------------------------------------------------------------------------------------------
 
-def draw(df: DataFrame, quotas: DataFrame, stratum: str, key, seed=0, group=(), buckets: int = HASH_BUCKETS) -> DataFrame:
-    """The rows of a quota table; adds ``draw`` (1 for plain draws, the slot number for draws with replacement).
+class Lot:
+    """Rows of a table with their seeded hash and the (group, stratum, hash range) histogram, which is run once."""
+
+    def __init__(self, df: DataFrame, stratum: str, key, seed=0, group=(), buckets: int = HASH_BUCKETS):
+        self.df, self.stratum, self.key, self.seed, self.group = df, stratum, list(key), seed, list(group)
+        self.by = [*group, stratum]
+        self.hashed = df.withColumn("_h", seeded_hash([*group, *key], seed)).withColumn("_b", hash_bucket(F.col("_h"), buckets))
+        self.hist = settle(self.hashed.groupBy(*self.by, "_b").agg(F.count(F.lit(1)).alias("_c")))
+
+    def counts(self) -> DataFrame:
+        return settle(self.hist.groupBy(*self.by).agg(F.sum("_c").alias("n")))
+
+    def take(self, quotas: DataFrame) -> DataFrame:
+        """The rows of a quota table; adds ``draw`` (1 for plain draws, the slot number for draws with replacement).
+
+        A stratum whose quota exceeds its rows is drawn with replacement: slot s takes the row of rank 1 + hash(s) mod n.
+        Groups (runs, sizes) enter the hash, so they shuffle independently.
+        """
+        by, key = self.by, self.key
+        along = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        wanted = quotas.filter("quota > 0").withColumn(
+            "_ord", F.row_number().over(_whole(self.group).orderBy(self.stratum)).cast("long"))
+        wanted = bounded(wanted.select(*by, "n", "quota", "_ord"))
+        cuts = (
+            self.hist.withColumn("_before", F.coalesce(F.sum("_c").over(along), F.lit(0)))
+            .join(wanted, by)
+            .filter(F.col("_before") < F.col("quota"))
+            .groupBy(*by)
+            .agg(F.max("_b").alias("_cut"), F.max("_before").alias("_sure"), F.first("quota").alias("_quota"),
+                 F.first("n").alias("_n"), F.first("_ord").alias("_ord"))
+            .withColumn("_again", F.col("_quota") > F.col("_n"))
+        )
+        cuts = settle(cuts)
+        near = self.hashed.join(bounded(cuts), by).filter((F.col("_b") <= F.col("_cut")) | F.col("_again"))
+        # A stratum drawn with replacement has fewer rows than its quota, so one task may rank it.
+        lane = F.when(F.col("_again"), F.lit(-1)).otherwise(F.col("_b"))
+        near = near.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, lane).orderBy("_h", *key)).cast("long"))
+        near = near.filter(F.col("_again") | (F.col("_b") < F.col("_cut")) | (F.col("_rn") <= F.col("_quota") - F.col("_sure")))
+        if cuts.filter("_again").isEmpty():
+            return near.select(*self.df.columns, F.lit(1).cast("long").alias("draw"))
+        slots = cuts.filter("_again").select(
+            *by, "_n", "_ord", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_quota").cast("long"))).alias("_slot"))
+        picked = F.lit(1) + F.pmod(seeded_hash([*self.group, "_ord", "_slot"], self.seed), F.col("_n"))
+        slots = slots.select(*by, picked.alias("_rn"), "_slot").withColumn("_again", F.lit(True))
+        out = near.join(slots, [*by, "_again", "_rn"], "left").filter(~F.col("_again") | F.col("_slot").isNotNull())
+        return out.select(*self.df.columns, F.coalesce("_slot", F.lit(1)).cast("long").alias("draw"))
 
-    A stratum whose quota exceeds its rows is drawn with replacement: slot s takes the row of rank 1 + hash(s) mod n.
-    Groups (runs, sizes) enter the hash, so they shuffle independently.
-    """
-    by = [*group, stratum]
-    key = list(key)
-    hashed = df.withColumn("_h", seeded_hash([*group, *key], seed)).withColumn("_b", hash_bucket(F.col("_h"), buckets))
-    hist = hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    along = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = quotas.filter("quota > 0").withColumn(
-        "_ord", F.row_number().over(_whole(group).orderBy(stratum)).cast("long"))
-    cuts = (
-        hist.withColumn("_before", F.coalesce(F.sum("_c").over(along), F.lit(0)))
-        .join(wanted.select(*by, "n", "quota", "_ord"), by)
-        .filter(F.col("_before") < F.col("quota"))
-        .groupBy(*by)
-        .agg(F.max("_b").alias("_cut"), F.max("_before").alias("_sure"), F.first("quota").alias("_quota"),
-             F.first("n").alias("_n"), F.first("_ord").alias("_ord"))
-        .withColumn("_again", F.col("_quota") > F.col("_n"))
-    )
-    cuts = bounded(cuts)
-    near = hashed.join(cuts, by).filter((F.col("_b") <= F.col("_cut")) | F.col("_again"))
-    # A stratum drawn with replacement has fewer rows than its quota, so one task may rank it.
-    lane = F.when(F.col("_again"), F.lit(-1)).otherwise(F.col("_b"))
-    near = near.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, lane).orderBy("_h", *key)).cast("long"))
-    near = near.filter(F.col("_again") | (F.col("_b") < F.col("_cut")) | (F.col("_rn") <= F.col("_quota") - F.col("_sure")))
-    slots = cuts.filter("_again").select(
-        *by, "_n", "_ord", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_quota").cast("long"))).alias("_slot"))
-    slots = slots.select(*by, (F.lit(1) + F.pmod(seeded_hash([*group, "_ord", "_slot"], seed), F.col("_n"))).alias("_rn"), "_slot") \
-        .withColumn("_again", F.lit(True))
-    out = near.join(slots, [*by, "_again", "_rn"], "left")
-    out = out.filter(~F.col("_again") | F.col("_slot").isNotNull())
-    return out.select(*df.columns, F.coalesce("_slot", F.lit(1)).cast("long").alias("draw"))
+
+def draw(df: DataFrame, quotas: DataFrame, stratum: str, key, seed=0, group=(), buckets: int = HASH_BUCKETS) -> DataFrame:
+    """Draw a given quota table (group, stratum, n, quota)."""
+    return Lot(df, stratum, key, seed, group, buckets).take(quotas)
 
 
 def stratified_sample(df: DataFrame, n_samples: int, stratum: str, key, rare=(), min_rare: int = 0, mode: str = "pooled",
                       seed: int = 42, group=()) -> DataFrame:
     """Rare-aware sample of exactly ``n_samples`` rows (per group, if groups are given)."""
-    counts = stratum_counts(df, stratum, group)
-    return draw(df, plan_quotas(counts, n_samples, stratum, rare, min_rare, mode, group), stratum, key, seed, group)
+    lot = Lot(df, stratum, key, seed, group)
+    return lot.take(plan_quotas(lot.counts(), n_samples, stratum, rare, min_rare, mode, group))
 
 
 def cv_subset(df: DataFrame, n_samples: int, stratum: str, key, rare=(), rare_max_frac: float | None = None,
               seed: int = 42) -> DataFrame:
     """All rare rows (up to ``rare_max_frac`` of the size), the rest proportional, nothing drawn twice."""
     pool = df.withColumn("_pool", F.when(F.col(stratum).isin(list(rare)), F.lit("")).otherwise(F.col(stratum)))
-    counts = cv_quotas(stratum_counts(pool, "_pool"), n_samples, rare_max_frac)
-    return draw(pool, counts, "_pool", key, seed).drop("_pool", "draw")
+    lot = Lot(pool, "_pool", key, seed)
+    return lot.take(cv_quotas(lot.counts(), n_samples, rare_max_frac)).drop("_pool", "draw")
 
 
 def cv_quotas(counts: DataFrame, n_samples: int, rare_max_frac: float | None = None, stratum: str = "_pool") -> DataFrame:
@@ -202,7 +219,8 @@ def cv_quotas(counts: DataFrame, n_samples: int, rare_max_frac: float | None = N
 
 def sample_by_counts(df: DataFrame, wanted: dict, stratum: str, key, seed: int = 42, check: bool = True) -> DataFrame:
     """Exactly ``wanted[level]`` rows of each level, with replacement if short; a missing level is an error."""
-    counts = stratum_counts(df.filter(F.col(stratum).isin(list(wanted))), stratum)
+    lot = Lot(df.filter(F.col(stratum).isin(list(wanted))), stratum, key, seed)
+    counts = lot.counts()
     if check:
         found = {r[0] for r in counts.select(stratum).collect()}  # at most len(wanted) rows
         missing = [k for k in wanted if k not in found]
@@ -211,7 +229,7 @@ def sample_by_counts(df: DataFrame, wanted: dict, stratum: str, key, seed: int =
     quota = F.lit(0)
     for level, n in wanted.items():
         quota = F.when(F.col(stratum) == F.lit(level), F.lit(int(n))).otherwise(quota)
-    return draw(df, counts.withColumn("quota", quota.cast("long")), stratum, key, seed)
+    return lot.take(counts.withColumn("quota", quota.cast("long")))
 
 
 def balanced_sample(df: DataFrame, n_samples: int, label: str, key, seed: int = 42) -> DataFrame:
@@ -226,14 +244,15 @@ def binary_counts_sample(df: DataFrame, n_normal: int, n_attack: int, label: str
 
 def balanced_subset(df: DataFrame, size: int, label: str, key, seed: int = 42) -> DataFrame:
     """At most size/2 rows per class; room a short class leaves goes to the other one. Nothing drawn twice."""
-    counts = stratum_counts(df, label)
+    lot = Lot(df, label, key, seed)
+    counts = lot.counts()
     whole = _whole(())
     first = counts.withColumn("quota", F.least(F.col("n"), F.lit(size // 2).cast("long")))
     room = F.greatest(F.lit(size) - F.sum("quota").over(whole), F.lit(0))
     spare = first.withColumn("_spare", F.col("n") - F.col("quota")).withColumn("_room", room)
     fill = F.least("_room", F.sum("_spare").over(whole))
     quotas = allocate(spare, fill, label, ensure_min_one=False, weight="_spare", out="_extra")
-    return draw(df, quotas.select(label, "n", (F.col("quota") + F.col("_extra")).alias("quota")), label, key, seed).drop("draw")
+    return lot.take(quotas.select(label, "n", (F.col("quota") + F.col("_extra")).alias("quota"))).drop("draw")
 
 
 def prior_quotas(counts: DataFrame, label: str, share_attack: float) -> DataFrame:
@@ -250,23 +269,22 @@ def prior_quotas(counts: DataFrame, label: str, share_attack: float) -> DataFram
 
 
 def prior_subsample(df: DataFrame, share_attack: float, label: str, key, seed: int = 42) -> DataFrame:
-    return draw(df, prior_quotas(stratum_counts(df, label), label, share_attack), label, key, seed).drop("draw")
+    lot = Lot(df, label, key, seed)
+    return lot.take(prior_quotas(lot.counts(), label, share_attack)).drop("draw")
 
 
 def stratified_split(df: DataFrame, size: int, label: str, key, seed: int = 42) -> DataFrame:
     """A stratified subset of fixed size, proportional by largest remainder."""
-    quotas = allocate(stratum_counts(df, label), size, label, ensure_min_one=False)
-    return draw(df, quotas, label, key, seed).drop("draw")
+    lot = Lot(df, label, key, seed)
+    return lot.take(allocate(lot.counts(), size, label, ensure_min_one=False)).drop("draw")
 
 
 # --- runs and folds ---------------------------------------------------------------------------------------------
 
 def disjoint_slices(df: DataFrame, n_runs: int, key, seed: int = 0, out: str = "run") -> DataFrame:
-    """Shuffle and cut into ``n_runs`` equal slices 0..n-1; the last one takes the rest."""
-    ranked = hash_ranks(df, [], key, seed, rank="_rank", size="_all")
-    width = F.greatest(F.floor(F.col("_all") / F.lit(n_runs)), F.lit(1))
-    return ranked.withColumn(out, F.least(F.floor((F.col("_rank") - 1) / width), F.lit(n_runs - 1)).cast("int")) \
-        .drop("_rank", "_all")
+    """Shuffle and cut into ``n_runs`` equal slices 0..n-1; the last one takes the rest. Rows are not moved for it, except
+    those of the few hash ranges a slice border falls into."""
+    return hash_slots(df, [], key, n_runs, seed, out=out)
 
 
 def disjoint_runs(df: DataFrame, n_runs: int, run_size: int, stratum: str, key, rare=(), min_rare: int = 0,
@@ -286,10 +304,9 @@ def seeded_runs(df: DataFrame, n_runs: int, run_size: int, stratum: str, key, ra
 def size_ladder(df: DataFrame, sizes, stratum: str, key, rare=(), mode: str = "pooled", seed: int = 42) -> DataFrame:
     """Samples of several sizes at once; each rare minimum is max(5, size // 20)."""
     offered = df.withColumn("size", F.explode(F.array(*[F.lit(int(s)) for s in sizes])))
-    counts = stratum_counts(offered, stratum, ["size"])
+    lot = Lot(offered, stratum, key, seed, ["size"])
     floor = F.greatest(F.lit(5), F.floor(F.col("size") / 20))
-    quotas = plan_quotas(counts, F.col("size"), stratum, rare, floor, mode, ["size"])
-    return draw(offered, quotas, stratum, key, seed, ["size"])
+    return lot.take(plan_quotas(lot.counts(), F.col("size"), stratum, rare, floor, mode, ["size"]))
 
 
 def run_overlaps(df: DataFrame, key, run: str = "run") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tarnfold.functions.moments import per_feature, vector_summary
 from tarnfold.functions.tails import f_pvalue, t_pvalue
 from tarnfold.functions.vectors import euclidean
-from tarnfold.operators.ranking import Splits, running_totals
+from tarnfold.operators.ranking import Splits, average_ranks, running_totals
 from tarnfold.session import bounded
 
 
@@ -190,12 +190,26 @@ def _corr(df: DataFrame, vector: str, method: str):
     return Correlation.corr(vec, "_v", method).first()[0].toArray()
 
 
+def rank_vectors(df: DataFrame, vector: str, dim: int, out: str = "ranks") -> DataFrame:
+    """Each component replaced by its average rank: one value table per component, joined back on the value.
+
+    A component with few distinct values is broadcast, so hot values do not skew its join.
+    """
+    rows = df.select(*[F.col(vector)[i].cast("double").alias(f"_c{i}") for i in range(dim)])
+    ranked = rows
+    for i in range(dim):
+        table = average_ranks(rows, [], f"_c{i}").select(f"_c{i}", F.col("avg_rank").alias(f"_r{i}"))
+        ranked = ranked.join(bounded(table), f"_c{i}")
+    return ranked.select(F.array(*[F.col(f"_r{i}") for i in range(dim)]).alias(out))
+
+
 def spearman(df: DataFrame, vector: str, names, pvalues: bool = True) -> DataFrame:
-    """Spearman coefficients over average ranks, with two-sided p from Student's t on the result rows."""
-    n = df.count()
-    out = _matrix_rows(df.sparkSession, _corr(df, vector, "spearman"), names, "spearman")
+    """Spearman coefficients (Pearson of average ranks), with two-sided p from Student's t on the result rows."""
+    ranks = rank_vectors(df, vector, len(names))
+    out = _matrix_rows(df.sparkSession, _corr(ranks, "ranks", "pearson"), names, "spearman")
     if not pvalues:
         return out
+    n = df.count()
     rho = F.col("spearman")
     t = F.abs(rho) * F.sqrt(F.try_divide(F.lit(float(n - 2)), F.lit(1.0) - rho * rho))
     p = F.when(F.abs(rho) >= 1.0 - 1e-15, F.lit(0.0)).when(rho.isNotNull(), t_pvalue(t, F.lit(n - 2)))

@@ -28,23 +28,36 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "tar
     )
 
 
-def bounded(df: DataFrame, max_rows: int = BOUNDED_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows, else leave it distributed.
+def settle(df: DataFrame, max_rows: int = BOUNDED_ROWS) -> DataFrame:
+    """Run an aggregated side once and keep it as a one-partition local table if it has at most ``max_rows`` rows.
 
-    The rows are counted by fetching at most ``max_rows + 1`` of them, so the cost is bounded whatever the
-    size. Past the bound the plan falls back to a shuffle join, where adaptive execution splits hot keys.
+    At most ``max_rows + 1`` rows are fetched, so the cost is bounded whatever the size. Windows and joins over the
+    result need no shuffle. Past the bound the plan stays distributed as it was.
     """
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
         return df
     if rows.num_rows == 0:
-        return F.broadcast(df.sparkSession.createDataFrame([], df.schema))
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
+        return df.sparkSession.createDataFrame([], df.schema).coalesce(1)
+    return df.sparkSession.createDataFrame(rows, schema=df.schema).coalesce(1)
+
+
+def bounded(df: DataFrame, max_rows: int = BOUNDED_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows, else leave it to a shuffle join, where adaptive
+    execution splits hot keys."""
+    kept = settle(df, max_rows)
+    return kept if kept is df else F.broadcast(kept)
 
 
 def parts_of(spark: SparkSession) -> int:
-    """Number of range buckets for global orders: follows the session's shuffle width."""
-    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Number of range buckets for global orders: follows the session's shuffle width, 64 at least."""
+    return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before an iterative fit, when the source came in fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

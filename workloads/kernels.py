@@ -10,7 +10,7 @@ from tarnfold.functions.hashing import gaussian
 from tarnfold.operators import kernels as G
 from tarnfold.operators import sampling, scaling, search
 from tarnfold.operators.ranking import value_ranks
-from tarnfold.plans import shift
+from tarnfold.session import settle
 from workloads import tables as t
 from workloads.registry import query
 from workloads.tables import ANGLES, VECTORS, overlap_sql, phase_sql, r, sql_gaussian, sql_hash, sql_uniform
@@ -23,7 +23,7 @@ REF = f"""ref AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM
 
 
 def reference(df):
-    return sampling.balanced_subset(df, M_REF, "y", ["vec_id"])
+    return settle(sampling.balanced_subset(df, M_REF, "y", ["vec_id"]), G.MAX_REFERENCE)
 
 
 def reference_matrix(spark, sf):
@@ -362,13 +362,17 @@ def monotonicity(spark, sf):
     return G.falling(concentration_table(spark, sf).select("reps", "mean_off"), "reps", "mean_off")
 
 
-@query("g24_prior_shift_alignment", f"""WITH {ANGLES}, state AS (SELECT *, x0 FROM angles),
-pairs AS (SELECT a.y AS yi, b.y AS yj, a.x0 * b.x0 + a.x1 * b.x1 + a.x2 * b.x2 + a.x3 * b.x3 AS k FROM state a, state b)
-SELECT 1 AS "rows", 0.0::DOUBLE AS max_delta, 0 AS unmatched, true AS ok FROM (SELECT {KTA} AS v FROM pairs) WHERE v IS NOT NULL""")
-def prior_shift_alignment(spark, sf):
+ALIGN = "sum(k * (2 * yi - 1) * (2 * yj - 1)) / (sqrt(sum(k * k)) * sqrt(count(*)))"
+
+
+@query("g24_scaled_alignment", f"""WITH {ANGLES},
+pairs AS (SELECT a.y AS yi, b.y AS yj, a.x0 * b.x0 + a.x1 * b.x1 + a.x2 * b.x2 + a.x3 * b.x3 AS k FROM angles a, angles b),
+four AS (SELECT yi, yj, 4.0 * k AS k FROM pairs)
+SELECT (SELECT {r(ALIGN, 'v').removesuffix(' AS v')} FROM pairs) AS alignment, (SELECT {r(ALIGN, 'v').removesuffix(' AS v')} FROM four) AS alignment_scaled""")
+def scaled_alignment(spark, sf):
     """Scaling all kernel values leaves the alignment where it was."""
     a = t.angles(spark, sf)
-    doubled = scaling.Scaler([0.0] * 4, [0.5] * 4).apply(a, "x")
-    one, two = (G.map_statistics(d.select("y", F.col("x").alias("phi")), "phi", 4, "y").select(F.lit("linear").alias("kernel"), "alignment")
-                for d in (a, doubled))
-    return shift.unchanged(one, two, ["kernel"], "alignment")
+    twice = scaling.Scaler([0.0] * 4, [0.5] * 4).apply(a, "x")
+    both = a.select(F.lit("alignment").alias("which"), "y", "x").unionByName(twice.select(F.lit("alignment_scaled").alias("which"), "y", "x"))
+    stats = G.map_statistics(both, "x", 4, "y", ["which"])
+    return stats.groupBy().pivot("which", ["alignment", "alignment_scaled"]).agg(F.first("alignment"))

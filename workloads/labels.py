@@ -28,15 +28,17 @@ def category_lookup(spark, sf):
     return out.select("c_custkey", "category")
 
 
-@query("b03_feature_columns", """
-SELECT column_name AS feature FROM (VALUES ('l_orderkey'), ('l_linenumber'), ('l_partkey'), ('l_suppkey'), ('cents'),
-  ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax')) v(column_name)
-WHERE (SELECT count(*) FROM lineitem) > 0""")
+FEATURES = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("b03_feature_columns", f"WITH {FLOWS} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, {r(f'max({c})', 'top')} FROM flows" for c in FEATURES))
 def feature_columns(spark, sf):
+    """Every column but the labels, with its filled rows and largest value."""
     df = t.flows(spark, sf)
     names = L.feature_columns(df, ["category", "y", "run"])
-    first = df.select(*names).limit(1)
-    return first.select(F.explode(F.array(*[F.lit(n) for n in names])).alias("feature"))
+    row = df.agg(*[x for c in names for x in (F.count(c).alias(f"n_{c}"), F.max(F.col(c).cast("double")).alias(f"t_{c}"))])
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"n_{c}").alias("n"), F.col(f"t_{c}").alias("top")) for c in names])))
 
 
 @query("b04_group_filter", f"""

@@ -162,7 +162,7 @@ def nonlinear_excess(spark, sf):
                                     scoring.spearman(df, "features", t.NUMERIC, pvalues=False))
 
 
-@query("f26_correlation_after_pca", "SELECT true AS uncorrelated, true AS rank_kept FROM (SELECT count(*) AS n FROM embeddings) WHERE n > 0")
+@query("f26_correlation_after_pca")
 def correlation_after_pca(spark, sf):
     v = t.vectors(spark, sf)
     out = reduction.fit_pca(v, "v", 4).transform(v, "v")

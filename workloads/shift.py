@@ -8,7 +8,7 @@ from tarnfold.operators import metrics, sampling, scaling
 from tarnfold.plans import shift as S
 from workloads import tables as t
 from workloads.registry import query
-from workloads.sampling import counts, drawn
+from workloads.sampling import POOLED_SAMPLE, counts, drawn
 from workloads.summaries import RESULTS, results
 from workloads.tables import ANGLES, FLOWS, KEY, SCORED_LONG, SCORED_RARE, r, sql_gaussian
 
@@ -108,10 +108,8 @@ def invariance(spark, sf):
     return S.unchanged(one, two, ["run", "model", "sigma"], "f1")
 
 
-@query("k07_sample_is_partition_free", "SELECT 1000 AS n, 1000 AS common FROM (SELECT count(*) AS c FROM lineitem) WHERE c > 0")
-def sample_is_partition_free(spark, sf):
-    df = t.flows(spark, sf)
-    a = sampling.stratified_sample(df, 1000, "category", KEY, t.RARE, 30)
-    b = sampling.stratified_sample(df.repartition(13), 1000, "category", KEY, t.RARE, 30)
-    both = a.select(*KEY, "draw").join(b.select(*KEY, "draw"), [*KEY, "draw"])
-    return both.agg(F.count("*").alias("common")).withColumn("n", F.lit(1000))
+@query("k07_sample_of_shuffled_input", f"WITH {POOLED_SAMPLE} SELECT {', '.join(KEY)}, category, draw FROM sample")
+def sample_of_shuffled_input(spark, sf):
+    """The rows drawn do not depend on how the input is partitioned."""
+    df = t.flows(spark, sf).repartition(13)
+    return sampling.stratified_sample(df, 1000, "category", KEY, t.RARE, 50, "pooled", 42).select(*KEY, "category", "draw")
