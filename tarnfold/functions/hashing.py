@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIME = 2147483647  # 2**31 - 1
@@ -22,16 +22,28 @@ def as_col(value) -> Column:
     return F.col(value) if isinstance(value, str) else F.lit(value)
 
 
-def seeded_hash(values, seed=0) -> Column:
-    """Integer in [0, PRIME): a multiplicative fold of ``seed`` and ``values``, then x -> x**5 (a permutation mod PRIME)."""
+def _fold(values, seed) -> Column:
     acc = F.pmod(as_col(seed).cast("long"), F.lit(PRIME))
     for value in values:
         acc = (acc * F.lit(MULTIPLIER) + F.pmod(as_col(value).cast("long"), F.lit(PRIME)) + F.lit(12345)) % F.lit(PRIME)
+    return acc
+
+
+def seeded_hash(values, seed=0) -> Column:
+    """Integer in [0, PRIME): a multiplicative fold of ``seed`` and ``values``, then x -> x**5 (a permutation mod PRIME)."""
+    acc = _fold(values, seed)
     square = (acc * acc) % F.lit(PRIME)
     fourth = (square * square) % F.lit(PRIME)
     return (fourth * acc) % F.lit(PRIME)
 
 
+def with_hash(df: DataFrame, values, seed=0, name: str = "_h") -> DataFrame:
+    """``seeded_hash`` as a column, in three projections so that each step is computed once per row."""
+    folded = df.withColumn("_fold", _fold(values, seed)).withColumn("_square", (F.col("_fold") * F.col("_fold")) % F.lit(PRIME))
+    fourth = (F.col("_square") * F.col("_square")) % F.lit(PRIME)
+    return folded.withColumn(name, (fourth * F.col("_fold")) % F.lit(PRIME)).drop("_fold", "_square")
+
+
 def uniform(values, seed=0) -> Column:
     """Uniform double strictly inside (0, 1)."""
     return (seeded_hash(values, seed) + F.lit(0.5)) / F.lit(float(PRIME))

@@ -1,0 +1,85 @@
+"""Integer quotas of a few strata, as plain arithmetic on counted strata.
+
+Same rules as the table form in ``sampling`` (``allocate`` and the planning functions there), for the usual case of a
+strata table within the broadcast bound, where a chain of window plans would cost more than the sample itself.
+"""
+
+from __future__ import annotations
+
+import math
+
+
+def largest_remainder(weights: dict, total: int, ensure_min_one: bool = True) -> dict:
+    """Quotas that sum to ``total``: one each if the total covers all, floors of the proportional rest, leftovers to the
+    largest fractions (smaller name on ties)."""
+    live = sorted(k for k, w in weights.items() if w > 0)
+    out = dict.fromkeys(weights, 0)
+    if total <= 0 or not live:
+        return out
+    each = 1 if ensure_min_one and total >= len(live) else 0
+    rest = total - each * len(live)
+    mass = sum(weights[k] for k in live)
+    raw = {k: weights[k] * rest / mass for k in live}
+    for k in live:
+        out[k] = each + math.floor(raw[k])
+    short = total - sum(out.values())
+    for k in sorted(live, key=lambda s: (-(raw[s] - math.floor(raw[s])), s))[:short]:
+        out[k] += 1
+    return out
+
+
+def _floor(pool: dict, total: int) -> dict:
+    mass = sum(pool.values())
+    return {k: min(max(math.floor(n * total / mass), 1), n) for k, n in pool.items()}
+
+
+def _balanced(pool: dict, total: int) -> dict:
+    """Floors of at least one, then one step per stratum and round until the total fits."""
+    mass = sum(pool.values())
+    exact = {k: n * total / mass for k, n in pool.items()}
+    base = {k: max(math.floor(e), 1) for k, e in exact.items()}
+    part = {k: e - math.floor(e) for k, e in exact.items()}
+    gap = total - sum(base.values())
+    order = sorted(pool, key=(lambda k: (-part[k], k)) if gap > 0 else (lambda k: (part[k], k)))
+    while gap:
+        moved = False
+        for k in order:
+            if gap > 0 or (gap < 0 and base[k] > 1):
+                step = 1 if gap > 0 else -1
+                base[k] += step
+                gap -= step
+                moved = True
+            if not gap:
+                break
+        if not moved:
+            break
+    return {k: min(b, pool[k]) for k, b in base.items()}
+
+
+def plan(counts: dict, n: int, rare=(), min_rare: int = 0, mode: str = "pooled") -> dict:
+    """Quota of every stratum for a rare-aware sample of exactly ``n`` rows; modes as in ``sampling.plan_quotas``."""
+    rare_pool = {k: c for k, c in counts.items() if k in set(rare)}
+    other = {k: c for k, c in counts.items() if k not in rare_pool}
+    budget = min(n, min_rare * len(rare_pool)) if rare_pool else 0
+    if mode == "pooled":
+        out = largest_remainder(rare_pool, budget)
+    else:
+        out = largest_remainder(dict.fromkeys(rare_pool, 1), budget, False)
+    rest = n - budget
+    if mode in ("pooled", "per_category"):
+        out |= largest_remainder(other, rest)
+    elif rest > 0 and other:
+        out |= (_floor if mode == "floor" else _balanced)(other, rest)
+    else:
+        out |= dict.fromkeys(other, 0)
+    over = sum(out.values()) - n
+    for k in sorted(out, key=lambda s: (-out[s], s)):
+        cut = max(min(out[k], over), 0)
+        out[k] -= cut
+        over -= cut
+    spare = {k: max(counts[k] - out[k], 0) for k in counts}
+    miss = max(n - sum(out.values()), 0)
+    fill = min(miss, sum(spare.values()))
+    extra = largest_remainder(spare, fill, False)
+    again = largest_remainder(counts, miss - fill, False)
+    return {k: out[k] + extra[k] + again[k] for k in counts}

@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.functions.hashing import hash_bucket, seeded_hash
+from tarnfold.functions.hashing import hash_bucket, with_hash
 from tarnfold.session import bounded, parts_of, settle
 
 #: Hash ranges per stratum in rank and cut searches.
@@ -88,12 +88,12 @@ def _offsets(hist: DataFrame, by, buckets) -> DataFrame:
 
 
 def _hash_cut(df: DataFrame, by, key, seed, buckets: int):
-    hashed = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", hash_bucket(F.col("_h"), buckets))
+    hashed = with_hash(df, key, seed).withColumn("_b", hash_bucket(F.col("_h"), buckets))
     return hashed, _offsets(hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c")), by, ["_b"])
 
 
 def _value_cut(df: DataFrame, by, value: str, key, seed, splits: Splits, tie_buckets: int):
-    hashed = splits.add_to(df.withColumn("_h", seeded_hash(key, seed)), value)
+    hashed = splits.add_to(with_hash(df, key, seed), value)
     heavy = splits.is_heavy(F.col(value).cast("double"))
     hashed = hashed.withColumn("_b", F.when(heavy, hash_bucket(F.col("_h"), tie_buckets)).otherwise(F.lit(0)))
     hist = hashed.groupBy(*by, "_range", "_b").agg(F.count(F.lit(1)).alias("_c"))

@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.functions.hashing import hash_bucket, seeded_hash
+from tarnfold.functions.hashing import hash_bucket, seeded_hash, with_hash
+from tarnfold.operators import quotas as arithmetic
 from tarnfold.operators.ranking import HASH_BUCKETS, hash_ranks, hash_slots
-from tarnfold.session import bounded, settle
+from tarnfold.session import BOUNDED_ROWS, bounded, settle
 
 
 def _whole(group) -> Window:
@@ -86,17 +87,41 @@ def _top_up(quotas: DataFrame, n_samples: Column, stratum: str, group) -> DataFr
     return spare.select(*group, stratum, "n", (F.col("quota") + F.col("_extra") + F.col("_again")).alias("quota"))
 
 
-def plan_quotas(counts: DataFrame, n_samples, stratum: str, rare=(), min_rare: int = 0, mode: str = "pooled",
-                group=()) -> DataFrame:
+def plan_quotas(counts: DataFrame, n_samples, stratum: str, rare=(), min_rare=0, mode: str = "pooled", group=()) -> DataFrame:
     """Quota per stratum for a rare-aware sample of exactly ``n_samples`` rows.
 
     ``mode``: ``pooled`` gives the rare groups ``min_rare`` times their number, one each and the rest by count;
     ``per_category`` gives each ``min_rare``; ``floor`` and ``lrm_balanced`` are per_category with those roundings of
     the other groups, topped up to the exact size. ``n_samples`` and ``min_rare`` may be columns of ``counts``.
+
+    A strata table within the broadcast bound is planned by arithmetic on its counts, a larger one as a table.
     """
+    if mode not in ("pooled", "per_category", "floor", "lrm_balanced"):
+        raise ValueError(f"unknown mode {mode!r}")
     group = list(group)
     n_col = n_samples if isinstance(n_samples, Column) else F.lit(int(n_samples))
     m_col = min_rare if isinstance(min_rare, Column) else F.lit(int(min_rare))
+    rows = counts.select(*group, stratum, "n", n_col.cast("long").alias("_n"), m_col.cast("long").alias("_m")) \
+        .limit(BOUNDED_ROWS + 1).collect()
+    if len(rows) > BOUNDED_ROWS:
+        return plan_quotas_table(counts, n_col, stratum, rare, m_col, mode, group)
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(tuple(r[g] for g in group), []).append(r)
+    out = []
+    for key, members in groups.items():
+        got = arithmetic.plan({r[stratum]: r["n"] for r in members}, members[0]["_n"], rare, members[0]["_m"], mode)
+        out += [(*key, r[stratum], r["n"], got[r[stratum]]) for r in members]
+    types = dict(counts.dtypes)
+    fields = ", ".join(f"`{c}` {types[c]}" for c in [*group, stratum])
+    return counts.sparkSession.createDataFrame(out, f"{fields}, n bigint, quota bigint").coalesce(1)
+
+
+def plan_quotas_table(counts: DataFrame, n_col: Column, stratum: str, rare=(), m_col: Column | None = None,
+                      mode: str = "pooled", group=()) -> DataFrame:
+    """``plan_quotas`` for any number of groups and strata, as windows over the counts."""
+    group = list(group)
+    m_col = F.lit(0) if m_col is None else m_col
     whole = _whole(group)
     base = counts.withColumn("_n", n_col.cast("long")).withColumn("_m", m_col.cast("long")) \
         .withColumn("_rare", F.col(stratum).isin(list(rare)) if rare else F.lit(False))
@@ -108,7 +133,7 @@ def plan_quotas(counts: DataFrame, n_samples, stratum: str, rare=(), min_rare: i
     if mode == "pooled":
         rare_q = allocate(rare_part, F.col("_budget"), stratum, group)
         other_q = allocate(other_part, F.col("_n") - F.col("_budget"), stratum, group)
-    elif mode in ("per_category", "floor", "lrm_balanced"):
+    else:
         rare_q = allocate(rare_part.withColumn("_one", F.lit(1)), F.col("_budget"), stratum, group,
                           ensure_min_one=False, weight="_one")
         rest = F.col("_n") - F.col("_budget")
@@ -123,8 +148,6 @@ def plan_quotas(counts: DataFrame, n_samples, stratum: str, rare=(), min_rare: i
                 other_q = other_q.join(sizes, group) if group else other_q.withColumn("_n", n_col.cast("long"))
             idle = other_part.filter(rest <= 0).withColumn("quota", F.lit(0).cast("long"))
             other_q = other_q.select(*keep).unionByName(idle.select(*keep))
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
     quotas = rare_q.select(*keep).unionByName(other_q.select(*keep))
     total = F.sum("quota").over(whole)
     # Only a floor sample whose ones outweigh the budget can exceed the size: trim from the largest strata.
@@ -144,7 +167,7 @@ class Lot:
     def __init__(self, df: DataFrame, stratum: str, key, seed=0, group=(), buckets: int = HASH_BUCKETS):
         self.df, self.stratum, self.key, self.seed, self.group = df, stratum, list(key), seed, list(group)
         self.by = [*group, stratum]
-        self.hashed = df.withColumn("_h", seeded_hash([*group, *key], seed)).withColumn("_b", hash_bucket(F.col("_h"), buckets))
+        self.hashed = with_hash(df, [*group, *key], seed).withColumn("_b", hash_bucket(F.col("_h"), buckets))
         self.hist = settle(self.hashed.groupBy(*self.by, "_b").agg(F.count(F.lit(1)).alias("_c")))
 
     def counts(self) -> DataFrame:
