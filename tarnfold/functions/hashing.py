@@ -38,10 +38,14 @@ def seeded_hash(values, seed=0) -> Column:
 
 
 def with_hash(df: DataFrame, values, seed=0, name: str = "_h") -> DataFrame:
-    """``seeded_hash`` as a column, in three projections so that each step is computed once per row."""
-    folded = df.withColumn("_fold", _fold(values, seed)).withColumn("_square", (F.col("_fold") * F.col("_fold")) % F.lit(PRIME))
+    """``seeded_hash`` as a column, in three projections so that each step is computed once per row.
+
+    The result is never null, so the optimizer infers no null filters that would repeat the arithmetic below a join.
+    """
+    folded = df.withColumn("_fold", F.coalesce(_fold(values, seed), F.lit(0))) \
+        .withColumn("_square", (F.col("_fold") * F.col("_fold")) % F.lit(PRIME))
     fourth = (F.col("_square") * F.col("_square")) % F.lit(PRIME)
-    return folded.withColumn(name, (fourth * F.col("_fold")) % F.lit(PRIME)).drop("_fold", "_square")
+    return folded.withColumn(name, F.coalesce((fourth * F.col("_fold")) % F.lit(PRIME), F.lit(0))).drop("_fold", "_square")
 
 
 def uniform(values, seed=0) -> Column:
@@ -58,4 +62,4 @@ def gaussian(values, seed=0) -> Column:
 
 def hash_bucket(hashed: Column, buckets: int) -> Column:
     """Monotone bucket number of a hash value, 0 .. buckets - 1."""
-    return F.floor(hashed * F.lit(buckets) / F.lit(float(PRIME))).cast("int")
+    return F.coalesce(F.floor(hashed * F.lit(buckets) / F.lit(float(PRIME))).cast("int"), F.lit(0))
