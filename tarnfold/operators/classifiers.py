@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from tarnfold.functions.scalars import ratio
 from tarnfold.operators.metrics import macro_f1
-from tarnfold.session import spread
 
 
 @dataclass
@@ -56,7 +55,6 @@ def fit_margin(df: DataFrame, phi: str, label: str, c: float = 1.0, balanced: bo
     n = df.count()
     staged = df.select(array_to_vector(F.col(phi).cast("array<double>")).alias("_svc_in"), F.col(label).cast("double").alias("_svc_y"),
                        (class_weights(df, label) if balanced else F.lit(1.0)).alias("_svc_w"))
-    staged = spread(staged)
     svc = LinearSVC(featuresCol="_svc_in", labelCol="_svc_y", weightCol="_svc_w", rawPredictionCol="_svc_raw",
                     predictionCol="_svc_pred", regParam=1.0 / (c * n), standardization=False, maxIter=max_iter)
     return MarginModel(svc.fit(staged), n, c)

@@ -31,10 +31,16 @@ class Splits:
     @classmethod
     def of(cls, df: DataFrame, column: str, parts: int | None = None) -> "Splits":
         """Borders at approximate quantiles: one pass, ``parts - 1`` doubles on the driver."""
+        return cls.of_each(df, [column], parts)[0]
+
+    @classmethod
+    def of_each(cls, df: DataFrame, columns, parts: int | None = None) -> "list[Splits]":
+        """Borders of several columns from the same pass."""
         parts = parts or parts_of(df.sparkSession)
         probs = [i / parts for i in range(1, parts)]
-        points = df.select(F.col(column).cast("double").alias("v")).approxQuantile("v", probs, 1.0 / (4 * parts))
-        return cls(points)
+        names = [f"_q{i}" for i in range(len(columns))]
+        source = df.select(*[F.col(c).cast("double").alias(n) for c, n in zip(columns, names)])
+        return [cls(points) for points in source.approxQuantile(names, probs, 1.0 / (4 * parts))]
 
     def add_to(self, df: DataFrame, column: str, name: str = "_range") -> DataFrame:
         if not self.points:

@@ -75,10 +75,11 @@ def binned_mutual_information(df: DataFrame, columns, label: str, bins: int = 10
     column, then bins x classes counts.
     """
     out = None
+    borders = Splits.of_each(df, columns)
     for pos, c in enumerate(columns):
         table = df.groupBy(F.col(c).cast("double").alias("v"), label).agg(F.count(F.lit(1)).alias("c"))
         values = table.groupBy("v").agg(F.sum("c").alias("c"))
-        below = running_totals(values, [], "v", ["c"], Splits.of(df, c))
+        below = running_totals(values, [], "v", ["c"], borders[pos])
         binned = below.select("v", F.least(
             F.floor((F.col("cum_c") - F.col("c")) * F.lit(bins) / F.col("total_c")), F.lit(bins - 1)).alias("bin"))
         joint = table.join(binned, "v").groupBy("bin", label).agg(F.sum("c").alias("c")) \
@@ -197,8 +198,9 @@ def rank_vectors(df: DataFrame, vector: str, dim: int, out: str = "ranks") -> Da
     """
     rows = df.select(*[F.col(vector)[i].cast("double").alias(f"_c{i}") for i in range(dim)])
     ranked = rows
+    borders = Splits.of_each(rows, rows.columns)
     for i in range(dim):
-        table = average_ranks(rows, [], f"_c{i}").select(f"_c{i}", F.col("avg_rank").alias(f"_r{i}"))
+        table = average_ranks(rows, [], f"_c{i}", borders[i]).select(f"_c{i}", F.col("avg_rank").alias(f"_r{i}"))
         ranked = ranked.join(bounded(table), f"_c{i}")
     return ranked.select(F.array(*[F.col(f"_r{i}") for i in range(dim)]).alias(out))
 
