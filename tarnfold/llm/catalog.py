@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["simhash"]
+MODULES = ["simhash", "leaks"]
 
 
 def load() -> tuple[dict, dict]:
