@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["simhash", "leaks"]
+MODULES = ["simhash", "leaks", "pii"]
 
 
 def load() -> tuple[dict, dict]:
