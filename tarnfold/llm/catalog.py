@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["simhash", "leaks", "pii"]
+MODULES = ["simhash", "leaks", "pii", "tokencount", "packing"]
 
 
 def load() -> tuple[dict, dict]:
