@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["simhash", "leaks", "pii", "tokencount", "packing"]
+MODULES = ["simhash", "leaks", "pii", "tokencount", "packing", "quality"]
 
 
 def load() -> tuple[dict, dict]:
