@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["simhash", "leaks", "pii", "tokencount", "packing", "quality"]
+MODULES = ["simhash", "leaks", "pii", "tokencount", "packing", "quality", "toxicity"]
 
 
 def load() -> tuple[dict, dict]:
