@@ -3,7 +3,7 @@
 A page is cut into blocks at block-level tags. First pass: stop-word density, length and link density decide a block good or
 bad; a block inside a part that pages mark as something else (menu, form, sidebar, advert, notice, comments) is bad, and a
 part marked as the article needs no stop words, only few links. Short blocks without links stay open. Second pass: an open
-block takes the label of the nearest decided block before or after it, inside the article part first; between a good and a
+block takes the label of the nearest decided block before or after it, inside the article part if it stands there; between a good and a
 bad one equally near, a heading goes with what follows it and other text with what precedes it. With no decided block it is good.
 
 Good blocks are joined in page order by two line feeds; character references are decoded and white space inside a block becomes
@@ -157,21 +157,19 @@ def decide(blocks: list[Block]) -> None:
 
 
 def _neighbour(blocks: list[Block], first: list, k: int) -> bool:
-    for same in ((True, False) if blocks[k].inside else (False,)):
-        near = []
-        for step in (-1, 1):
-            i = k + step
-            while 0 <= i < len(blocks) and (first[i] is None or same and (not blocks[i].inside or blocks[i].other)):
-                i += step
-            near.append((abs(i - k), first[i]) if 0 <= i < len(blocks) else None)
-        before, after = near
-        if before or after:
-            if not before or not after:
-                return (before or after)[1]
-            if before[1] == after[1] or before[0] != after[0] and not blocks[k].heading:
-                return min(before, after)[1] if before[0] != after[0] else before[1]
-            return after[1] if blocks[k].heading else before[1]
-    return True
+    """The label of the nearest decided block; for a block inside the article part only blocks there count."""
+    near = []
+    for step in (-1, 1):
+        i = k + step
+        while 0 <= i < len(blocks) and (first[i] is None or blocks[k].inside and (not blocks[i].inside or blocks[i].other)):
+            i += step
+        near.append((abs(i - k), first[i]) if 0 <= i < len(blocks) else None)
+    before, after = near
+    if not before or not after:
+        return (before or after or (0, True))[1]
+    if before[0] != after[0]:
+        return min(before, after)[1]
+    return after[1] if blocks[k].heading else before[1]
 
 
 def main_text(page: str | None) -> str:
