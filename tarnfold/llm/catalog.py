@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["simhash", "leaks", "pii", "tokencount", "packing", "quality", "toxicity", "htmltext"]
+MODULES = ["simhash", "leaks", "pii", "tokencount", "packing", "quality", "toxicity", "htmltext", "vectors"]
 
 
 def load() -> tuple[dict, dict]:
