@@ -135,7 +135,7 @@ def decide(blocks: list[Block]) -> None:
     article = any(b.inside and not b.other for b in blocks)
     for b in blocks:
         size, share = len(b.text), b.linked / len(b.text)
-        if b.other or share > LINKS and not (b.inside and b.heading) or article and not b.inside or size < LONG and RIGHTS.search(b.text):
+        if b.other or share > LINKS and not (b.inside and b.heading) or article and not b.inside or size < LONG and not b.inside and RIGHTS.search(b.text):
             b.good = False
         elif size >= SHORT:
             words = [w.lower() for w in LETTERS.findall(b.text)]
