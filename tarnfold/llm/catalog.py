@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["simhash", "leaks", "pii", "tokencount", "packing", "quality", "toxicity", "htmltext", "vectors"]
+MODULES = ["simhash", "leaks", "pii", "tokencount", "packing", "quality", "toxicity", "htmltext", "vectors", "language_model"]
 
 
 def load() -> tuple[dict, dict]:
