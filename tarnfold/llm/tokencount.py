@@ -34,8 +34,10 @@ class PieceCounter:
         self.stable = not any(MARK in p.lstrip(MARK) for p in pieces)
 
     def counts(self, texts: list[bytes]) -> list[int]:
-        short = [i for i, t in enumerate(texts) if len(t) <= self.chunk or not self.stable]
-        out = dict(zip(short, map(len, self.model.encode([texts[i].decode() for i in short], num_threads=1)))) if short else {}
+        short, out = [i for i, t in enumerate(texts) if len(t) <= self.chunk or not self.stable], {}
+        for k in range(0, len(short), 200):
+            own = short[k:k + 200]
+            out.update(zip(own, map(len, self.model.encode([texts[i].decode() for i in own], num_threads=1))))
         return [out[i] if i in out else self.long_count(t) for i, t in enumerate(texts)]
 
     def _begins(self, text: bytes, a: int, b: int) -> np.ndarray:
