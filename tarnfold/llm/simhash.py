@@ -27,6 +27,8 @@ from tarnfold.llm.common import connected_components, keep, width
 
 #: Shingles hashed before their bits are summed.
 CHUNK = 1 << 15
+#: Rows of a shard part that are compared directly.
+SMALL = 64
 
 
 def text_fingerprint_sums(text: bytes | None, size: int, seed: int = 42):
@@ -76,15 +78,19 @@ def _signed(x: int) -> int:
 
 def tree_links(tree: np.ndarray, asks: np.ndarray, values: np.ndarray, root: np.ndarray, radius: int) -> None:
     """Ask a BK-tree over ``values[tree]`` for all of ``values[asks]`` at once; ``root`` (an index for each value) then
-    tells which values are connected. A node's items at one distance are its child on that edge."""
+    tells which values are connected. A node's items at one distance are its child on that edge. A branch whose items and
+    queries are all connected already is not entered."""
     stack = [(tree, asks)]
     while stack:
         items, queries = stack.pop()
+        one = root[items[0]]
+        if (root[items] == one).all() and (root[queries] == one).all():
+            continue
         node, rest = items[0], items[1:]
         far = np.bitwise_count(values[queries] ^ values[node])
         hits = root[queries[far <= radius]]
-        if len(hits) and (hits != root[node]).any():
-            own = np.unique(np.append(hits, root[node]))
+        if len(hits) and (hits != one).any():
+            own = np.unique(np.append(hits, one))
             root[np.isin(root, own)] = own[0]
         if len(rest):
             edge = np.bitwise_count(values[rest] ^ values[node])
@@ -94,16 +100,39 @@ def tree_links(tree: np.ndarray, asks: np.ndarray, values: np.ndarray, root: np.
                     stack.append((rest[edge == k], within))
 
 
-def shard_links(fps: np.ndarray, piece: np.ndarray, first: int, second: int, radius: int):
-    """Spanning links (a, b) between the pieces ``first`` (the tree) and ``second`` (the queries) of a shard."""
-    values = fps.view(np.uint64)
-    tree = np.flatnonzero(piece == first)
-    asks = tree if first == second else np.flatnonzero(piece == second)
-    root = np.arange(len(values))
-    if len(tree) and len(asks):
-        tree_links(tree, asks, values, root, radius)
-    linked = np.flatnonzero(root != np.arange(len(values)))
-    return fps[linked], fps[root[linked]]
+def hook(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join ``x[i]`` and ``y[i]`` for all i: each set's root is its lowest index afterwards."""
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low != high
+        if not apart.any():
+            return
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def shard_roots(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, second: np.ndarray, piece: np.ndarray, values: np.ndarray, radius: int) -> np.ndarray:
+    """A root for each row of shard parts that stand one after another. A part holds the pieces ``first`` (the tree) and
+    ``second`` (the queries). Parts of up to ``SMALL`` rows need no tree: row k is compared with rows k + 1, k + 2, ..."""
+    root, size = np.arange(len(values)), ends - starts
+    last = np.repeat(np.where(size <= SMALL, ends, 0), size)
+    at = np.flatnonzero(last)
+    for k in range(1, SMALL):
+        at = at[at + k < last[at]]
+        if not len(at):
+            break
+        near = at[np.bitwise_count(values[at] ^ values[at + k]) <= radius]
+        hook(root, near, near + k)
+    for a, b in zip(starts[size > SMALL], ends[size > SMALL]):
+        tree = a + np.flatnonzero(piece[a:b] == first[a])
+        asks = tree if first[a] == second[a] else a + np.flatnonzero(piece[a:b] == second[a])
+        if len(tree) and len(asks):
+            own = np.arange(b - a)
+            tree_links(tree - a, asks - a, values[a:b], own, radius)
+            root[a:b] = a + own
+    return root
 
 
 def fingerprint_links(nodes: DataFrame, radius: int, piece: int = 1024) -> DataFrame:
@@ -127,43 +156,46 @@ def fingerprint_links(nodes: DataFrame, radius: int, piece: int = 1024) -> DataF
             held = got if held is None else [np.concatenate(x) for x in zip(held, got)]
             change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in held[:4]], axis=0)) + 1
             if len(change):
-                yield from links(held, change[:-1] if len(change) > 1 else change[:0], change[-1])
+                yield links([c[:change[-1]] for c in held], np.concatenate([[0], change]))
                 held = [c[change[-1]:] for c in held]
         if held is not None and len(held[0]):
-            yield from links(held, [], len(held[0]))
+            yield links(held, np.array([0, len(held[0])]))
 
-    def links(cols, inner, end):
-        outs = [[], []]
-        for a, b in zip([0, *inner], [*inner, end]):
-            if b - a > 1:
-                for out, x in zip(outs, shard_links(cols[5][a:b], cols[4][a:b], cols[2][a], cols[3][a], radius)):
-                    out.append(x)
-        if outs[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in outs], ["a", "b"])
+    def links(cols, cuts):
+        _, _, first, second, pieces, fps = cols
+        root = shard_roots(cuts[:-1], cuts[1:], first, second, pieces, fps.view(np.uint64), radius)
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(fps[linked], pa.int64()), pa.array(fps[root[linked]], pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id) for every row: the smallest id of the rows that links reach."""
-    fps = keep(fingerprints(docs, size, id_col, text_col))
-    nodes = keep(fps.groupBy("fp").agg(F.min("id").alias("low")))
+def _components(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, component) of every distinct fingerprint."""
+    nodes = keep(fps.select("fp").distinct())
     parts = connected_components(fingerprint_links(nodes, radius)).withColumnRenamed("node", "fp")
-    grouped = nodes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lowest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    of_fp = grouped.join(lowest, "component").select("fp", "component_id")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return fps.join(of_fp, "fp").select(F.col("id").alias(id_col), hexed, "component_id")
+    return nodes.join(parts, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest id. Of repeated rows of one id one
-    stays (the least by text), and rows without an id stay only where their component has no id at all."""
-    found = near_duplicates(docs, size, radius, id_col, text_col)
-    stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    ids = stay.groupBy(id_col).agg(F.min("fingerprint").alias("_fp"))
-    tagged = docs.join(ids.withColumnRenamed(id_col, "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return tagged.dropDuplicates([id_col])
+def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint, component_id) for every row: the smallest id of the rows that links reach."""
+    fps = keep(fingerprints(docs, size, id_col, text_col))
+    of_fp = fps.groupBy("fp").agg(F.min("id").alias("low")).join(_components(fps, radius), "fp")
+    lowest = of_fp.groupBy("component").agg(F.min("low").alias("component_id"))
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return fps.join(of_fp.join(lowest, "component").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), hexed, "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, radius: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (rows without an id last). Rows equal in id and text count as
+    one. The default radius links texts that share four fifths of their five-word shingles, but for those of few words."""
+    row = F.xxhash64(F.col(id_col), F.col(text_col))
+    tagged = docs.withColumn("_simhash_row", row)
+    fps = keep(fingerprints(docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row.alias("row")).alias("id"), F.col(text_col).alias("text")),
+                            size, "id", "text"))
+    low = fps.groupBy("fp").agg(F.min("id").alias("low")).join(_components(fps, radius), "fp")
+    stay = low.groupBy("component").agg(F.min("low").alias("low")).select(F.col("low.row").alias("_simhash_row"))
+    return tagged.join(stay, "_simhash_row", "left_semi").dropDuplicates(["_simhash_row"]).drop("_simhash_row")
 
 
 QUERIES, ORACLES = {}, {}
