@@ -108,31 +108,31 @@ def _logit(share: float) -> float:
     return log(share / (1 - share))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **settings) -> RuleEnsemble:
-    """Learn from the labelled rows whose fold (crc32 of the id, modulo 5) is not 0."""
+def train_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", **settings) -> RuleEnsemble:
+    """Learn from the labelled rows whose fold (crc32 of the id, modulo 5) is not 0. ``stats``: statistics with the id; texts are
+    never shuffled to meet their labels."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")) \
         .agg((F.avg(label_col) >= 0.5).cast("int").alias("_y"))
-    train = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(fold_of("_id") != 0).join(known, "_id")
-    return fit_rules(keep(statistics(train, "_t", ("_y",))), "_y", **settings)
+    train = stats.filter(fold_of(id_col) != 0).join(known, F.col(id_col) == F.col("_id"))
+    return fit_rules(keep(train.select("_y", *FEATURES)), "_y", **settings)
 
 
-def score_quality(docs: DataFrame, model: RuleEnsemble, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score) for every row."""
-    rows = statistics(docs, text_col, (id_col,))
-    return rows.select(id_col, (fold_of(id_col) == 0).alias("held_out"), model.score().alias("score"))
+def score_quality(stats: DataFrame, model: RuleEnsemble, id_col: str = "doc_id") -> DataFrame:
+    """(id, held_out, score) for every row of statistics."""
+    return stats.select(id_col, (fold_of(id_col) == 0).alias("held_out"), model.score().alias("score"))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more."""
-    model = train_quality(docs, labels, id_col, text_col)
-    # statistics live in columns of this struct only, so no column of docs can clash with them
+    model = train_quality(statistics(docs.filter(fold_of(id_col) != 0), text_col, (id_col,)), labels, id_col)
+    # docs stay in one column, so that none of theirs can clash with the statistics
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_t"))
     return statistics(packed, "_t", ("_row",)).filter(model.score() >= least).select("_row.*")
 
 
 def op2_rule_ensemble(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = score_quality(docs, train_quality(docs, labels))
+    stats = keep(statistics(table(spark, sf_dir, "documents"), keep_cols=("doc_id",)))
+    scored = score_quality(stats, train_quality(stats, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
