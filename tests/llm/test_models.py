@@ -125,14 +125,21 @@ def test_rules_are_paths_of_trees(spark):
 
 
 def toy_labels(spark):
-    rows = [(i, f"an ordinary line number{i % 13} of text about thing{i % 7}" + (f" near{i} rotten{'' if i % 3 else ' vile'} person{i % 29}" if i % 4 == 0 else "")) for i in range(400)]
+    rng = np.random.default_rng(8)
+    pool = ["".join(rng.choice(list("abdegiklmnoprstu"), 6)) for _ in range(300)]
+    rows = []
+    for i in range(400):
+        words = list(rng.choice(pool, 20))
+        for k in range(2 * (i % 4 == 0)):
+            words.insert(int(rng.integers(1, 20)), ["rotten", "vile"][k])
+        rows.append((i, " ".join(words)))
     return rows, spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
 
 
 def test_toxic_spans(spark):
     rows, labels = toy_labels(spark)
     model = toxicity.train_toxicity(docs(spark, rows), labels)
-    assert "rotten" in model.word and "ordinary" not in model.word
+    assert {"rotten", "vile"} <= set(model.word) and all(w.rstrip("^") in ("rotten", "vile") or w.rstrip("^") in "rotten vile" for w in model.word)
     test = [(1, "Well, ROTTEN!! and\nvile things"), (2, "nothing here"), (3, None), (4, ""), (5, "123 !!"), (None, "rotten"), (1, "rottenness"), (7, "calm " * 20000 + "rotten vile rotten" + " calm" * 20000)]
     out = toxicity.tag_toxic(docs(spark, test), model).collect()
     by = sorted(((str(r.doc_id), round(r.score, 3), [(s.start, s.end) for s in r.spans]) for r in out), key=str)
@@ -183,7 +190,7 @@ def brute_spans(text):
 
 TRICKY = ["a@b.c_d@e.f", "x@y.z..w@v.u", "a@b", "a@b.", "é a@b.c.d, q@-.-", "1.2.3.4.5.6.7.8", "999.1.1.1 0001.02.003.4", "4111 1111 1111 1111", "4111  1111-1111--1111 4111-1111-1111-1111",
           "+1 (706) 555-3138 +12 3 +1234567890123456", "call +49 30 1234567 or 𝒳𝒴 +49 30 1234567", "12 " * 3000, "9" * 30000, "a.b." * 3000 + "@x.y", "q@" + "a." * 5000 + "b", "+1" * 500,
-          "IBAN DE89 3702 0044 0532 0130 00 GB82WEST12345698765432 DE00 1234 5678 9012 3456 78", "a@bc.d", "-1-2-3- 4-5--6", "a@b.c@d.e", "1.2.3.4.", "..a@b.c..", None, "", "4111111111111111 4111111111111111"]
+          "IBAN DE89 3704 0044 0532 0130 00 GB82WEST12345698765432 DE00 1234 5678 9012 3456 78", "a@bc.d", "-1-2-3- 4-5--6", "a@b.c@d.e", "1.2.3.4.", "..a@b.c..", None, "", "4111111111111111 4111111111111111"]
 
 
 def test_spans_equal_python_patterns(spark):
@@ -197,7 +204,7 @@ def test_spans_equal_python_patterns(spark):
         assert base == brute_spans(t or ""), t
         assert all((t or "")[s.start:s.end] == s.match for s in out[i].pii_spans)
     ibans = [s.match for s in out[TRICKY.index(next(t for t in TRICKY if t and "IBAN" in t))].pii_spans if s.kind == "iban"]
-    assert ibans == ["DE89 3702 0044 0532 0130 00", "GB82WEST12345698765432"]
+    assert ibans == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
     assert pii.find_spans(df.limit(0)).count() == 0
 
 
