@@ -17,7 +17,7 @@ HEADLINE = [
     "c01_label_distribution", "c03_run_summary", "c09_quartiles", "d02_rare_aware_sample", "d06_cv_subset", "d13_disjoint_runs",
     "d16_stratified_folds", "e01_frozen_one_hot", "e06_reduction_fit_apply", "e08_refit_per_run", "e09_gaussian_noise",
     "f01_anova_f", "f01_anova_f_vectors", "f03_mutual_information", "f11_fisher", "f12_davies_bouldin", "f22_pearson",
-    "f23_spearman", "f20_bootstrap_rows", "g01_linear_rows", "g09_map_statistics_phase", "g11_cka_maps", "g15_kernel_bootstrap",
+    "f23_spearman", "f20_bootstrap_rows", "g01_linear_rows", "g09_map_statistics_linear", "g11_cka_maps", "g15_kernel_bootstrap",
     "h01_linear_classifier", "i03_macro_f1", "i05_roc_auc", "i07_average_precision", "i13_calibration_error", "j03_mcnemar_statistic",
     "j08_mann_whitney", "k02_run_matrix", "k03_noise_sweep", "l01_sanity_suite",
 ]

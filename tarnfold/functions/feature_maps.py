@@ -1,7 +1,6 @@
 """Exact finite feature maps: kernel(x, z) = map(x) . map(z), so kernel statistics need sums over rows, not over pairs.
 
-Each map is one Arrow-batched function from a block of vectors to a block of mapped vectors. (The 256-term phase map
-written as column expressions makes methods beyond the JVM's size limit, and codegen is lost.)
+Polynomial and Fourier maps are Arrow-batched functions from a block of vectors to a block of mapped vectors.
 """
 
 from __future__ import annotations
@@ -42,58 +41,20 @@ def fourier_block(x: np.ndarray, freq: np.ndarray) -> np.ndarray:
     return np.hstack([np.cos(angle), np.sin(angle)]) / math.sqrt(len(freq))
 
 
-def phase_block(x: np.ndarray, reps: int = 2, pairs: bool = True) -> np.ndarray:
-    """Complex phase expansion of angle vectors: rows of 2**dim numbers.
-
-    Basis state b carries the phase sum of 2 x_i b_i, plus 2 (pi - x_i)(pi - x_j) where b_i and b_j differ when
-    ``pairs`` is set. Each repetition is a normalized sign-sum over the states followed by the phases.
-    """
-    dim = x.shape[1]
-    size = 2 ** dim
-    bits = (np.arange(size)[:, None] >> np.arange(dim)) & 1
-    theta = 2.0 * x @ bits.T
-    if pairs:
-        i, j = np.triu_indices(dim, 1)
-        theta = theta + 2.0 * ((math.pi - x[:, i]) * (math.pi - x[:, j])) @ (bits[:, i] ^ bits[:, j]).T
-    turn = np.exp(1j * theta)
-    signs = (-1.0) ** (bits @ bits.T) / math.sqrt(size)
-    state = turn / math.sqrt(size)
-    for _ in range(reps - 1):
-        state = (state @ signs) * turn
-    return state
-
-
-def overlap_block(state: np.ndarray) -> np.ndarray:
-    """Real map of the squared overlap |<a, b>|^2: the diagonal of the outer product, then sqrt 2 times its upper triangle."""
-    i, j = np.triu_indices(state.shape[1], 1)
-    cross = math.sqrt(2.0) * state[:, i] * state[:, j].conj()
-    return np.hstack([np.abs(state) ** 2, cross.real, cross.imag])
-
-
-def add_phase_state(df: DataFrame, vector: str, reps: int = 2, pairs: bool = True, out: str = "state") -> DataFrame:
-    """State of each angle vector as one array: real parts, then imaginary parts."""
-    def block(x):
-        s = phase_block(x, reps, pairs)
-        return np.hstack([s.real, s.imag])
-
-    return _block_column(df, vector, out, block)
-
-
 def add_map(df: DataFrame, kind: str, vector: str, dim: int, out: str = "phi", gamma: float | None = None,
-            coef0: float = 0.0, reps: int = 2, size: int = 256, seed: int = 42) -> tuple[DataFrame, int]:
-    """The map named ``kind`` (linear, poly, rbf, phase_pairs, phase_single) and its length.
+            coef0: float = 0.0, size: int = 256, seed: int = 42) -> tuple[DataFrame, int]:
+    """The map named ``kind`` (linear, poly, rbf) and its length. ``coef0`` is added to a linear kernel and before the square of
+    a polynomial one.
 
     ``rbf`` is approximate: its error falls as 1 / sqrt(size).
     """
     gamma = 1.0 / dim if gamma is None else gamma
     if kind == "linear":
-        return df.withColumn(out, F.col(vector).cast("array<double>")), dim
+        cells = F.col(vector).cast("array<double>")
+        return (df.withColumn(out, F.concat(cells, F.array(F.lit(math.sqrt(coef0))))), dim + 1) if coef0 else (df.withColumn(out, cells), dim)
     if kind == "poly":
         return _block_column(df, vector, out, lambda x: poly2_block(x, gamma, coef0)), poly2_size(dim, coef0)
     if kind == "rbf":
         freq = np.random.default_rng(seed).normal(0.0, math.sqrt(2.0 * gamma), (size // 2, dim))
         return _block_column(df, vector, out, lambda x: fourier_block(x, freq)), 2 * (size // 2)
-    if kind in ("phase_pairs", "phase_single"):
-        pairs = kind == "phase_pairs"
-        return _block_column(df, vector, out, lambda x: overlap_block(phase_block(x, reps, pairs))), 4 ** dim
     raise ValueError(f"unknown kernel {kind!r}")

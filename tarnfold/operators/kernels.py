@@ -1,22 +1,21 @@
 """Kernel statistics (inventory G).
 
-Two forms. The map form covers kernels with an exact finite map (linear, polynomial, phase): statistics of the N x N
+Two forms. The map form covers kernels with an exact finite map (linear, polynomial): statistics of the N x N
 matrix follow from sums over the N rows. The row form serves any kernel against a bounded set of reference rows
 (at most MAX_REFERENCE, checked): each row carries its kernel values as one array; no pair table is built.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.functions.hashing import uniform
+from tarnfold.functions.hashing import seeded_hash
 from tarnfold.functions.moments import second_moments, vector_summary
 from tarnfold.functions.vectors import dot, squared_distance
+from tarnfold.operators.ranking import value_ranks
 from tarnfold.session import bounded, settle
 
 #: Most reference rows a kernel row may be computed against.
@@ -46,15 +45,6 @@ def rbf_value(a: Column, b: Column, gamma: float) -> Column:
     return F.exp(F.lit(-gamma) * squared_distance(a, b))
 
 
-def phase_value(a: Column, b: Column, size: int) -> Column:
-    """Squared overlap of two states held as real parts followed by imaginary parts."""
-    re_a, im_a = F.slice(a, 1, size), F.slice(a, size + 1, size)
-    re_b, im_b = F.slice(b, 1, size), F.slice(b, size + 1, size)
-    real = dot(re_a, re_b) + dot(im_a, im_b)
-    imag = dot(re_a, im_b) - dot(im_a, re_b)
-    return real * real + imag * imag
-
-
 def label_value(a: Column, b: Column) -> Column:
     """Ideal kernel of 0/1 labels: +1 for equal ones, -1 otherwise."""
     return (F.lit(2) * a - F.lit(1)) * (F.lit(2) * b - F.lit(1))
@@ -74,21 +64,13 @@ def reference_rows(df: DataFrame, vector: str, order, label: str | None = None):
 
 def kernel_rows(df: DataFrame, vector: str, reference, kind: str, gamma: float = 1.0, coef0: float = 0.0,
                 out: str = "k") -> DataFrame:
-    """Adds the array of kernel values of each row against ``reference`` (a matrix from ``reference_rows``).
-
-    For ``overlap`` the vectors are concatenated real and imaginary parts.
-    """
+    """Adds the array of kernel values of each row against ``reference`` (a matrix from ``reference_rows``)."""
     shared = df.sparkSession.sparkContext.broadcast(np.asarray(reference))
 
     @F.pandas_udf("array<double>")
     def against(v: pd.Series) -> pd.Series:
         ref = shared.value
         rows = np.stack(v.to_numpy()) if len(v) else np.zeros((0, ref.shape[1]))
-        if kind == "overlap":
-            half = ref.shape[1] // 2
-            a = rows[:, :half] + 1j * rows[:, half:]
-            b = ref[:, :half] + 1j * ref[:, half:]
-            return pd.Series(list(np.abs(a @ b.conj().T) ** 2))
         gram = rows @ ref.T
         if kind == "poly":
             gram = (gamma * gram + coef0) ** 2
@@ -259,6 +241,46 @@ def _join_rows(a: DataFrame, b: DataFrame, by) -> DataFrame:
     return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
+def map_center(df: DataFrame, phi: str, dim: int, out: str = "squares") -> DataFrame:
+    """Adds each row's sum of squares in the doubly centered N x N kernel: c' C c with c the row's centered map and C the sum
+    of c c' over all rows. The driver gets the D x D block and the mean."""
+    mean = np.asarray(vector_summary(df, phi).first()["mean"])
+    block = _block(second_moments(df, phi, dim, shift=mean), dim)
+    shared = df.sparkSession.sparkContext.broadcast((mean, block))
+
+    @F.pandas_udf("double")
+    def squares(v: pd.Series) -> pd.Series:
+        mean, block = shared.value
+        c = np.stack(v.to_numpy()) - mean if len(v) else np.zeros((0, len(mean)))
+        return pd.Series(np.einsum("ij,ij->i", c @ block, c))
+
+    return df.withColumn(out, squares(F.col(phi).cast("array<double>")))
+
+
+def map_max_normalize(df: DataFrame, phi: str, dim: int, out: str = "total") -> DataFrame:
+    """Adds each row's sum in the N x N kernel divided by its largest entry, which for a positive semidefinite kernel stands on
+    the diagonal; ``top`` is the row's own entry after division."""
+    own = dot(F.col(phi), F.col(phi))
+    top = df.agg(F.max(own)).first()[0]
+    summary = vector_summary(df, phi).first()
+    sums = F.array(*[F.lit(float(m * summary["n"])) for m in summary["mean"]])
+    return df.withColumn(out, dot(F.col(phi), sums) / F.lit(top)).withColumn("top", own / F.lit(top))
+
+
+def map_diagonal(df: DataFrame, phi: str, floor: float) -> DataFrame:
+    """Least diagonal entry, and whether it is ``floor`` or more."""
+    low = F.min(dot(F.col(phi), F.col(phi)))
+    return df.agg(low.alias("min_self"), (low >= floor).alias("ok"))
+
+
+def _block(moments: DataFrame, dim: int) -> np.ndarray:
+    """Products of components as a symmetric D x D matrix: D (D + 1) / 2 rows on the driver."""
+    block = np.zeros((dim, dim))
+    for r in moments.filter((F.col("i") < dim) & (F.col("j") < dim)).collect():
+        block[r["i"], r["j"]] = block[r["j"], r["i"]] = r["s"]
+    return block
+
+
 def map_cka(df: DataFrame, phi_a: str, dim_a: int, phi_b: str, dim_b: int) -> DataFrame:
     """CKA of two mapped kernels: |C_ab|^2 / (|C_aa| |C_bb|) with centered cross moments of the joined maps."""
     both = df.select(F.concat(F.col(phi_a), F.col(phi_b)).alias("_z"))
@@ -274,10 +296,7 @@ def map_cka(df: DataFrame, phi_a: str, dim_a: int, phi_b: str, dim_b: int) -> Da
 
 def spectrum(df: DataFrame, phi: str, dim: int) -> DataFrame:
     """Nonzero eigenvalues of the N x N kernel, from the D x D moment matrix, with cumulative shares."""
-    block = np.zeros((dim, dim))
-    for r in second_moments(df, phi, dim).filter((F.col("i") < dim) & (F.col("j") < dim)).collect():  # D (D + 1) / 2 rows
-        block[r["i"], r["j"]] = block[r["j"], r["i"]] = r["s"]
-    values = np.clip(np.linalg.eigvalsh(block)[::-1], 0.0, None)
+    values = np.clip(np.linalg.eigvalsh(_block(second_moments(df, phi, dim), dim))[::-1], 0.0, None)
     share = np.cumsum(values) / (values.sum() or 1.0)
     return df.sparkSession.createDataFrame(
         [(i + 1, float(v), float(c)) for i, (v, c) in enumerate(zip(values, share))],
@@ -307,14 +326,13 @@ def map_bootstrap(rows: DataFrame, phi: str, dim: int, y: str, times: str = "tim
 
 # --- random pairs -----------------------------------------------------------------------------------------------
 
-def random_angle_pairs(spark, n: int, dim: int = 4, seed: int = 42) -> DataFrame:
-    """n independent pairs of angle vectors, uniform in [0, pi], from the hash of the pair number."""
-    ids = spark.range(n).withColumnRenamed("id", "pair")
-
-    def side(s):
-        return F.array(*[F.lit(math.pi) * uniform(["pair", F.lit(s), F.lit(i)], seed) for i in range(dim)])
-
-    return ids.select("pair", side(0).alias("a"), side(1).alias("b"))
+def random_row_pairs(df: DataFrame, key: str, vector: str, seed: int = 42) -> DataFrame:
+    """Each row next to a row drawn for it by hash: (key, a, b). The partner is the row whose rank by key is 1 + hash mod n;
+    ranks come from range buckets, so the join is an equi-join of two columns spread over all tasks."""
+    n = df.count()
+    ranked = value_ranks(df.withColumn("_o", F.col(key).cast("double")), [], "_o", [key], rank="_rank").select(key, vector, "_rank")
+    asked = ranked.select(key, F.col(vector).alias("a"), (F.lit(1) + F.pmod(seeded_hash([key], seed), F.lit(max(n, 1)))).alias("_rank"))
+    return asked.join(ranked.select("_rank", F.col(vector).alias("b")), "_rank").select(key, "a", "b")
 
 
 def unit_histogram(df: DataFrame, value: str, bins: int = 50, by=()) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Map statistics and row statistics against the N x N matrix, and the phase map by hand."""
+"""Map statistics and row statistics against the N x N matrix."""
 
 import math
 
@@ -10,21 +10,6 @@ from tarnfold.functions import feature_maps as M
 from tarnfold.operators import kernels as G
 
 
-def test_phase_map_of_one_angle_is_cosine_squared():
-    x = np.array([[0.3], [1.7], [2.9]])
-    phi = M.overlap_block(M.phase_block(x, 1))
-    assert np.allclose(phi @ phi.T, np.cos(x - x.T) ** 2)
-
-
-def test_two_repetitions_of_one_angle_by_hand():
-    x = 0.4
-    s = M.phase_block(np.array([[x]]), 2)[0]
-    turn = np.exp(2j * x)
-    first = np.array([1, turn]) / math.sqrt(2)
-    want = np.array([(first[0] + first[1]), (first[0] - first[1]) * turn]) / math.sqrt(2)
-    assert np.allclose(s, want)
-
-
 @pytest.fixture(scope="module")
 def points(spark):
     rng = np.random.default_rng(3)
@@ -45,18 +30,15 @@ def matrix_statistics(k, y):
             "mean_off": off.mean(), "var_off": off.var()}
 
 
-@pytest.mark.parametrize("kind, kw", [("linear", {}), ("poly", {"coef0": 1.0}), ("phase_pairs", {}), ("phase_single", {"reps": 3})])
+@pytest.mark.parametrize("kind, kw", [("linear", {}), ("poly", {"coef0": 1.0}), ("linear", {"coef0": 0.5})])
 def test_map_statistics_equal_the_matrix(spark, points, kind, kw):
     df, x, y = points
     mapped, dim = M.add_map(df, kind, "x", 4, **kw)
     got = G.map_statistics(mapped, "phi", dim, "y").first().asDict()
     if kind == "linear":
-        k = x @ x.T
-    elif kind == "poly":
-        k = (x @ x.T / 4 + 1.0) ** 2
+        k = x @ x.T + kw.get("coef0", 0.0)
     else:
-        s = M.phase_block(x, kw.get("reps", 2), kind == "phase_pairs")
-        k = np.abs(s.conj() @ s.T) ** 2
+        k = (x @ x.T / 4 + 1.0) ** 2
     for name, want in matrix_statistics(k, y).items():
         assert got[name] == pytest.approx(want, rel=1e-7, abs=1e-9), name
     values = [r["eigenvalue"] for r in G.spectrum(mapped, "phi", dim).collect()]
@@ -115,3 +97,21 @@ def test_histogram_and_divergence(spark):
     p = np.array([counts[i] for i in range(50)]) / 4
     want = sum(a * math.log((a + 1e-12) / (b + 1e-12)) for a, b in zip(p, q) if a > 1e-12)
     assert G.divergence_from_beta(hist, 4).first()["kl"] == pytest.approx(want)
+
+
+def test_map_rows_equal_the_matrix(spark, points):
+    df, x, _ = points
+    k = x @ x.T
+    h = np.eye(40) - 1 / 40
+    squares = {r["id"]: r["squares"] for r in G.map_center(df, "x", 4).collect()}
+    assert np.allclose([squares[i] for i in range(40)], ((h @ k @ h) ** 2).sum(axis=1))
+    rows = {r["id"]: r for r in G.map_max_normalize(df, "x", 4).collect()}
+    assert np.allclose([rows[i]["total"] for i in range(40)], k.sum(axis=1) / k.max()) and np.allclose([rows[i]["top"] for i in range(40)], np.diag(k) / k.max())
+    low = G.map_diagonal(df, "x", 0.0).first()
+    assert low["min_self"] == pytest.approx(np.diag(k).min()) and low["ok"]
+
+
+def test_random_pairs_are_rows_of_the_table(spark, points):
+    df, x, _ = points
+    rows = G.random_row_pairs(df, "id", "x").collect()
+    assert len(rows) == 40 and all(np.allclose(r["a"], x[r["id"]]) and any(np.allclose(r["b"], z) for z in x) for r in rows)

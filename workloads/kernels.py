@@ -13,7 +13,7 @@ from tarnfold.operators.ranking import value_ranks
 from tarnfold.session import settle
 from workloads import tables as t
 from workloads.registry import query
-from workloads.tables import ANGLES, VECTORS, overlap_sql, phase_sql, r, sql_gaussian, sql_hash, sql_uniform
+from workloads.tables import ANGLES, VECTORS, r, sql_gaussian, sql_hash
 
 M_REF = 64
 
@@ -78,36 +78,31 @@ def gamma_scale(spark, sf):
     return spark.createDataFrame([(G.scale_gamma(t.vectors(spark, sf), "v"),)], "gamma double")
 
 
-def states(spark, sf, reps=2, pairs=True):
-    return M.add_phase_state(t.angles(spark, sf), "x", reps, pairs)
+NEXT = """nxt AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS pos FROM vectors)"""
 
 
-NEXT = """nxt AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS pos FROM state)"""
+def with_next(spark, sf):
+    """Each row's vector next to that of the next row by key: an equi-join on the position."""
+    s = t.vectors(spark, sf).withColumn("o", F.col("vec_id").cast("double"))
+    ranked = value_ranks(s, [], "o", ["vec_id"]).select("vec_id", "v", "rn")
+    return ranked.join(ranked.select((F.col("rn") - 1).alias("rn"), F.col("v").alias("other")), "rn")
 
 
-def neighbor_value(spark, sf, pairs, reps=2):
-    """Kernel value of each row with the next row by key: an equi-join on the position."""
-    s = states(spark, sf, reps, pairs).withColumn("o", F.col("vec_id").cast("double"))
-    ranked = value_ranks(s, [], "o", ["vec_id"]).select("vec_id", "state", "rn")
-    nxt = ranked.select((F.col("rn") - 1).alias("rn"), F.col("state").alias("other"))
-    return ranked.join(nxt, "rn").select("vec_id", G.phase_value(F.col("state"), F.col("other"), 16).alias("k"))
+@query("g05_poly_neighbor", f"WITH {VECTORS}, {NEXT} SELECT a.vec_id, {r('(list_dot_product(a.v, b.v) / 64 + 1.0) ** 2', 'k')} FROM nxt a JOIN nxt b ON b.pos = a.pos + 1")
+def poly_neighbor(spark, sf):
+    return with_next(spark, sf).select("vec_id", G.poly_value(F.col("v"), F.col("other"), 1.0 / 64, 1.0).alias("k"))
 
 
-@query("g05_phase_pairs_kernel", f"WITH {ANGLES}, {phase_sql()}, {NEXT} SELECT a.vec_id, {r(overlap_sql(), 'k')} FROM nxt a JOIN nxt b ON b.pos = a.pos + 1")
-def phase_pairs_kernel(spark, sf):
-    return neighbor_value(spark, sf, True)
+@query("g06_rbf_neighbor", f"WITH {VECTORS}, {NEXT} SELECT a.vec_id, {r('exp(-2.0 * list_distance(a.v, b.v) ** 2)', 'k')} FROM nxt a JOIN nxt b ON b.pos = a.pos + 1")
+def rbf_neighbor(spark, sf):
+    return with_next(spark, sf).select("vec_id", G.rbf_value(F.col("v"), F.col("other"), 2.0).alias("k"))
 
 
-@query("g06_phase_single_kernel", f"WITH {ANGLES}, {phase_sql(2, False)}, {NEXT} SELECT a.vec_id, {r(overlap_sql(), 'k')} FROM nxt a JOIN nxt b ON b.pos = a.pos + 1")
-def phase_single_kernel(spark, sf):
-    return neighbor_value(spark, sf, False)
-
-
-@query("g05_phase_map_rows", f"""WITH {ANGLES}, {phase_sql(3)} SELECT vec_id, {r('r0 * r0 + i0 * i0', 'first')}, {r('r15 * r15 + i15 * i15', 'last')}, 1.0::DOUBLE AS norm FROM state""")
-def phase_map_rows(spark, sf):
-    a, _ = M.add_map(t.angles(spark, sf), "phase_pairs", "x", 4, reps=3)
-    return a.select("vec_id", F.col("phi")[0].alias("first"), F.col("phi")[15].alias("last"),
-                    F.aggregate("phi", F.lit(0.0), lambda s, v: s + v * v).alias("norm"))
+@query("g05_poly_map_rows", f"""WITH {VECTORS} SELECT vec_id, {r('v[1] * v[1] / 64', 'first')}, {r('(list_dot_product(v, v) / 64 + 1.0) ** 2', 'norm')} FROM vectors""")
+def poly_map_rows(spark, sf):
+    """The explicit map of the squared kernel, 2145 terms a row: its squared length is the kernel's own value."""
+    a, _ = M.add_map(t.vectors(spark, sf), "poly", "v", 64, coef0=1.0)
+    return a.select("vec_id", F.col("phi")[0].alias("first"), F.aggregate("phi", F.lit(0.0), lambda s, v: s + v * v).alias("norm"))
 
 
 PAIR_SUM = """pairs AS (SELECT a.vec_id AS i, b.vec_id AS j, a.y AS yi, b.y AS yj, {k} AS k FROM {src} a, {src} b)"""
@@ -175,10 +170,45 @@ cka AS (SELECT sum(k * l) / (sqrt(sum(k * k)) * sqrt(sum(l * l))) AS label_cka F
 SELECT n, {', '.join(r(c, c) for c in ['alignment', 'label_cka', 'effective_rank', 'within', 'across', 'mean_off', 'var_off'])} FROM t, cka"""
 
 
-@query("g09_map_statistics_phase", f"WITH {ANGLES}, {phase_sql()}, " + whole_stats(overlap_sql()))
-def map_statistics_phase(spark, sf):
-    a, dim = M.add_map(t.angles(spark, sf), "phase_pairs", "x", 4)
-    return G.map_statistics(a.select("y", "phi"), "phi", dim, "y")
+LINEAR = "list_dot_product(a.v, b.v)"
+WHOLE = f"{VECTORS}, state AS (SELECT * FROM vectors), "
+
+
+@query("g09_map_statistics_linear", f"WITH {WHOLE}" + whole_stats(LINEAR))
+def map_statistics_linear(spark, sf):
+    """Every row and all 64 components."""
+    return G.map_statistics(t.vectors(spark, sf).select("y", "v"), "v", 64, "y")
+
+
+LINEAR_PAIRS = WHOLE + PAIR_SUM.format(k=LINEAR, src="state")
+
+
+@query("g08_max_normalize_linear", f"WITH {LINEAR_PAIRS}, m AS (SELECT max(k) AS top FROM pairs) SELECT i AS vec_id, {r('sum(k / top)', 'total')}, {r('max(CASE WHEN i = j THEN k / top END)', 'top')} FROM pairs, m GROUP BY i")
+def max_normalize_linear(spark, sf):
+    return G.map_max_normalize(t.vectors(spark, sf), "v", 64).select("vec_id", "total", "top")
+
+
+@query("g10_double_centering_linear", f"""WITH {LINEAR_PAIRS}, c AS (SELECT i, k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER () AS k FROM pairs)
+SELECT i AS vec_id, {r('sum(k * k)', 'squares')} FROM c GROUP BY i""")
+def double_centering_linear(spark, sf):
+    return G.map_center(t.vectors(spark, sf), "v", 64).select("vec_id", "squares")
+
+
+@query("g12_effective_rank_linear", f"WITH {LINEAR_PAIRS} SELECT {r('sum(CASE WHEN i = j THEN k END) ** 2 / sum(k * k)', 'effective_rank')} FROM pairs")
+def effective_rank_linear(spark, sf):
+    return map_statistics_linear(spark, sf).select("effective_rank")
+
+
+@query("g14_block_ratio_linear", f"""WITH {LINEAR_PAIRS}, b AS (SELECT avg(k) FILTER (yi = yj) AS w, avg(k) FILTER (yi <> yj) AS a FROM pairs)
+SELECT {r('w', 'within')}, {r('a', 'across')}, {r('w / (a + 1e-12)', 'block_ratio')} FROM b""")
+def block_ratio_linear(spark, sf):
+    s = map_statistics_linear(spark, sf)
+    return s.select("within", "across", (F.col("within") / (F.col("across") + F.lit(1e-12))).alias("block_ratio"))
+
+
+@query("g22_diagonal_check_linear", f"WITH {LINEAR_PAIRS} SELECT {r('min(k)', 'min_self')}, min(k) >= 0.99 AS ok FROM pairs WHERE i = j")
+def diagonal_check_linear(spark, sf):
+    return G.map_diagonal(t.vectors(spark, sf), "v", 0.99)
 
 
 @query("g09_map_statistics_poly", f"WITH {ANGLES}, state AS (SELECT * FROM angles), " + whole_stats("((a.x0 * b.x0 + a.x1 * b.x1 + a.x2 * b.x2 + a.x3 * b.x3) / 4 + 1.0) ** 2"))
@@ -187,14 +217,16 @@ def map_statistics_poly(spark, sf):
     return G.map_statistics(a.select("y", "phi"), "phi", dim, "y")
 
 
-@query("g11_cka_maps", f"""WITH {ANGLES}, {phase_sql()}, s2 AS (SELECT s.*, x0, x1, x2, x3 FROM state s JOIN angles USING (vec_id)),
-pairs AS (SELECT a.vec_id AS i, b.vec_id AS j, {overlap_sql()} AS k1, ((a.x0 * b.x0 + a.x1 * b.x1 + a.x2 * b.x2 + a.x3 * b.x3) / 4) ** 2 AS k2 FROM s2 a, s2 b),
+@query("g11_cka_maps", f"""WITH {VECTORS}, lo AS (SELECT pos, min(x) AS lo, max(x) AS hi FROM (SELECT unnest(range(0, 64)) AS pos, unnest(v) AS x FROM vectors) GROUP BY pos),
+u AS (SELECT vec_id, list((x - lo) / (hi - lo) ORDER BY pos) AS w FROM (SELECT vec_id, unnest(range(0, 64)) AS pos, unnest(v) AS x FROM vectors) JOIN lo USING (pos) GROUP BY vec_id),
+s2 AS (SELECT * FROM vectors JOIN u USING (vec_id)),
+pairs AS (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) AS k1, list_dot_product(a.w, b.w) AS k2 FROM s2 a, s2 b),
 c AS (SELECT k1 - avg(k1) OVER (PARTITION BY i) - avg(k1) OVER (PARTITION BY j) + avg(k1) OVER () AS k1, k2 - avg(k2) OVER (PARTITION BY i) - avg(k2) OVER (PARTITION BY j) + avg(k2) OVER () AS k2 FROM pairs)
 SELECT {r('sum(k1 * k2) / (sqrt(sum(k1 * k1)) * sqrt(sum(k2 * k2)))', 'cka')} FROM c""")
 def cka_maps(spark, sf):
-    a, d1 = M.add_map(t.angles(spark, sf), "phase_pairs", "x", 4, out="phi1")
-    a, d2 = M.add_map(a, "poly", "x", 4, out="phi2")
-    return G.map_cka(a, "phi1", d1, "phi2", d2)
+    """Linear kernels of the raw and of the min-max scaled vectors."""
+    v = t.vectors(spark, sf)
+    return G.map_cka(scaling.fit_minmax(v, "v").apply(v.withColumn("w", F.col("v")), "w"), "v", 64, "w", 64)
 
 
 @query("g12_effective_rank", f"WITH {REF_RBF} SELECT {r('sum(CASE WHEN i = j THEN k END) ** 2 / sum(k * k)', 'effective_rank')} FROM pairs")
@@ -205,14 +237,12 @@ def effective_rank(spark, sf):
 
 @query("g13_spectrum")
 def spectrum(spark, sf):
-    a, dim = M.add_map(t.angles(spark, sf), "phase_pairs", "x", 4)
-    return G.spectrum(a.select("phi"), "phi", dim)
+    return G.spectrum(t.vectors(spark, sf).select("v"), "v", 64)
 
 
 @query("g13_components_for_share")
 def components_for_share(spark, sf):
-    a, dim = M.add_map(t.angles(spark, sf), "phase_pairs", "x", 4)
-    return G.components_for(G.spectrum(a.select("phi"), "phi", dim))
+    return G.components_for(spectrum(spark, sf))
 
 
 @query("g14_block_ratio", f"""WITH {REF_RBF}, b AS (SELECT avg(k) FILTER (yi = yj) AS w, avg(k) FILTER (yi <> yj) AS a FROM pairs)
@@ -246,26 +276,27 @@ def kernel_interval(spark, sf):
     return search.interval(boot_kernel(spark, sf), "alignment")
 
 
+ADDED = (0.0, 0.25, 0.5, 1.0, 2.0)
+
+
 def _conc_sql() -> str:
-    parts = [phase_sql(rep, name=f"st{rep}") for rep in (1, 2, 3)]
     rows = " UNION ALL ".join(
-        f"SELECT {rep} AS reps, avg(k) FILTER (i <> j) AS mean_off, var_pop(k) FILTER (i <> j) AS var_off, sum(CASE WHEN i = j THEN k END) ** 2 / sum(k * k) AS effective_rank "
-        f"FROM (SELECT a.vec_id AS i, b.vec_id AS j, {overlap_sql()} AS k FROM st{rep} a, st{rep} b)" for rep in (1, 2, 3))
-    return f"WITH {ANGLES}, {', '.join(parts)}, u AS ({rows})"
+        f"SELECT {i} AS setting, avg(k) FILTER (i <> j) AS mean_off, var_pop(k) FILTER (i <> j) AS var_off, sum(CASE WHEN i = j THEN k END) ** 2 / sum(k * k) AS effective_rank "
+        f"FROM (SELECT i, j, k + {c} AS k FROM pairs)" for i, c in enumerate(ADDED))
+    return f"WITH {LINEAR_PAIRS}, u AS ({rows})"
 
 
-@query("g16_concentration", f"{_conc_sql()} SELECT reps, {r('mean_off', 'mean_off')}, {r('var_off', 'var_off')}, {r('effective_rank', 'effective_rank')} FROM u")
+@query("g16_concentration", f"{_conc_sql()} SELECT setting, {r('mean_off', 'mean_off')}, {r('var_off', 'var_off')}, {r('effective_rank', 'effective_rank')} FROM u")
 def concentration(spark, sf):
+    """Linear kernels plus a constant, five settings, over all rows."""
     return concentration_table(spark, sf)
 
 
 def concentration_table(spark, sf):
-    out = None
-    for reps in (1, 2, 3):
-        a, dim = M.add_map(t.angles(spark, sf), "phase_pairs", "x", 4, reps=reps)
-        part = a.select(F.lit(reps).alias("reps"), "y", "phi")
-        out = part if out is None else out.unionByName(part)
-    return G.map_statistics(out, "phi", dim, "y", ["reps"]).select("reps", "mean_off", "var_off", "effective_rank")
+    v = t.vectors(spark, sf)
+    grown = v.select(F.explode(F.array(*[F.struct(F.lit(i).alias("setting"), F.lit(c ** 0.5).alias("add")) for i, c in enumerate(ADDED)])).alias("z"), "y", "v")
+    grown = grown.select("z.setting", "y", F.concat("v", F.array("z.add")).alias("phi"))
+    return G.map_statistics(grown, "phi", 65, "y", ["setting"]).select("setting", "mean_off", "var_off", "effective_rank")
 
 
 @query("g16_concentration_rows", f"WITH {REF_RBF} SELECT {r('avg(k) FILTER (i <> j)', 'mean_off')}, {r('var_pop(k) FILTER (i <> j)', 'var_off')}, "
@@ -317,23 +348,20 @@ def sample_noise_summary(spark, sf):
         .withColumn("largest_gap", F.col("rmse_mean") == F.max("rmse_mean").over(whole))
 
 
-# one random pair of angle vectors per embedding row, so the work follows the table
-RANDOM = f"""pa AS (SELECT vec_id, 0 AS y, {', '.join(f"{math.pi!r} * {sql_uniform(['vec_id', 0, i], 42)} AS x{i}" for i in range(4))} FROM embeddings),
-pb AS (SELECT vec_id, 0 AS y, {', '.join(f"{math.pi!r} * {sql_uniform(['vec_id', 1, i], 42)} AS x{i}" for i in range(4))} FROM embeddings),
-{phase_sql(2, source='pa', name='sa')}, {phase_sql(2, source='pb', name='sb')},
-fid AS (SELECT a.vec_id, {overlap_sql()} AS f FROM sa a JOIN sb b USING (vec_id))"""
+# each row and a row drawn for it by hash
+RANDOM = f"""{VECTORS}, ranked AS (SELECT vec_id, v, row_number() OVER (ORDER BY vec_id) AS rank FROM vectors),
+fid AS (SELECT a.vec_id, exp(-0.5 * list_distance(a.v, b.v) ** 2) AS f FROM ranked a JOIN ranked b ON b.rank = 1 + {sql_hash(['a.vec_id'], 42)} % (SELECT count(*) FROM vectors))"""
 
 
-def random_fidelities(spark, sf, reps=2):
-    n = t.vectors(spark, sf).count()
-    pairs = G.random_angle_pairs(spark, n, 4, 42)
-    both = M.add_phase_state(M.add_phase_state(pairs, "a", reps, out="sa"), "b", reps, out="sb")
-    return both.select("pair", G.phase_value(F.col("sa"), F.col("sb"), 16).alias("f"))
+def random_values(spark, sf):
+    pairs = G.random_row_pairs(t.vectors(spark, sf), "vec_id", "v", 42)
+    return pairs.select("vec_id", G.rbf_value(F.col("a"), F.col("b"), 0.5).alias("f"))
 
 
-@query("g20_random_pair_values", f"WITH {RANDOM} SELECT vec_id AS pair, {r('f', 'f')} FROM fid")
+@query("g20_random_pair_values", f"WITH {RANDOM} SELECT vec_id, {r('f', 'f')} FROM fid")
 def random_pair_values(spark, sf):
-    return random_fidelities(spark, sf)
+    """Kernel values of random pairs of table rows."""
+    return random_values(spark, sf)
 
 
 HIST = """h AS (SELECT b.bin, coalesce(c, 0) AS c FROM (SELECT unnest(range(0, 50)) AS bin) b
@@ -342,14 +370,14 @@ HIST = """h AS (SELECT b.bin, coalesce(c, 0) AS c FROM (SELECT unnest(range(0, 5
 
 @query("g21_histogram", f"WITH {RANDOM}, {HIST} SELECT bin, c FROM h")
 def histogram(spark, sf):
-    return G.unit_histogram(random_fidelities(spark, sf), "f")
+    return G.unit_histogram(random_values(spark, sf), "f")
 
 
 @query("g21_divergence", f"""WITH {RANDOM}, {HIST}, d AS (SELECT c * 1.0 / sum(c) OVER () AS p, 15.0 * (1.0 - (bin + 0.5) / 50) ** 14 AS dens FROM h),
 q AS (SELECT p, dens / sum(dens) OVER () AS q FROM d)
 SELECT {r('sum(CASE WHEN p > 1e-12 THEN p * ln((p + 1e-12) / (q + 1e-12)) ELSE 0 END)', 'kl')}, (SELECT CAST(sum(c) AS BIGINT) FROM h) AS n FROM q""")
 def divergence(spark, sf):
-    return G.divergence_from_beta(G.unit_histogram(random_fidelities(spark, sf), "f"), 4)
+    return G.divergence_from_beta(G.unit_histogram(random_values(spark, sf), "f"), 4)
 
 
 @query("g22_diagonal_check", f"WITH {REF_RBF} SELECT {r('min(k)', 'min_self')}, min(k) >= 0.99 AS ok FROM pairs WHERE i = j")
@@ -357,9 +385,9 @@ def diagonal_check(spark, sf):
     return G.diagonal_check(linear_ref_rows(spark, sf)[0])
 
 
-@query("g23_monotonicity", f"{_conc_sql()} SELECT reps, {r('mean_off', 'mean_off')}, {r('lag(mean_off) OVER (ORDER BY reps)', 'previous')}, mean_off < lag(mean_off) OVER (ORDER BY reps) AS falls FROM u")
+@query("g23_monotonicity", f"{_conc_sql()} SELECT setting, {r('effective_rank', 'effective_rank')}, {r('lag(effective_rank) OVER (ORDER BY setting)', 'previous')}, effective_rank < lag(effective_rank) OVER (ORDER BY setting) AS falls FROM u")
 def monotonicity(spark, sf):
-    return G.falling(concentration_table(spark, sf).select("reps", "mean_off"), "reps", "mean_off")
+    return G.falling(concentration_table(spark, sf).select("setting", "effective_rank"), "setting", "effective_rank")
 
 
 ALIGN = "sum(k * (2 * yi - 1) * (2 * yj - 1)) / (sqrt(sum(k * k)) * sqrt(count(*)))"

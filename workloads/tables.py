@@ -148,41 +148,5 @@ def sql_gaussian(values, seed) -> str:
             f"cos({2.0 * math.pi!r} * {sql_uniform([*values, 2], seed)}))")
 
 
-def phase_sql(reps: int = 2, pairs: bool = True, source: str = "angles", name: str = "state") -> str:
-    """Common table expressions that end in ``name`` (vec_id, y, r0..r15, i0..i15): the closed-form sums written out."""
-    size = 16
-    out = []
-    terms = []
-    for b in range(size):
-        t = [f"2.0 * x{i}" for i in range(4) if b >> i & 1]
-        if pairs:
-            t += [f"2.0 * ({math.pi!r} - x{i}) * ({math.pi!r} - x{j})" for i in range(4) for j in range(i + 1, 4)
-                  if (b >> i & 1) != (b >> j & 1)]
-        terms.append(f"{' + '.join(t) if t else '0.0'} AS p{b}")
-    out.append(f"{name}_p AS (SELECT vec_id, y, {', '.join(terms)} FROM {source})")
-    first = ", ".join(f"cos(p{b}) / 4.0 AS r{b}, sin(p{b}) / 4.0 AS i{b}" for b in range(size))
-    phases = ", ".join(f"p{b}" for b in range(size))
-    out.append(f"{name}_1 AS (SELECT vec_id, y, {phases}, {first} FROM {name}_p)")
-    for rep in range(2, reps + 1):
-        sums = []
-        for b in range(size):
-            sign = ["-" if bin(b & c).count("1") % 2 else "+" for c in range(size)]
-            sums.append(f"({' '.join(f'{s} r{c}' for c, s in enumerate(sign))}) / 4.0 AS sr{b}")
-            sums.append(f"({' '.join(f'{s} i{c}' for c, s in enumerate(sign))}) / 4.0 AS si{b}")
-        out.append(f"{name}_{rep}s AS (SELECT vec_id, y, {phases}, {', '.join(sums)} FROM {name}_{rep - 1})")
-        turn = ", ".join(f"sr{b} * cos(p{b}) - si{b} * sin(p{b}) AS r{b}, sr{b} * sin(p{b}) + si{b} * cos(p{b}) AS i{b}"
-                         for b in range(size))
-        out.append(f"{name}_{rep} AS (SELECT vec_id, y, {phases}, {turn} FROM {name}_{rep}s)")
-    out.append(f"{name} AS (SELECT vec_id, y, {', '.join(f'r{b}, i{b}' for b in range(size))} FROM {name}_{reps})")
-    return ",\n".join(out)
-
-
-def overlap_sql(a: str = "a", b: str = "b") -> str:
-    """Squared overlap of two state rows."""
-    re = " + ".join(f"{a}.r{s} * {b}.r{s} + {a}.i{s} * {b}.i{s}" for s in range(16))
-    im = " + ".join(f"{a}.r{s} * {b}.i{s} - {a}.i{s} * {b}.r{s}" for s in range(16))
-    return f"(({re}) * ({re}) + ({im}) * ({im}))"
-
-
 def r(expr: str, name: str, digits: int = 6) -> str:
     return f"round({expr}, {digits}) + 0.0 AS {name}"
