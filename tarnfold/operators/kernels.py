@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.functions.hashing import seeded_hash
+from tarnfold.functions.hashing import draw_rank
 from tarnfold.functions.moments import second_moments, vector_summary
 from tarnfold.functions.vectors import dot, squared_distance
 from tarnfold.operators.ranking import value_ranks
@@ -327,11 +327,11 @@ def map_bootstrap(rows: DataFrame, phi: str, dim: int, y: str, times: str = "tim
 # --- random pairs -----------------------------------------------------------------------------------------------
 
 def random_row_pairs(df: DataFrame, key: str, vector: str, seed: int = 42) -> DataFrame:
-    """Each row next to a row drawn for it by hash: (key, a, b). The partner is the row whose rank by key is 1 + hash mod n;
+    """Each row next to a row drawn for it by hash: (key, a, b). The partner is the row whose rank by key is drawn by hash;
     ranks come from range buckets, so the join is an equi-join of two columns spread over all tasks."""
     n = df.count()
     ranked = value_ranks(df.withColumn("_o", F.col(key).cast("double")), [], "_o", [key], rank="_rank").select(key, vector, "_rank")
-    asked = ranked.select(key, F.col(vector).alias("a"), (F.lit(1) + F.pmod(seeded_hash([key], seed), F.lit(max(n, 1)))).alias("_rank"))
+    asked = ranked.select(key, F.col(vector).alias("a"), draw_rank([key], n, seed).alias("_rank"))
     return asked.join(ranked.select("_rank", F.col(vector).alias("b")), "_rank").select(key, "a", "b")
 
 

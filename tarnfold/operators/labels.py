@@ -20,8 +20,9 @@ def binary_label(column: str, normal: str = "normal") -> Column:
 
 
 def lookup(df: DataFrame, on: str, table: DataFrame, key: str, value: str, out: str, default: str = UNKNOWN) -> DataFrame:
-    """Map a column through a two-column table; keys that are missing or null get ``default``."""
-    small = bounded(table.select(F.col(key).alias("_key"), F.col(value).alias("_value")))
+    """Map a column through a two-column table; keys that are missing or null get ``default``. A key that stands in the table
+    more than once takes its least value, so no row is multiplied."""
+    small = bounded(table.groupBy(F.col(key).alias("_key")).agg(F.min(value).alias("_value")))
     joined = df.join(small, F.col(on) == F.col("_key"), "left")
     return joined.withColumn(out, F.coalesce(F.col("_value"), F.lit(default))).drop("_key", "_value")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfold.functions.scalars import ratio
-from tarnfold.operators.ranking import Splits, running_totals, value_slots
+from tarnfold.operators.ranking import Splits, join_groups, running_totals, value_slots
 
 
 def confusion(df: DataFrame, by=(), y: str = "y", pred: str = "pred") -> DataFrame:
@@ -76,7 +76,7 @@ def roc_auc(df: DataFrame, by, score: str, y: str = "y", splits: Splits | None =
     """Area under the ROC curve, ties counted half: sum of neg * (cum_pos - pos / 2) / (P N). Null with one class."""
     cum = curve_counts(df, by, score, y, splits)
     area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0))
-    return cum.groupBy(*by).agg(ratio(area, F.max("total_pos") * F.max("total_neg")).alias("auc"))
+    return cum.groupBy(*by).agg(ratio(area, F.max("total_pos").cast("double") * F.max("total_neg").cast("double")).alias("auc"))
 
 
 def operating_points(df: DataFrame, by, score: str, limits=(0.01, 0.05), y: str = "y", splits: Splits | None = None) -> DataFrame:
@@ -136,7 +136,7 @@ def group_accuracy(df: DataFrame, by, group: str, groups=None, y: str = "y", pre
         return acc
     wanted = acc.select(*by).distinct() if by else df.sparkSession.range(1).select()
     wanted = wanted.select(*by, F.explode(F.array(*[F.lit(g) for g in groups])).alias(group))
-    return wanted.join(acc, [*by, group], "left").select(*by, group, F.coalesce("n", F.lit(0)).alias("n"), "accuracy")
+    return join_groups(wanted, acc, [*by, group], "left").select(*by, group, F.coalesce("n", F.lit(0)).alias("n"), "accuracy")
 
 
 # --- calibration ------------------------------------------------------------------------------------------------

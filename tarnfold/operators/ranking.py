@@ -8,6 +8,7 @@ groups x buckets rows. Value ties wider than one bucket are cut again by the has
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -16,10 +17,23 @@ from pyspark.sql import functions as F
 from tarnfold.functions.hashing import hash_bucket, with_hash
 from tarnfold.session import bounded, parts_of, settle
 
-#: Hash ranges per stratum in rank and cut searches.
+#: Hash ranges per stratum in rank and cut searches, at least.
 HASH_BUCKETS = 4096
 
 
+def hash_ranges(df: DataFrame) -> int:
+    """Hash ranges for ``df``: they follow the session's shuffle width, so that one range fits a task. No result depends on it."""
+    return max(HASH_BUCKETS, 16 * parts_of(df.sparkSession))
+
+
+def join_groups(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Equi-join on group columns in which null is a group like any other."""
+    on = list(on)
+    named = right.withColumnsRenamed({c: f"_g_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in on])
+    return left.join(named, same, how).drop(*[f"_g_{c}" for c in on])
+
+
 class Splits:
     """Range-bucket borders of one numeric column; values wide enough to fill a bucket get one of their own."""
 
@@ -75,7 +89,7 @@ def running_totals(table: DataFrame, by, order: str, sums, splits: Splits, desce
     kept = table.columns
     return (
         cut.select(*kept, "_range", *[F.sum(c).over(inner).alias(f"_i_{c}") for c in sums])
-        .join(offsets, [*by, "_range"])
+        .transform(join_groups, offsets, [*by, "_range"])
         .select(
             *kept,
             *[(F.col(f"_i_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums],
@@ -93,7 +107,8 @@ def _offsets(hist: DataFrame, by, buckets) -> DataFrame:
         F.sum("_c").over(Window.partitionBy(*by)).alias("_size")))
 
 
-def _hash_cut(df: DataFrame, by, key, seed, buckets: int):
+def _hash_cut(df: DataFrame, by, key, seed, buckets: int | None):
+    buckets = buckets or hash_ranges(df)
     hashed = with_hash(df, key, seed).withColumn("_b", hash_bucket(F.col("_h"), buckets))
     return hashed, _offsets(hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c")), by, ["_b"])
 
@@ -106,13 +121,13 @@ def _value_cut(df: DataFrame, by, value: str, key, seed, splits: Splits, tie_buc
     return hashed, _offsets(hist, by, ["_range", "_b"])
 
 
-def hash_ranks(df: DataFrame, by, key, seed=0, buckets: int = HASH_BUCKETS, rank: str = "rn",
+def hash_ranks(df: DataFrame, by, key, seed=0, buckets: int | None = None, rank: str = "rn",
                size: str | None = None) -> DataFrame:
     """Rank 1..n of every row inside ``by`` in the seeded shuffle order (hash, then key)."""
     by, key = list(by), list(key)
     hashed, offsets = _hash_cut(df, by, key, seed, buckets)
     inner = Window.partitionBy(*by, "_b").orderBy("_h", *key)
-    ranked = hashed.join(offsets, [*by, "_b"]).withColumn(rank, (F.row_number().over(inner) + F.col("_off")).cast("long"))
+    ranked = join_groups(hashed, offsets, [*by, "_b"]).withColumn(rank, (F.row_number().over(inner) + F.col("_off")).cast("long"))
     if size:
         ranked = ranked.withColumn(size, F.col("_size").cast("long"))
     return ranked.select(*df.columns, rank, *([size] if size else []))
@@ -124,7 +139,7 @@ def value_ranks(df: DataFrame, by, value: str, key, seed=0, splits: Splits | Non
     by, key = list(by), list(key)
     hashed, offsets = _value_cut(df, by, value, key, seed, splits or Splits.of(df, value), tie_buckets)
     inner = Window.partitionBy(*by, "_range", "_b").orderBy(value, "_h", *key)
-    return hashed.join(offsets, [*by, "_range", "_b"]).select(
+    return join_groups(hashed, offsets, [*by, "_range", "_b"]).select(
         *df.columns, (F.row_number().over(inner) + F.col("_off")).cast("long").alias(rank), F.col("_size").cast("long").alias(size))
 
 
@@ -145,11 +160,11 @@ def _slots(joined: DataFrame, columns, inner: Window, slots: int, out: str) -> D
     return sure.unionByName(torn.select(*columns, slot(F.col("_rn")).alias(out)))
 
 
-def hash_slots(df: DataFrame, by, key, slots: int, seed=0, buckets: int = HASH_BUCKETS, out: str = "slot") -> DataFrame:
+def hash_slots(df: DataFrame, by, key, slots: int, seed=0, buckets: int | None = None, out: str = "slot") -> DataFrame:
     """Cut the seeded shuffle order of each group into equal slots 0..slots-1."""
     by, key = list(by), list(key)
     hashed, offsets = _hash_cut(df, by, key, seed, buckets)
-    return _slots(hashed.join(offsets, [*by, "_b"]), df.columns, Window.partitionBy(*by, "_b").orderBy("_h", *key), slots, out)
+    return _slots(join_groups(hashed, offsets, [*by, "_b"]), df.columns, Window.partitionBy(*by, "_b").orderBy("_h", *key), slots, out)
 
 
 def value_slots(df: DataFrame, by, value: str, key, slots: int, seed=0, splits: Splits | None = None, out: str = "slot",
@@ -158,7 +173,7 @@ def value_slots(df: DataFrame, by, value: str, key, slots: int, seed=0, splits:
     by, key = list(by), list(key)
     hashed, offsets = _value_cut(df, by, value, key, seed, splits or Splits.of(df, value), tie_buckets)
     inner = Window.partitionBy(*by, "_range", "_b").orderBy(value, "_h", *key)
-    return _slots(hashed.join(offsets, [*by, "_range", "_b"]), df.columns, inner, slots, out)
+    return _slots(join_groups(hashed, offsets, [*by, "_range", "_b"]), df.columns, inner, slots, out)
 
 
 def exact_quantiles(df: DataFrame, by, value: str, probs, names=None, splits: Splits | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 Every sampler is: count per stratum -> integer quota per stratum -> rows with the lowest seeded hash in each stratum.
 The counts come as a (stratum, hash range) histogram, so one pass yields both the quota inputs and the hash range in
 which each stratum's cut falls. Rows below the cut range are kept as they are; only the rows of the cut range are
-ranked. No stratum is ever sorted as a whole.
+ranked. No stratum is ever sorted as a whole. A null stratum or group is one like any other.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.functions.hashing import hash_bucket, seeded_hash, with_hash
-from tarnfold.operators import quotas as arithmetic
-from tarnfold.operators.ranking import HASH_BUCKETS, hash_ranks, hash_slots
-from tarnfold.session import BOUNDED_ROWS, bounded, settle
+from tarnfold.functions.hashing import draw_rank, hash_bucket, with_hash
+from tarnfold.operators.ranking import hash_ranges, hash_ranks, hash_slots, join_groups
+from tarnfold.session import bounded, settle
+
+#: Slots that one row of a draw with replacement unfolds into.
+SLOT_RUN = 10_000
 
 
 def _whole(group) -> Window:
@@ -43,7 +45,7 @@ def allocate(counts: DataFrame, total, stratum: str, group=(), ensure_min_one: b
     live = live.withColumn("_k", F.sum("_live").over(whole)).withColumn("_w", F.sum(weight).over(whole))
     each = F.when((F.col("_total") >= F.col("_k")) & F.lit(ensure_min_one), F.col("_live")).otherwise(F.lit(0))
     live = live.withColumn("_each", each).withColumn("_rest", F.col("_total") - F.sum("_each").over(whole))
-    raw = F.coalesce(F.try_divide((F.col(weight) * F.col("_rest")).cast("double"), F.col("_w").cast("double")), F.lit(0.0))
+    raw = F.coalesce(F.try_divide(F.col(weight).cast("double") * F.col("_rest").cast("double"), F.col("_w").cast("double")), F.lit(0.0))
     live = live.withColumn("_raw", raw).withColumn("_floor", F.floor("_raw"))
     live = live.withColumn("_frac", F.when(F.col("_live") == 1, F.col("_raw") - F.col("_floor")).otherwise(F.lit(-1.0)))
     live = live.withColumn("_short", F.col("_rest") - F.sum("_floor").over(whole))
@@ -53,7 +55,7 @@ def allocate(counts: DataFrame, total, stratum: str, group=(), ensure_min_one: b
 
 def _proportional_floor(counts, total, stratum, group):
     """max(1, floor(total * share)), capped at the pool."""
-    share = F.try_divide((F.col("n") * total).cast("double"), F.sum("n").over(_whole(group)).cast("double"))
+    share = F.try_divide(F.col("n").cast("double") * total.cast("double"), F.sum("n").over(_whole(group)).cast("double"))
     return counts.withColumn("quota", F.least(F.greatest(F.floor(F.coalesce(share, F.lit(0.0))), F.lit(1)), F.col("n")))
 
 
@@ -61,7 +63,7 @@ def _proportional_balanced(counts, total, stratum, group):
     """Floors of at least one, then balanced: deficits round-robin to the largest remainders, surplus round-robin from the
     smallest ones, never below one. Each (round, stratum) step is a row, so the first ``need`` rows are the steps taken."""
     whole = _whole(group)
-    exact = F.coalesce(F.try_divide((F.col("n") * total).cast("double"), F.sum("n").over(whole).cast("double")), F.lit(0.0))
+    exact = F.coalesce(F.try_divide(F.col("n").cast("double") * total.cast("double"), F.sum("n").over(whole).cast("double")), F.lit(0.0))
     base = counts.withColumn("_exact", exact).withColumn("_base", F.greatest(F.floor("_exact"), F.lit(1)).cast("long"))
     base = base.withColumn("_rem", F.col("_exact") - F.floor("_exact"))
     base = base.withColumn("_gap", (total - F.sum("_base").over(whole)).cast("long"))
@@ -93,38 +95,15 @@ def plan_quotas(counts: DataFrame, n_samples, stratum: str, rare=(), min_rare=0,
     ``mode``: ``pooled`` gives the rare groups ``min_rare`` times their number, one each and the rest by count;
     ``per_category`` gives each ``min_rare``; ``floor`` and ``lrm_balanced`` are per_category with those roundings of
     the other groups, topped up to the exact size. ``n_samples`` and ``min_rare`` may be columns of ``counts``.
-
-    A strata table within the broadcast bound is planned by arithmetic on its counts, a larger one as a table.
     """
     if mode not in ("pooled", "per_category", "floor", "lrm_balanced"):
         raise ValueError(f"unknown mode {mode!r}")
     group = list(group)
     n_col = n_samples if isinstance(n_samples, Column) else F.lit(int(n_samples))
     m_col = min_rare if isinstance(min_rare, Column) else F.lit(int(min_rare))
-    rows = counts.select(*group, stratum, "n", n_col.cast("long").alias("_n"), m_col.cast("long").alias("_m")) \
-        .limit(BOUNDED_ROWS + 1).collect()
-    if len(rows) > BOUNDED_ROWS:
-        return plan_quotas_table(counts, n_col, stratum, rare, m_col, mode, group)
-    groups: dict = {}
-    for r in rows:
-        groups.setdefault(tuple(r[g] for g in group), []).append(r)
-    out = []
-    for key, members in groups.items():
-        got = arithmetic.plan({r[stratum]: r["n"] for r in members}, members[0]["_n"], rare, members[0]["_m"], mode)
-        out += [(*key, r[stratum], r["n"], got[r[stratum]]) for r in members]
-    types = dict(counts.dtypes)
-    fields = ", ".join(f"`{c}` {types[c]}" for c in [*group, stratum])
-    return counts.sparkSession.createDataFrame(out, f"{fields}, n bigint, quota bigint").coalesce(1)
-
-
-def plan_quotas_table(counts: DataFrame, n_col: Column, stratum: str, rare=(), m_col: Column | None = None,
-                      mode: str = "pooled", group=()) -> DataFrame:
-    """``plan_quotas`` for any number of groups and strata, as windows over the counts."""
-    group = list(group)
-    m_col = F.lit(0) if m_col is None else m_col
     whole = _whole(group)
     base = counts.withColumn("_n", n_col.cast("long")).withColumn("_m", m_col.cast("long")) \
-        .withColumn("_rare", F.col(stratum).isin(list(rare)) if rare else F.lit(False))
+        .withColumn("_rare", F.coalesce(F.col(stratum).isin(list(rare)), F.lit(False)) if rare else F.lit(False))
     base = base.withColumn("_k", F.sum(F.col("_rare").cast("long")).over(whole)) \
         .withColumn("_others", F.sum((~F.col("_rare")).cast("long")).over(whole))
     base = base.withColumn("_budget", F.when(F.col("_k") > 0, F.least("_n", F.col("_m") * F.col("_k"))).otherwise(F.lit(0)))
@@ -145,7 +124,7 @@ def plan_quotas_table(counts: DataFrame, n_col: Column, stratum: str, rare=(), m
             sizes = counts.select(*group, n_col.cast("long").alias("_n")).distinct() if group else None
             other_q = rounding(live, rest if mode == "floor" else F.max(rest).over(whole), stratum, group)
             if "_n" not in other_q.columns:
-                other_q = other_q.join(sizes, group) if group else other_q.withColumn("_n", n_col.cast("long"))
+                other_q = join_groups(other_q, sizes, group) if group else other_q.withColumn("_n", n_col.cast("long"))
             idle = other_part.filter(rest <= 0).withColumn("quota", F.lit(0).cast("long"))
             other_q = other_q.select(*keep).unionByName(idle.select(*keep))
     quotas = rare_q.select(*keep).unionByName(other_q.select(*keep))
@@ -164,10 +143,10 @@ def plan_quotas_table(counts: DataFrame, n_col: Column, stratum: str, rare=(), m
 class Lot:
     """Rows of a table with their seeded hash and the (group, stratum, hash range) histogram, which is run once."""
 
-    def __init__(self, df: DataFrame, stratum: str, key, seed=0, group=(), buckets: int = HASH_BUCKETS):
+    def __init__(self, df: DataFrame, stratum: str, key, seed=0, group=(), buckets: int | None = None):
         self.df, self.stratum, self.key, self.seed, self.group = df, stratum, list(key), seed, list(group)
         self.by = [*group, stratum]
-        self.hashed = with_hash(df, [*group, *key], seed).withColumn("_b", hash_bucket(F.col("_h"), buckets))
+        self.hashed = with_hash(df, [*group, *key], seed).withColumn("_b", hash_bucket(F.col("_h"), buckets or hash_ranges(df)))
         self.hist = settle(self.hashed.groupBy(*self.by, "_b").agg(F.count(F.lit(1)).alias("_c")))
 
     def counts(self) -> DataFrame:
@@ -176,40 +155,35 @@ class Lot:
     def take(self, quotas: DataFrame) -> DataFrame:
         """The rows of a quota table; adds ``draw`` (1 for plain draws, the slot number for draws with replacement).
 
-        A stratum whose quota exceeds its rows is drawn with replacement: slot s takes the row of rank 1 + hash(s) mod n.
+        A stratum whose quota exceeds its rows is drawn with replacement: slot s takes the row whose rank is drawn by the hash of s.
         Groups (runs, sizes) enter the hash, so they shuffle independently.
         """
         by, key = self.by, self.key
         along = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         wanted = quotas.filter("quota > 0").withColumn(
             "_ord", F.row_number().over(_whole(self.group).orderBy(self.stratum)).cast("long"))
-        wanted = bounded(wanted.select(*by, "n", "quota", "_ord"))
-        cuts = (
-            self.hist.withColumn("_before", F.coalesce(F.sum("_c").over(along), F.lit(0)))
-            .join(wanted, by)
-            .filter(F.col("_before") < F.col("quota"))
-            .groupBy(*by)
-            .agg(F.max("_b").alias("_cut"), F.max("_before").alias("_sure"), F.first("quota").alias("_quota"),
-                 F.first("n").alias("_n"), F.first("_ord").alias("_ord"))
-            .withColumn("_again", F.col("_quota") > F.col("_n"))
-        )
-        cuts = settle(cuts)
-        near = self.hashed.join(bounded(cuts), by).filter((F.col("_b") <= F.col("_cut")) | F.col("_again"))
-        # A stratum drawn with replacement has fewer rows than its quota, so one task may rank it.
-        lane = F.when(F.col("_again"), F.lit(-1)).otherwise(F.col("_b"))
-        near = near.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, lane).orderBy("_h", *key)).cast("long"))
-        near = near.filter(F.col("_again") | (F.col("_b") < F.col("_cut")) | (F.col("_rn") <= F.col("_quota") - F.col("_sure")))
-        if cuts.filter("_again").isEmpty():
-            return near.select(*self.df.columns, F.lit(1).cast("long").alias("draw"))
-        slots = cuts.filter("_again").select(
-            *by, "_n", "_ord", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_quota").cast("long"))).alias("_slot"))
-        picked = F.lit(1) + F.pmod(seeded_hash([*self.group, "_ord", "_slot"], self.seed), F.col("_n"))
-        slots = slots.select(*by, picked.alias("_rn"), "_slot").withColumn("_again", F.lit(True))
-        out = near.join(slots, [*by, "_again", "_rn"], "left").filter(~F.col("_again") | F.col("_slot").isNotNull())
-        return out.select(*self.df.columns, F.coalesce("_slot", F.lit(1)).cast("long").alias("draw"))
-
-
-def draw(df: DataFrame, quotas: DataFrame, stratum: str, key, seed=0, group=(), buckets: int = HASH_BUCKETS) -> DataFrame:
+        wanted = settle(wanted.select(*by, F.col("n").alias("_n"), F.col("quota").alias("_quota"), "_ord"))
+        lanes = join_groups(self.hist.withColumn("_before", F.coalesce(F.sum("_c").over(along), F.lit(0))), wanted, by) \
+            .withColumn("_again", F.col("_quota") > F.col("_n")).filter((F.col("_before") < F.col("_quota")) | F.col("_again"))
+        near = join_groups(self.hashed, bounded(lanes), [*by, "_b"])
+        # Hash ranges below the cut are kept as they are; only the range of the cut, and strata drawn with replacement, are ranked.
+        whole_range = (F.col("_before") + F.col("_c") <= F.col("_quota")) & ~F.col("_again")
+        sure = near.filter(whole_range).select(*self.df.columns, F.lit(1).cast("long").alias("draw"))
+        torn = near.filter(~whole_range).withColumn(
+            "_rn", (F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", *key)) + F.col("_before")).cast("long"))
+        once = torn.filter(~F.col("_again") & (F.col("_rn") <= F.col("_quota"))).select(*self.df.columns, F.lit(1).cast("long").alias("draw"))
+        again = wanted.filter(F.col("_quota") > F.col("_n"))
+        if again.isEmpty():
+            return sure.unionByName(once)
+        runs = again.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_quota") - 1) / SLOT_RUN).cast("long"))))
+        first = F.col("_run") * SLOT_RUN + 1
+        slots = runs.withColumn("_slot", F.explode(F.sequence(first, F.least(first + (SLOT_RUN - 1), F.col("_quota")).cast("long"))))
+        slots = slots.select(*by, draw_rank([*self.group, "_ord", "_slot"], F.col("_n"), self.seed).alias("_rn"), "_slot")
+        drawn = join_groups(torn.filter("_again"), slots, [*by, "_rn"])
+        return sure.unionByName(once).unionByName(drawn.select(*self.df.columns, F.col("_slot").cast("long").alias("draw")))
+
+
+def draw(df: DataFrame, quotas: DataFrame, stratum: str, key, seed=0, group=(), buckets: int | None = None) -> DataFrame:
     """Draw a given quota table (group, stratum, n, quota)."""
     return Lot(df, stratum, key, seed, group, buckets).take(quotas)
 
@@ -236,7 +210,7 @@ def cv_quotas(counts: DataFrame, n_samples: int, rare_max_frac: float | None = N
     base = counts.withColumn("_rare_take", F.coalesce(
         F.max(F.when(F.col(stratum) == "", F.least(F.col("n"), F.lit(cap)))).over(whole), F.lit(0)))
     rare = base.filter(F.col(stratum) == "").select(stratum, "n", F.col("_rare_take").alias("quota"))
-    other = allocate(base.filter(F.col(stratum) != ""), F.lit(n_samples) - F.col("_rare_take"), stratum, ensure_min_one=False)
+    other = allocate(base.filter(~F.col(stratum).eqNullSafe("")), F.lit(n_samples) - F.col("_rare_take"), stratum, ensure_min_one=False)
     return rare.unionByName(other.select(stratum, "n", F.least("quota", "n").alias("quota")))
 
 
@@ -347,6 +321,6 @@ def stratified_folds(df: DataFrame, k: int, stratum: str, key, seed: int = 42, o
     plan = counts.select(
         stratum, F.least(F.lit(k), F.min("n").over(whole)).alias("_k"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_shift"))
-    return ranked.join(bounded(plan), stratum) \
+    return join_groups(ranked, bounded(plan), [stratum]) \
         .withColumn(out, F.pmod(F.col("_rank") - 1 + F.col("_shift"), F.col("_k")).cast("int")) \
         .select(*df.columns, out)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfold.functions.hashing import seeded_hash
-from tarnfold.operators.ranking import exact_quantiles, hash_ranks
+from tarnfold.functions.hashing import draw_rank
+from tarnfold.operators.ranking import exact_quantiles, hash_ranks, join_groups
 
 # Search constants.
 MIN_ALPHA = 0.05
@@ -117,7 +117,7 @@ def bootstrap_rows(df: DataFrame, key, replicates: int, draws: int, seed: int =
     n = df.count()
     slots = df.sparkSession.range(replicates * draws).select(
         F.floor(F.col("id") / draws).cast("int").alias("replicate"),
-        (F.lit(1) + F.pmod(seeded_hash(["id"], seed + 1), F.lit(n))).cast("long").alias("_rn"))
+        draw_rank(["id"], n, seed + 1).alias("_rn"))
     picks = slots.groupBy("replicate", "_rn").agg(F.count(F.lit(1)).alias("times"))
     return ranked.join(picks, "_rn").drop("_rn", "_n")
 
@@ -127,5 +127,5 @@ def interval(table: DataFrame, value: str, by=(), low: float = 0.025, high: floa
     stats = table.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
     bounds = exact_quantiles(table, by, value, [low, high], ["low", "high"])
     if by:
-        return stats.join(bounds, list(by))
+        return join_groups(stats, bounds, by)
     return stats.withColumn("_j", F.lit(0)).join(bounds.withColumn("_j", F.lit(0)), "_j").drop("_j")

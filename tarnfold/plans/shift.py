@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnfold.operators import metrics, paired, reduction, sampling, scaling, summaries
-from tarnfold.session import bounded
+from tarnfold.session import bounded, settle
 
 
 def standard_vs_hard(scored: DataFrame, by, split: str = "split", average: str = "macro") -> DataFrame:
@@ -33,9 +33,11 @@ def run_matrix(train: DataFrame, test: DataFrame, vector: str, run: str, weights
     is what the experiment asks for; the parameter table is broadcast within its bound.
     """
     params = scaling.fit_minmax_by(train, vector, [run]).join(weights, run).withColumnRenamed(run, "train_run")
-    ids = [r[0] for r in params.select("train_run").distinct().orderBy("train_run").limit(10_000).collect()]
-    offered = test.withColumnRenamed(run, "test_run").withColumn("train_run", F.explode(F.array(*[F.lit(i) for i in ids])))
-    joined = offered.join(bounded(params), "train_run")
+    params = settle(params.withColumn("_at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("train_run"))))
+    runs = params.count()
+    offered = test.withColumnRenamed(run, "test_run").withColumn("_at", F.explode(F.sequence(F.lit(1), F.lit(runs)))) if runs \
+        else test.withColumnRenamed(run, "test_run").withColumn("_at", F.lit(0))
+    joined = offered.join(bounded(params), "_at").drop("_at")
     unit = F.zip_with(F.zip_with(F.col(vector), F.col("low"), lambda v, l: v - l), F.zip_with("high", "low", lambda h, l: h - l),
                       lambda v, s: F.when(s > 0, v / s).otherwise(v))
     score = F.aggregate(F.zip_with(unit, F.col("w"), lambda a, b: a * b), F.col("b"), lambda s, v: s + v)

@@ -32,11 +32,16 @@ def settle(df: DataFrame, max_rows: int = BOUNDED_ROWS) -> DataFrame:
     """Run an aggregated side once and keep it as a one-partition local table if it has at most ``max_rows`` rows.
 
     At most ``max_rows + 1`` rows are fetched, so the cost is bounded whatever the size. Windows and joins over the
-    result need no shuffle. Past the bound the plan stays distributed as it was.
+    result need no shuffle. Past the bound it stays distributed and is kept in the checkpoint folder, so that it is not
+    computed again at every use.
     """
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
-        return df
+        return cut_lineage(df)
+    return _local(df, rows)
+
+
+def _local(df: DataFrame, rows) -> DataFrame:
     if rows.num_rows == 0:
         return df.sparkSession.createDataFrame([], df.schema).coalesce(1)
     return df.sparkSession.createDataFrame(rows, schema=df.schema).coalesce(1)
@@ -45,8 +50,10 @@ def settle(df: DataFrame, max_rows: int = BOUNDED_ROWS) -> DataFrame:
 def bounded(df: DataFrame, max_rows: int = BOUNDED_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if it has at most ``max_rows`` rows, else leave it to a shuffle join, where adaptive
     execution splits hot keys."""
-    kept = settle(df, max_rows)
-    return kept if kept is df else F.broadcast(kept)
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df
+    return F.broadcast(_local(df, rows))
 
 
 def parts_of(spark: SparkSession) -> int:

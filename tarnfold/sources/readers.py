@@ -76,11 +76,12 @@ def read_sample_or_build(spark: SparkSession, path: str, expected_rows: int, bui
 
 
 def read_runs(spark: SparkSession, path: str, n_runs: int, run: str = "run") -> DataFrame:
-    """All runs of a data set partitioned by run number; a missing run is an error."""
+    """All runs 0..n_runs - 1 of a data set partitioned by run number; a missing run is an error, others are left out."""
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
     df = spark.read.parquet(path)
-    found = {r[0] for r in df.select(run).distinct().limit(n_runs + 1).collect()}
-    if len(found) < n_runs:
-        raise FileNotFoundError(f"{n_runs - len(found)} of {n_runs} runs missing under {path}")
+    df = df.filter(F.col(run).between(0, n_runs - 1))
+    missing = set(range(n_runs)) - {r[0] for r in df.select(run).distinct().collect()}  # n_runs rows at most
+    if missing:
+        raise FileNotFoundError(f"runs {sorted(missing)} missing under {path}")
     return df

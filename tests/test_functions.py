@@ -6,14 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnfold.functions import tails
-from tarnfold.functions.hashing import MULTIPLIER, PRIME, gaussian, seeded_hash, uniform, with_hash
+from tarnfold.functions.hashing import HIGH_MULTIPLIER, MULTIPLIER, PRIME, SECOND, draw_rank, gaussian, seeded_hash, uniform, with_hash
 from tarnfold.functions.scalars import band, clip, rescale
 
 
 def plain_hash(values, seed):
     acc = seed % PRIME
     for v in values:
-        acc = (acc * MULTIPLIER + v % PRIME + 12345) % PRIME
+        acc = (acc * MULTIPLIER + v % PRIME + (v >> 31) % PRIME * HIGH_MULTIPLIER + 12345) % PRIME
     return pow(acc, 5, PRIME)
 
 
@@ -24,6 +24,20 @@ def test_hash_is_the_stated_arithmetic(spark):
         assert r["_h"] == r["h2"] == plain_hash([r["id"], r["other"]], 42)
 
 
+def test_keys_a_prime_apart_differ_and_text_keys_work(spark):
+    df = spark.createDataFrame([(5, "u5"), (5 + PRIME, "u751"), (5 + 2 * PRIME, None), (-7, ""), (2 ** 62, "x")], "id bigint, name string")
+    rows = with_hash(with_hash(df, ["id"], 1, "a"), ["name"], 1, "b").collect()
+    assert len({r["a"] for r in rows}) == len({r["b"] for r in rows}) == 5
+
+
+def test_every_rank_of_a_huge_table_can_be_drawn(spark):
+    n = 5 * 10 ** 12
+    rows = spark.range(2000).select("id", draw_rank(["id"], n, 9).alias("r"), draw_rank(["id"], 3, 9).alias("s")).collect()
+    for r in rows:
+        assert r["r"] == 1 + (plain_hash([r["id"]], 9) * PRIME + plain_hash([r["id"], SECOND], 9)) % n
+    assert sum(r["r"] > 2 ** 31 for r in rows) > 1990 and max(r["r"] for r in rows) > 0.99 * n and {r["s"] for r in rows} == {1, 2, 3}
+
+
 def test_hash_permutes_small_ids_and_is_even(spark):
     df = spark.range(100_000).select(uniform(["id"], 7).alias("u"), gaussian(["id"], 7).alias("g"), seeded_hash(["id"], 7).alias("h"))
     r = df.agg(F.count_distinct("h").alias("d"), F.avg("u").alias("m"), F.avg("g").alias("gm"), F.stddev_pop("g").alias("gs"),

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarnfold.operators import quotas, ranking
+from tarnfold.operators import ranking
 from tarnfold.operators import sampling as S
 
 SECOND = ["Normal", "Generic", "Exploits", "Fuzzers", "DoS", "Reconnaissance", "Analysis", "Backdoor", "Shellcode", "Worms"]
@@ -45,21 +45,73 @@ def test_other_seeds(spark, seed):
     assert S.stratified_sample(make(spark, counts), n, "category", ["id"], rare, m, "lrm_balanced", seed).count() == n
 
 
+STRATA = {"c0": 3, "c1": 40, "big": 1000, "mid": 400, "tiny": 1}
+
+
+@pytest.mark.parametrize("mode, want", [
+    # rare c0 and c1 share 2 x 10: one each, 18 left by count 3 : 40, so 1.256 and 16.744; others 80: one each, 77 left by 1000 : 400 : 1
+    ("pooled", {"c0": 2, "c1": 18, "big": 56, "mid": 23, "tiny": 1}),
+    # ten for each rare one, of which c0 has three and repeats them
+    ("per_category", {"c0": 10, "c1": 10, "big": 56, "mid": 23, "tiny": 1}),
+    # floors of 80 x share: 57.1, 22.8 and at least one: all spent
+    ("floor", {"c0": 10, "c1": 10, "big": 57, "mid": 22, "tiny": 1}),
+    ("lrm_balanced", {"c0": 10, "c1": 10, "big": 57, "mid": 22, "tiny": 1}),
+])
+def test_quotas_by_hand(spark, mode, want):
+    table = spark.createDataFrame(sorted(STRATA.items()), "category string, n bigint").coalesce(1)
+    got = {r["category"]: r["quota"] for r in S.plan_quotas(table, 100, "category", ["c0", "c1"], 10, mode).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("mode", ["pooled", "per_category", "floor", "lrm_balanced"])
-def test_arithmetic_and_table_quotas_agree(spark, mode):
+def test_quotas_of_many_groups_sum_to_their_size(spark, mode):
     rng = random.Random(5)
-    rows, want = [], {}
-    for g in range(25):
-        k = rng.randint(2, 8)
-        counts = {f"c{i}": rng.choice([1, 2, 3, 10, 57, 400, 1000]) for i in range(k)}
-        n, m = rng.choice([5, 10, 33, 100, 777]), rng.choice([0, 1, 5, 20])
-        rows += [(g, c, v, n, m) for c, v in counts.items()]
-        for c, q in quotas.plan(counts, n, ["c0", "c1"], m, mode).items():
-            want[(g, c)] = q
-        assert sum(quotas.plan(counts, n, ["c0", "c1"], m, mode).values()) == n
+    rows = [(g, c if c != "c2" else None, rng.choice([1, 2, 3, 10, 57, 400, 1000]), 5 + 30 * (g % 5), g % 7) for g in range(25) for c in ("c0", "c1", "c2", "c3", "c4")[:2 + g % 4]]
     table = spark.createDataFrame(rows, "g int, category string, n bigint, want bigint, least_rare bigint").coalesce(1)
-    got = S.plan_quotas_table(table, F.col("want"), "category", ["c0", "c1"], F.col("least_rare"), mode, ["g"]).collect()
-    assert {(r["g"], r["category"]): r["quota"] for r in got} == want
+    got = S.plan_quotas(table, F.col("want"), "category", ["c0", "c1"], F.col("least_rare"), mode, ["g"]).collect()
+    sums = {}
+    for r in got:
+        sums[r["g"]] = sums.get(r["g"], 0) + r["quota"]
+    assert len(got) == len(rows) and sums == {g: 5 + 30 * (g % 5) for g in range(25)}
+
+
+def test_surplus_of_many_tiny_strata_is_taken_back(spark):
+    """Floors of one for 60 strata make 60 + 30; 40 rows are wanted, so the big stratum gives its surplus back."""
+    table = spark.createDataFrame([("big", 3000)] + [(f"t{i:02d}", 1) for i in range(30)], "category string, n bigint").coalesce(1)
+    got = {r["category"]: r["quota"] for r in S.plan_quotas(table, 40, "category", mode="lrm_balanced").collect()}
+    assert sum(got.values()) == 40 and got["big"] == 10 and all(got[f"t{i:02d}"] == 1 for i in range(30))
+
+
+def with_null(spark):
+    """1000 rows, 100 of them without a category, with text keys."""
+    rows = [(f"u{i}", None if i % 10 == 0 else "ABC"[i % 3], float(i % 37), i % 2) for i in range(1000)]
+    return spark.createDataFrame(rows, "key string, category string, score double, y int")
+
+
+def test_a_null_stratum_is_a_stratum(spark):
+    df = with_null(spark)
+    assert S.stratified_sample(df, 500, "category", ["key"], ["A"], 5).count() == 500
+    split = S.stratified_split(df, 500, "category", ["key"])
+    assert split.count() == 500 and split.filter("category IS NULL").count() == 50
+    folds = S.stratified_folds(df, 5, "category", ["key"]).groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col("category").isNull()).alias("m")).collect()
+    assert [(r["n"], r["m"]) for r in folds] == [(200, 20)] * 5
+    subset = S.cv_subset(df, 300, "category", ["key"], ["B"])
+    assert subset.count() == 300 or subset.filter("category = 'B'").count() == 300
+    assert S.cv_subset(df, 600, "category", ["key"], ["B"]).filter("category IS NULL").count() > 0
+    again = S.draw(df, S.stratum_counts(df, "category").withColumn("quota", F.lit(150).cast("long")), "category", ["key"], 3)
+    assert again.filter("category IS NULL").count() == 150 and again.count() == 600
+
+
+def test_a_null_group_has_quantiles_curves_and_bins(spark):
+    from tarnfold.operators import metrics, summaries
+    df = with_null(spark)
+    none = [r[0] for r in df.filter("category IS NULL").select("score").collect()]
+    got = {r["category"]: r for r in ranking.exact_quantiles(df, ["category"], "score", [0.0, 0.5, 1.0]).collect()}
+    assert len(got) == 4 and got[None]["p00"] == min(none) and got[None]["p100"] == max(none)
+    auc = {r["category"]: r["auc"] for r in metrics.roc_auc(df, ["category"], "score").collect()}
+    assert set(auc) == {None, "A", "B", "C"}
+    bins = metrics.reliability(df, ["category"], "score", ["key"])
+    assert bins.agg(F.sum("size")).first()[0] == 1000 and summaries is not None
 
 
 def test_short_pool_repeats_rows(spark):

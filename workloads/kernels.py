@@ -13,7 +13,7 @@ from tarnfold.operators.ranking import value_ranks
 from tarnfold.session import settle
 from workloads import tables as t
 from workloads.registry import query
-from workloads.tables import ANGLES, VECTORS, r, sql_gaussian, sql_hash
+from workloads.tables import ANGLES, VECTORS, r, sql_gaussian, sql_hash, sql_rank
 
 M_REF = 64
 
@@ -253,7 +253,7 @@ def block_ratio(spark, sf):
 
 
 BOOT = f"""{ANGLES}, numbered AS (SELECT *, row_number() OVER (ORDER BY {sql_hash(['vec_id'], 42)}, vec_id) AS rn FROM angles),
-slots AS (SELECT id // 300 AS replicate, 1 + {sql_hash(['id'], 43)} % (SELECT count(*) FROM angles) AS rn FROM (SELECT unnest(range(0, 6000)) AS id)),
+slots AS (SELECT id // 300 AS replicate, {sql_rank(['id'], '(SELECT count(*) FROM angles)', 43)} AS rn FROM (SELECT unnest(range(0, 6000)) AS id)),
 drawn AS (SELECT replicate, y, x0, x1, x2, x3 FROM slots JOIN numbered USING (rn)),
 pairs AS (SELECT a.replicate, ((a.x0 * b.x0 + a.x1 * b.x1 + a.x2 * b.x2 + a.x3 * b.x3) / 4) ** 2 AS k, a.y AS yi, b.y AS yj FROM drawn a JOIN drawn b ON a.replicate = b.replicate),
 tr AS (SELECT replicate, sum(((x0 * x0 + x1 * x1 + x2 * x2 + x3 * x3) / 4) ** 2) AS trace FROM drawn GROUP BY replicate)"""
@@ -350,7 +350,7 @@ def sample_noise_summary(spark, sf):
 
 # each row and a row drawn for it by hash
 RANDOM = f"""{VECTORS}, ranked AS (SELECT vec_id, v, row_number() OVER (ORDER BY vec_id) AS rank FROM vectors),
-fid AS (SELECT a.vec_id, exp(-0.5 * list_distance(a.v, b.v) ** 2) AS f FROM ranked a JOIN ranked b ON b.rank = 1 + {sql_hash(['a.vec_id'], 42)} % (SELECT count(*) FROM vectors))"""
+fid AS (SELECT a.vec_id, exp(-0.5 * list_distance(a.v, b.v) ** 2) AS f FROM ranked a JOIN ranked b ON b.rank = {sql_rank(['a.vec_id'], '(SELECT count(*) FROM vectors)', 42)})"""
 
 
 def random_values(spark, sf):

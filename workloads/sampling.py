@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tarnfold.operators import sampling as S
 from workloads import tables as t
 from workloads.registry import query, table
-from workloads.tables import FLOWS, KEY, RARE, sql_hash
+from workloads.tables import FLOWS, KEY, RARE, sql_hash, sql_rank
 
 K = ", ".join(KEY)
 
@@ -32,7 +32,7 @@ def drawn(source: str, quotas: str, seed: int, name: str = "sample", stratum: st
     keys = keys or KEY
     return f"""{name}_r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {sql_hash(groups + keys, seed)}, {key}) AS rn FROM {source}),
 {name}_q AS (SELECT *, row_number() OVER ({'PARTITION BY ' + group if group else ''} ORDER BY {stratum}) AS ord FROM {quotas} WHERE quota > 0),
-{name}_s AS (SELECT {by}, slot, 1 + {sql_hash(groups + ['ord', 'slot'], seed)} % n AS rn
+{name}_s AS (SELECT {by}, slot, {sql_rank(groups + ['ord', 'slot'], 'n', seed)} AS rn
   FROM (SELECT *, unnest(range(1, quota + 1)) AS slot FROM {name}_q WHERE quota > n)),
 {name} AS (SELECT r.*, 1 AS draw FROM {name}_r r JOIN {name}_q q USING ({by}) WHERE q.quota <= q.n AND r.rn <= q.quota
   UNION ALL SELECT r.*, s.slot FROM {name}_r r JOIN {name}_s s USING ({by}, rn))"""

@@ -105,7 +105,7 @@ def candidate_report(spark, sf):
 
 BOOT = FLOWS + f""",
 ranked AS (SELECT y, l_quantity, row_number() OVER (ORDER BY {t.sql_hash(t.KEY, 42)}, {', '.join(t.KEY)}) AS rn FROM flows),
-slots AS (SELECT id // 500 AS replicate, 1 + {t.sql_hash(['id'], 43)} % (SELECT count(*) FROM flows) AS rn FROM (SELECT unnest(range(0, 20000)) AS id)),
+slots AS (SELECT id // 500 AS replicate, {t.sql_rank(['id'], '(SELECT count(*) FROM flows)', 43)} AS rn FROM (SELECT unnest(range(0, 20000)) AS id)),
 drawn AS (SELECT replicate, y, l_quantity FROM slots JOIN ranked USING (rn))"""
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.functions import vectors as V
-from tarnfold.functions.hashing import MULTIPLIER, PRIME
+from tarnfold.functions.hashing import MULTIPLIER, PRIME, SECOND
 from tarnfold.operators.scaling import ANGLE_MAX
 from workloads.registry import table
 
@@ -139,6 +139,11 @@ def sql_hash(values, seed) -> str:
     return f"(((({sq} * {sq}) % {PRIME}) * {acc}) % {PRIME})"
 
 
+def sql_rank(values, n: str, seed) -> str:
+    """The draw of a rank 1..n."""
+    return f"(1 + ({sql_hash(values, seed)} * {PRIME} + {sql_hash([*values, SECOND], seed)}) % {n})"
+
+
 def sql_uniform(values, seed) -> str:
     return f"(({sql_hash(values, seed)} + 0.5) / {float(PRIME)!r})"
 
