@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.operators import paired as P
 from workloads import tables as t
+from workloads import tails
 from workloads.registry import query
 from workloads.summaries import RESULTS, results
 from workloads.tables import SCORED, SCORED_RARE, TRUTH, r
@@ -44,7 +45,8 @@ def mcnemar_statistic(spark, sf):
     return P.mcnemar_chi2(P.agreement(t.scored(spark, sf), ["run"]), False).select("run", "only_a", "only_b", "statistic")
 
 
-@query("j03_mcnemar_p_value")
+@query("j03_mcnemar_p_value", f"""WITH {TRUTH}, c AS (SELECT lang, {CELLS} FROM truth GROUP BY lang), s AS (SELECT lang, only_a, only_b, CAST({STAT} AS DOUBLE) AS x FROM c)
+SELECT lang, only_a, only_b, {r('x', 'statistic')}, {r(tails.chi2_upper('x'), 'p_value')} FROM s""")
 def mcnemar_p_value(spark, sf):
     return P.mcnemar_chi2(P.agreement(t.truth(spark, sf), ["lang"])).select("lang", "only_a", "only_b", "statistic", "p_value")
 
@@ -119,7 +121,9 @@ def mann_whitney(spark, sf):
     return P.mann_whitney(t.scored(spark, sf), "value", "y", ["run"], pvalues=False)
 
 
-@query("j08_mann_whitney_p")
+@query("j08_mann_whitney_p", f"""WITH {TRUTH}, {RANKS.replace('run', 'lang').replace('value', 'score').replace('FROM scored', 'FROM truth')},
+w AS (SELECT lang, n1, n0, uu, (uu - n1 * n0 / 2 - 0.5) / sqrt(var) AS z FROM v)
+SELECT lang, n1, n0, {r('uu', 'u')}, {r('z', 'z')}, {r(tails.normal_upper('z'), 'p_value')} FROM w""")
 def mann_whitney_p(spark, sf):
     return P.mann_whitney(t.truth(spark, sf), "score", "y", ["lang"])
 

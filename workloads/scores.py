@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.operators import reduction, scaling, scoring
 from workloads import tables as t
+from workloads import tails
 from workloads.encoding import PAIR_PCA
 from workloads.registry import query
 from workloads.summaries import SCORE_TABLE
@@ -16,6 +17,7 @@ VECTOR_F = VECTORS_LONG + """,
 stats AS (SELECT pos, label, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM cells GROUP BY ALL),
 grand AS (SELECT pos, sum(n * m) / sum(n) AS g FROM stats GROUP BY pos),
 fscore AS (SELECT pos, (sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) AS f_score,
+           count(*) - 1 AS d1, CAST(sum(n) - count(*) AS DOUBLE) AS d2,
            sum(n * (m - g) * (m - g)) / (sum(n * v) + 1e-8) AS fisher FROM stats JOIN grand USING (pos) GROUP BY pos)"""
 
 
@@ -29,7 +31,10 @@ def anova_f_vectors(spark, sf):
     return scoring.anova(t.vectors(spark, sf), "v", "label", NAMES, pvalues=False).select("feature", "f_score")
 
 
-@query("f01_anova_p_values")
+VECTOR_P = f"{VECTOR_F}, pvalues AS (SELECT pos, f_score, {tails.f_upper('f_score', 'd1', 'd2')} AS p FROM fscore)"
+
+
+@query("f01_anova_p_values", f"WITH {VECTOR_P} SELECT 'v' || pos AS feature, {r('f_score', 'f_score')}, {r('p', 'p_value')} FROM pvalues")
 def anova_p_values(spark, sf):
     return scoring.anova(t.vectors(spark, sf), "v", "label", NAMES).select("feature", "f_score", "p_value")
 
@@ -54,7 +59,8 @@ def mutual_information(spark, sf):
     return scoring.binned_mutual_information(t.flows(spark, sf), t.NUMERIC, "y").select("feature", "mutual_information")
 
 
-@query("f04_significance_counts")
+@query("f04_significance_counts", f"""WITH {VECTOR_P} SELECT count(*) FILTER (p < 0.05) AS n_significant, count(*) FILTER (p >= 0.05 OR p IS NULL) AS n_not_significant,
+  count(*) FILTER (coalesce(f_score, 0) <= 1e-12) AS n_zero FROM pvalues""")
 def significance_counts(spark, sf):
     return scoring.significance_counts(scoring.anova(t.vectors(spark, sf), "v", "label", NAMES))
 
@@ -139,10 +145,11 @@ def spearman(spark, sf):
     return out.filter("i < j").select("a", "b", "spearman")
 
 
-@query("f23_spearman_p_values")
+@query("f23_spearman_p_values", f"""WITH {RANKS}, c AS ({_corr_sql('(SELECT corr({a}, {b}) FROM ranks)')}), n AS (SELECT CAST(count(*) - 2 AS DOUBLE) AS d FROM flows),
+s AS (SELECT a, b, v, d, abs(v) * sqrt(d / (1.0 - v * v)) AS t FROM c, n) SELECT a, b, {r('v', 'spearman')}, {r(tails.t_two_sided('t', 'd'), 'p_value')} FROM s""")
 def spearman_p_values(spark, sf):
-    v = t.vectors(spark, sf).withColumn("v", F.slice("v", 1, 6))
-    return scoring.spearman(v, "v", NAMES[:6]).filter("i < j").select("a", "b", "spearman", "p_value")
+    out = scoring.spearman(t.flow_vectors(spark, sf), "features", t.NUMERIC)
+    return out.filter("i < j").select("a", "b", "spearman", "p_value")
 
 
 @query("f24_strong_pairs", f"""
