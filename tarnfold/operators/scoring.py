@@ -13,7 +13,7 @@ from tarnfold.functions.moments import per_feature, vector_summary
 from tarnfold.functions.tails import f_pvalue, t_pvalue
 from tarnfold.functions.vectors import euclidean
 from tarnfold.operators.ranking import Splits, average_ranks, running_totals
-from tarnfold.session import bounded
+from tarnfold.session import bounded, cut_lineage
 
 
 def class_moments(df: DataFrame, vector: str, label: str, names, by=()) -> DataFrame:
@@ -192,26 +192,28 @@ def _corr(df: DataFrame, vector: str, method: str):
 
 
 def rank_vectors(df: DataFrame, vector: str, dim: int, out: str = "ranks") -> DataFrame:
-    """Each component replaced by its average rank: one value table per component, joined back on the value.
+    """Each component replaced by its average rank, whatever the number of components in one plan: rows are unpivoted to
+    (row, component, value), one value table ranks all components, and the ranks meet their rows again by row number.
 
-    A component with few distinct values is broadcast, so hot values do not skew its join.
+    Rows with a null in any component are left out and not ranked.
     """
-    rows = df.select(*[F.col(vector)[i].cast("double").alias(f"_c{i}") for i in range(dim)])
-    ranked = rows
-    borders = Splits.of_each(rows, rows.columns)
-    for i in range(dim):
-        table = average_ranks(rows, [], f"_c{i}", borders[i]).select(f"_c{i}", F.col("avg_rank").alias(f"_r{i}"))
-        ranked = ranked.join(bounded(table), f"_c{i}")
-    return ranked.select(F.array(*[F.col(f"_r{i}") for i in range(dim)]).alias(out))
+    cells = F.col(vector).cast("array<double>")
+    whole = df.filter(cells.isNotNull() & ~F.exists(cells, lambda v: v.isNull()))
+    rows = cut_lineage(whole.select(F.monotonically_increasing_id().alias("_row"), F.slice(cells, 1, dim).alias("_v")))
+    long = rows.select("_row", F.posexplode("_v").alias("_pos", "_value"))
+    table = average_ranks(long, ["_pos"], "_value").select("_pos", "_value", "avg_rank")
+    ranked = long.join(table, ["_pos", "_value"]).groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_pos", "avg_rank"))).alias("_z"))
+    return ranked.select(F.transform("_z", lambda z: z["avg_rank"]).alias(out))
 
 
 def spearman(df: DataFrame, vector: str, names, pvalues: bool = True) -> DataFrame:
-    """Spearman coefficients (Pearson of average ranks), with two-sided p from Student's t on the result rows."""
-    ranks = rank_vectors(df, vector, len(names))
+    """Spearman coefficients (Pearson of average ranks) of the rows without nulls, with two-sided p from Student's t on the
+    result rows."""
+    ranks = cut_lineage(rank_vectors(df, vector, len(names)))
     out = _matrix_rows(df.sparkSession, _corr(ranks, "ranks", "pearson"), names, "spearman")
     if not pvalues:
         return out
-    n = df.count()
+    n = ranks.count()
     rho = F.col("spearman")
     t = F.abs(rho) * F.sqrt(F.try_divide(F.lit(float(n - 2)), F.lit(1.0) - rho * rho))
     p = F.when(F.abs(rho) >= 1.0 - 1e-15, F.lit(0.0)).when(rho.isNotNull(), t_pvalue(t, F.lit(n - 2)))

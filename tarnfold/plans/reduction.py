@@ -7,10 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.operators import classifiers, reduction, scaling, scoring, search
+from tarnfold.operators import classifiers, kernels, metrics, reduction, scaling, scoring, search
 from tarnfold.functions.moments import per_feature, vector_summary
+from tarnfold.functions.vectors import squared_distance
 from tarnfold.operators.encoding import FrozenOneHot
 from tarnfold.operators.scaling import ANGLE_MAX
+from tarnfold.session import bounded
 
 
 @dataclass
@@ -129,3 +131,29 @@ def objective_intervals(train: DataFrame, vector: str, label: str, key, candidat
     f = F.lit(weights["alpha"]) * F.col("v_n") + F.lit(weights["beta"]) * (F.col("s") - F.lit(s_min)) / F.lit(s_span) \
         - F.lit(weights["gamma"]) * F.col("q_n")
     return search.interval(per.select("replicate", "n", f.alias("f")), "f", ["n"])
+
+
+def k_degeneracy(df: DataFrame, vector: str, y: str, run: str, key: str, names, ks) -> DataFrame:
+    """Small feature sets per run: (k, run) -> alignment of the linear kernel, confusion cells and degeneracy of the nearest-mean
+    classifier. Each run ranks its own features; a row meets every k once, with the components beyond k set to zero, so all
+    sets and runs go through one plan."""
+    ks = sorted({int(k) for k in ks if k <= len(names)})
+    scores = scoring.anova(df, vector, y, names, [run], pvalues=False)
+    order = scoring.top_k(scores, ks[-1], by=[run]).groupBy(run).agg(F.sort_array(F.collect_list(F.struct("rank", "pos"))).alias("_o"))
+    order = order.select(run, F.transform("_o", lambda z: z["pos"]).alias("_order"))
+    rows = df.select(run, key, F.col(y).alias("y"), F.col(vector).cast("array<double>").alias("_v")).join(bounded(order), run)
+    picked = rows.withColumn("_x", F.expr("transform(_order, p -> _v[p])")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    picked = picked.select("k", run, key, "y", F.expr("transform(_x, (v, i) -> if(i < k, v, 0.0D))").alias("x"))
+    alignment = kernels.map_statistics(picked, "x", ks[-1], "y", ["k", run]).select("k", run, "alignment")
+    means = vector_summary(picked, "x", ["k", run, "y"]).groupBy("k", run).agg(
+        F.max(F.when(F.col("y") == 0, F.col("mean"))).alias("_m0"), F.max(F.when(F.col("y") == 1, F.col("mean"))).alias("_m1"))
+    nearest = picked.join(bounded(means), ["k", run])
+    pred = F.coalesce((squared_distance(F.col("x"), F.col("_m1")) < squared_distance(F.col("x"), F.col("_m0"))).cast("int"), F.when(F.col("_m0").isNull(), 1).otherwise(0))
+    cells = metrics.confusion(nearest.withColumn("pred", pred), ["k", run])
+    return metrics.degeneracy(cells).join(alignment, ["k", run])
+
+
+def k_degeneracy_summary(table: DataFrame) -> DataFrame:
+    """Mean and standard deviation over runs for every k, and how many runs are degenerate."""
+    return table.groupBy("k").agg(F.avg("alignment").alias("alignment_mean"), F.stddev_samp("alignment").alias("alignment_std"), F.avg("f1").alias("f1_mean"),
+                                  F.stddev_samp("f1").alias("f1_std"), F.count_if("is_degenerate").alias("n_degenerate"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tarnfold.operators import reduction, scaling, scoring
+from tarnfold.plans import reduction as R
 from workloads import tables as t
 from workloads import tails
 from workloads.encoding import PAIR_PCA
@@ -192,3 +193,39 @@ def category_anova(spark, sf):
     return scoring.anova(t.flow_vectors(spark, sf), "features", "category", t.NUMERIC, ["run"], pvalues=False).select("run", "feature", "f_score")
 
 
+
+
+K_SET = (1, 2, 4, 8, 16, 32, 64)
+K_SQL = f"""{t.VECTORS}, cells AS (SELECT vec_id, vec_id % 5 AS run, y, unnest(range(0, 64)) AS pos, unnest(v) AS x FROM vectors),
+st AS (SELECT run, pos, y, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM cells GROUP BY ALL),
+g AS (SELECT run, pos, sum(n * m) / sum(n) AS g FROM st GROUP BY ALL),
+fs AS (SELECT run, pos, (sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) AS f FROM st JOIN g USING (run, pos) GROUP BY ALL),
+rk AS (SELECT run, pos, row_number() OVER (PARTITION BY run ORDER BY f DESC, pos) AS rk FROM fs),
+ks AS (SELECT unnest({list(K_SET)}) AS k),
+top AS (SELECT c.*, rk FROM cells c JOIN rk USING (run, pos)),
+ys AS (SELECT run, pos, rk, sum((2 * y - 1) * x) AS s FROM top GROUP BY ALL),
+yky AS (SELECT k, run, sum(s * s) AS yky FROM ys, ks WHERE rk <= k GROUP BY ALL),
+mm AS (SELECT a.run, greatest(a.rk, b.rk) AS rk, sum(a.x * b.x) AS s FROM top a JOIN top b USING (vec_id) GROUP BY a.run, a.rk, b.rk),
+k2 AS (SELECT k, run, sqrt(sum(s * s)) AS norm FROM mm, ks WHERE rk <= k GROUP BY ALL),
+me AS (SELECT run, pos, avg(x) FILTER (y = 0) AS m0, avg(x) FILTER (y = 1) AS m1 FROM top GROUP BY ALL),
+ds AS (SELECT k, t.run, vec_id, y, sum((x - m1) ** 2 - (x - m0) ** 2) AS d FROM top t JOIN me USING (run, pos), ks WHERE rk <= k GROUP BY ALL),
+cf AS (SELECT k, run, count(*) AS n, count(*) FILTER (y = 0 AND d >= 0) AS tn, count(*) FILTER (y = 0 AND d < 0) AS fp, count(*) FILTER (y = 1 AND d >= 0) AS fn,
+  count(*) FILTER (y = 1 AND d < 0) AS tp FROM ds GROUP BY ALL),
+res AS (SELECT k, run, tn, fp, fn, tp, yky / (norm * n) AS alignment, coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, tn = 0 AND fn = 0 AS is_degenerate
+  FROM cf JOIN yky USING (k, run) JOIN k2 USING (k, run))"""
+
+
+def k_table(spark, sf):
+    v = t.vectors(spark, sf).withColumn("run", F.col("vec_id") % 5)
+    return R.k_degeneracy(v, "v", "y", "run", "vec_id", NAMES, K_SET)
+
+
+@query("f08_k_degeneracy", f"WITH {K_SQL} SELECT k, run, tn, fp, fn, tp, {r('alignment', 'alignment')}, {r('f1', 'f1')}, is_degenerate FROM res")
+def k_degeneracy(spark, sf):
+    return k_table(spark, sf).select("k", "run", "tn", "fp", "fn", "tp", "alignment", "f1", "is_degenerate")
+
+
+@query("f08_k_summary", f"""WITH {K_SQL} SELECT k, {r('avg(alignment)', 'alignment_mean')}, {r('stddev_samp(alignment)', 'alignment_std')}, {r('avg(f1)', 'f1_mean')},
+  {r('stddev_samp(f1)', 'f1_std')}, count(*) FILTER (is_degenerate) AS n_degenerate FROM res GROUP BY k""")
+def k_summary(spark, sf):
+    return R.k_degeneracy_summary(k_table(spark, sf))
