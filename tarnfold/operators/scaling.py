@@ -18,6 +18,8 @@ from tarnfold.functions.scalars import clip, rescale
 from tarnfold.session import bounded
 
 ANGLE_MAX = math.pi
+#: Components written out one by one in a projection; longer vectors go through array functions, as generated code has a size limit.
+UNROLLED = 16
 
 
 @dataclass
@@ -32,6 +34,10 @@ class Scaler:
 
     def apply(self, df: DataFrame, vector: str, out: str | None = None, clipped: bool | None = None) -> DataFrame:
         limit = self.clipped if clipped is None else clipped
+        if len(self.shift) > UNROLLED:
+            moved = F.zip_with(F.col(vector).cast("array<double>"), F.lit([float(a) for a in self.shift]), lambda v, a: v - a)
+            cell = F.zip_with(moved, F.lit([float(s) for s in self.scale]), lambda v, s: v / s * F.lit(self.width) + F.lit(self.base))
+            return df.withColumn(out or vector, F.transform(cell, lambda v: clip(v, self.base, self.base + self.width)) if limit else cell)
         cells = []
         for i, (a, s) in enumerate(zip(self.shift, self.scale)):
             cell = (F.col(vector)[i].cast("double") - F.lit(a)) / F.lit(s) * F.lit(self.width) + F.lit(self.base)
@@ -90,8 +96,10 @@ def add_noise(df: DataFrame, vector: str, dim: int, sigmas, key, seed: int = 0,
     """Every row at every noise level: v_i + N(0, sigma), drawn from the hash of (extra, key, level number, i)."""
     levels = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(float(s)).alias("sigma")) for i, s in enumerate(sigmas)])
     spread = df.withColumn("_l", F.explode(levels))
-    cells = [
-        F.col(vector)[i] + F.col("_l.sigma") * gaussian([*extra, *key, F.col("_l.level"), F.lit(i)], seed) for i in range(dim)]
-    return spread.withColumn(out or vector, F.array(*cells)).withColumn("sigma", F.col("_l.sigma")).drop("_l")
+    def noisy(v, i):
+        return v + F.col("_l.sigma") * gaussian([*extra, *key, F.col("_l.level"), i], seed)
+
+    cells = F.transform(F.slice(vector, 1, dim), noisy) if dim > UNROLLED else F.array(*[noisy(F.col(vector)[i], F.lit(i)) for i in range(dim)])
+    return spread.withColumn(out or vector, cells).withColumn("sigma", F.col("_l.sigma")).drop("_l")
 
 

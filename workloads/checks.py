@@ -43,11 +43,11 @@ def selection_checks(spark, sf):
     return C.selection_checks(scaled, NUMERIC[:2], scores, 2)
 
 
-@query("l04_angle_checks", f"""WITH {t.ANGLES}, s AS (SELECT min(least(x0, x1, x2, x3)) AS low, max(greatest(x0, x1, x2, x3)) AS high, count(*) AS n, count(*) FILTER (x0 IS NULL OR x1 IS NULL OR x2 IS NULL OR x3 IS NULL) AS holes FROM angles)
-SELECT 'width' AS "check", true AS ok, 0.0::DOUBLE AS detail FROM s UNION ALL SELECT 'range', low >= -1e-9 AND high <= {math.pi!r} + 1e-9, {r('high', 'detail')} FROM s
+@query("l04_angle_checks", f"""WITH {t.ALL_ANGLES}, s AS (SELECT min(x) AS low, max(x) AS high, count(DISTINCT vec_id) AS n, count(*) FILTER (x IS NULL) AS holes, (SELECT count(*) FILTER (len(v) <> 64) FROM vectors) AS odd FROM angles)
+SELECT 'width' AS "check", odd = 0 AS ok, CAST(odd AS DOUBLE) AS detail FROM s UNION ALL SELECT 'range', low >= -1e-9 AND high <= {math.pi!r} + 1e-9, {r('high', 'detail')} FROM s
 UNION ALL SELECT 'no_nulls', holes = 0, CAST(holes AS DOUBLE) FROM s UNION ALL SELECT 'not_empty', n > 0, CAST(n AS DOUBLE) FROM s""")
 def angle_checks(spark, sf):
-    return C.angle_checks(t.angles(spark, sf), "x", 4, math.pi)
+    return C.angle_checks(t.all_angles(spark, sf), "x", t.DIM, math.pi)
 
 
 @query("l05_leaked_labels", f"WITH {FLOWS} SELECT 'y' AS \"column\", count(y) AS filled FROM flows")

@@ -56,12 +56,10 @@ def min_max(spark, sf):
     return out.groupBy("l_returnflag").agg(F.avg("l_extendedprice").alias("price"), F.max("l_extendedprice").alias("top"), F.avg("l_tax").alias("tax"))
 
 
-@query("e04_angles", f"""
-WITH {t.ANGLES} SELECT vec_id, {', '.join(r(f'x{i}', f'x{i}') for i in range(4))} FROM angles""")
+@query("e04_angles", f"WITH {t.ALL_ANGLES} SELECT vec_id, pos, {r('x', 'x')} FROM angles")
 def angle_scaling(spark, sf):
-    v = t.vectors(spark, sf).withColumn("x", F.slice("v", 1, 4))
-    scaler = scaling.fit_minmax(v, "x", 0.0, math.pi)
-    return scaler.apply(v, "x").select("vec_id", *[F.col("x")[i].alias(f"x{i}") for i in range(4)])
+    """Every component of every vector."""
+    return t.all_angles(spark, sf).select("vec_id", F.posexplode("x").alias("pos", "x"))
 
 
 @query("e05_standardize", f"""
@@ -127,17 +125,17 @@ def pca_per_run(spark, sf):
     return out.groupBy("run").agg(F.count("*").alias("n"), *[F.var_samp(F.col("scores")[i]).alias(f"var{i}") for i in range(4)])
 
 
-SIGMAS = [0.0, 0.05, 0.1]
+SIGMAS = [0.0, 0.05, 0.1, 0.15, 0.2]
 
 
 @query("e09_gaussian_noise", f"""
-WITH {t.ANGLES}, levels AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE), (1, 0.05::DOUBLE), (2, 0.1::DOUBLE)) v(lev, sigma)),
-noisy AS (SELECT vec_id, sigma, {', '.join(f"x{i} + sigma * {sql_gaussian(['vec_id', 'lev', i], 11)} AS x{i}" for i in range(4))} FROM angles, levels)
-SELECT vec_id, {r('sigma', 'sigma')}, {', '.join(r(f'greatest(0.0, least({math.pi!r}, x{i}))', f'x{i}') for i in range(4))} FROM noisy""")
+WITH {t.ALL_ANGLES}, levels AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE), (1, 0.05::DOUBLE), (2, 0.1::DOUBLE), (3, 0.15::DOUBLE), (4, 0.2::DOUBLE)) v(lev, sigma)),
+noisy AS (SELECT vec_id, sigma, pos, x + sigma * {sql_gaussian(['vec_id', 'lev', 'pos'], 11)} AS x FROM angles, levels)
+SELECT vec_id, {r('sigma', 'sigma')}, pos, {r(f'greatest(0.0, least({math.pi!r}, x))', 'x')} FROM noisy""")
 def gaussian_noise(spark, sf):
-    noisy = scaling.add_noise(t.angles(spark, sf), "x", 4, SIGMAS, ["vec_id"], 11)
-    limited = scaling.Scaler([0.0] * 4, [math.pi] * 4, 0.0, math.pi, True).apply(noisy, "x")
-    return limited.select("vec_id", "sigma", *[F.col("x")[i].alias(f"x{i}") for i in range(4)])
+    noisy = scaling.add_noise(t.all_angles(spark, sf), "x", t.DIM, SIGMAS, ["vec_id"], 11)
+    limited = scaling.Scaler([0.0] * t.DIM, [math.pi] * t.DIM, 0.0, math.pi, True).apply(noisy, "x")
+    return limited.select("vec_id", "sigma", F.posexplode("x").alias("pos", "x"))
 
 
 @query("e10_pca_scores_pair", f"""

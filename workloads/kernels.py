@@ -393,14 +393,12 @@ def monotonicity(spark, sf):
 ALIGN = "sum(k * (2 * yi - 1) * (2 * yj - 1)) / (sqrt(sum(k * k)) * sqrt(count(*)))"
 
 
-@query("g24_scaled_alignment", f"""WITH {ANGLES},
-pairs AS (SELECT a.y AS yi, b.y AS yj, a.x0 * b.x0 + a.x1 * b.x1 + a.x2 * b.x2 + a.x3 * b.x3 AS k FROM angles a, angles b),
-four AS (SELECT yi, yj, 4.0 * k AS k FROM pairs)
+@query("g24_scaled_alignment", f"""WITH {LINEAR_PAIRS}, four AS (SELECT yi, yj, 4.0 * k AS k FROM pairs)
 SELECT (SELECT {r(ALIGN, 'v').removesuffix(' AS v')} FROM pairs) AS alignment, (SELECT {r(ALIGN, 'v').removesuffix(' AS v')} FROM four) AS alignment_scaled""")
 def scaled_alignment(spark, sf):
     """Scaling all kernel values leaves the alignment where it was."""
-    a = t.angles(spark, sf)
-    twice = scaling.Scaler([0.0] * 4, [0.5] * 4).apply(a, "x")
-    both = a.select(F.lit("alignment").alias("which"), "y", "x").unionByName(twice.select(F.lit("alignment_scaled").alias("which"), "y", "x"))
-    stats = G.map_statistics(both, "x", 4, "y", ["which"])
+    v = t.vectors(spark, sf)
+    both = v.select("y", F.explode(F.array(F.struct(F.lit("alignment").alias("which"), F.col("v").alias("x")),
+                                           F.struct(F.lit("alignment_scaled").alias("which"), F.transform("v", lambda c: c * 2.0).alias("x")))).alias("z"))
+    stats = G.map_statistics(both.select("z.which", "y", "z.x"), "x", t.DIM, "y", ["which"])
     return stats.groupBy().pivot("which", ["alignment", "alignment_scaled"]).agg(F.first("alignment"))

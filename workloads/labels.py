@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.operators import labels as L
 from tarnfold.operators import metrics
+from tarnfold.session import bounded
 from workloads import tables as t
 from workloads.registry import query, table
 from workloads.tables import FLOWS, SCORED, r
@@ -23,7 +24,7 @@ FROM customer LEFT JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n
                          WHERE r_name <> 'ASIA') m ON c_nationkey = n_nationkey""")
 def category_lookup(spark, sf):
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
-    known = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).filter("r_name <> 'ASIA'")
+    known = nation.join(bounded(region), F.col("n_regionkey") == F.col("r_regionkey")).filter("r_name <> 'ASIA'")
     out = L.lookup(table(spark, sf, "customer"), "c_nationkey", known, "n_nationkey", "r_name", "category")
     return out.select("c_custkey", "category")
 

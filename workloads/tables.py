@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnfold.functions import vectors as V
 from tarnfold.functions.hashing import MULTIPLIER, PRIME, SECOND
-from tarnfold.operators.scaling import ANGLE_MAX
+from tarnfold.operators.scaling import ANGLE_MAX, fit_minmax
 from workloads.registry import table
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents"]
@@ -80,6 +80,12 @@ def angles(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("vec_id", "label", "y", F.array(*cells).alias("x"))
 
 
+def all_angles(spark: SparkSession, sf: str) -> DataFrame:
+    """All components scaled to [0, pi] over the table."""
+    v = vectors(spark, sf).withColumnRenamed("v", "x")
+    return fit_minmax(v, "x", 0.0, ANGLE_MAX).apply(v, "x")
+
+
 # --- the same in SQL --------------------------------------------------------------------------------------------
 
 FLOWS = """flows AS (
@@ -130,6 +136,11 @@ angles AS (
   FROM vectors, ranges)"""
 
 
+ALL_ANGLES = VECTORS_LONG + f""",
+spans AS (SELECT pos, min(x) AS lo, max(x) AS hi FROM cells GROUP BY pos),
+angles AS (SELECT vec_id, label, y, pos, (x - lo) / (hi - lo) * {math.pi!r} AS x FROM cells JOIN spans USING (pos))"""
+
+
 def sql_hash(values, seed) -> str:
     """The seeded hash as SQL text; values are nonnegative integer expressions."""
     acc = f"(CAST({seed} AS BIGINT) % {PRIME})"
