@@ -24,6 +24,11 @@ def keep(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def small(kept: DataFrame, most: int = 500_000) -> DataFrame:
+    """``kept`` (a kept table of a few numbers a row) marked for broadcast if a count of its rows says so, else left to a shuffle join."""
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnfold.llm.common import WORD_BREAK, lower_az, table
+from tarnfold.llm.common import WORD_BREAK, keep, lower_az, small, table
 
 
 def _words(text):
@@ -60,9 +60,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, size: int = 5, threshold: floa
     own, sketch = item_sketches(items, size, threshold, item_col, item_text_col)
     rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("id"), _words(F.col(text_col)).alias("words"))
     sized = rows.withColumn("doc_class", _size_class(F.size("words") - (size - 1)))
-    found = _shingles(sized.drop("id"), size, False).join(sketch, "h").filter(F.col("doc_class") >= F.col("item_class")) \
-        .select("row", "item").distinct()
-    some = rows.join(found.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"])
+    found = keep(_shingles(sized.drop("id"), size, False).join(sketch, "h").filter(F.col("doc_class") >= F.col("item_class")).select("row", "item").distinct())
+    some = rows.join(small(keep(found.select("row").distinct())), "row", "left_semi")
     shared = _shingles(some, size, True).join(own, ["h", "s"]).groupBy("row", "id", "item", "item_id", "n") \
         .agg(F.count_distinct("s").alias("shared")).filter(F.col("shared") >= F.ceil(threshold * F.col("n") - 1e-9))
     return shared.join(found, ["row", "item"]).groupBy("row", "id", "item_id") \
@@ -73,9 +72,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, size: int = 5, threshold: floa
 
 def drop_leaks(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no item."""
-    leaks = find_leaks(docs, items, size, threshold, id_col, text_col).select("row").distinct()
+    leaks = small(keep(find_leaks(docs, items, size, threshold, id_col, text_col).select(F.col("row").alias("_leak_row")).distinct()))
     tagged = docs.withColumn("_leak_row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return tagged.join(leaks, F.col("_leak_row") == F.col("row"), "left_anti").drop("_leak_row")
+    return tagged.join(leaks, "_leak_row", "left_anti").drop("_leak_row")
 
 
 def op4_leaks(spark, sf_dir):
