@@ -232,13 +232,13 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     chosen = parts[0].unionByName(parts[1])
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     totals = {0: 0, 1: 0} | {r[0]: r[1] for r in known.groupBy("y").count().collect()}
-    return rows.join(chosen, "_id").select("_id", "y", "text"), totals
+    return rows.join(F.broadcast(chosen), "_id").select("_id", "y", "text"), totals  # toxic_docs + clean_docs rows at most
 
 
 def toxic_words(sample: DataFrame, most: int, ratio: float = 30.0) -> list[str]:
     """Words tied to toxic documents, the strongest first: their distinct left neighbours in either class, by likelihood ratio."""
     def pairs(batches):
-        for b in batches:
+        for b in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
             own = set()
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 tokens = LETTERS.findall(fold_case(text))
