@@ -23,8 +23,8 @@ from tarnfold.llm.common import keep, once, table
 
 #: Pieces of a packing group; a group ends with one or two sequences that are not full.
 GROUP = 4000
-#: Words whose ids a worker remembers.
-CACHE = 600_000
+#: Words whose ids a worker remembers; as many older ones are kept that come back when they are met again.
+CACHE = 400_000
 TAILS = b".,;:!?*#$%&|()[]\"-"
 
 
@@ -33,45 +33,70 @@ class WordEncoder:
 
     White space always parts tokens in this vocabulary and leaves none, so a text's ids are those of its words in a row,
     and each distinct word is encoded once in a while. ASCII words are remembered in lower case, as the vocabulary's own
-    normalizer makes them, and apart from the punctuation they end with; words with ``<|`` may hold special strings and are
-    left as they are.
+    normalizer makes them, and words of letters apart from the punctuation they end with; words with ``<|`` may hold special strings and are
+    left as they are. Words of letters only are encoded many at a time: each gives ids of which just the last ends a word.
     """
 
     def __init__(self, path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.model, self.held = Tokenizer.from_file(path), {}
+        self.model, self.held, self.older = Tokenizer.from_file(path), {b"": b""}, {}
+        self.ends = np.zeros(max(self.model.get_vocab().values()) + 1, bool)
+        for token, number in self.model.get_vocab().items():
+            self.ends[number] = token.endswith("</w>")
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    @staticmethod
+    def _plain(word: bytes) -> bool:
+        """Letters only, which stay letters in the vocabulary's normal form: ASCII, or Latin ones below U+0250 but for U+0130."""
+        if word.isascii():
+            return word.isalpha()
+        text = word.decode()
+        return text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        plain, odd = [], []
+        for w in words:
+            (plain if self._plain(w) else odd).append(w)
+        out = {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(odd, self.model.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False))} if odd else {}
+        for k in range(0, len(plain), 1000):
+            some = plain[k:k + 1000]
+            ids = np.array(self.model.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+            out.update(zip(some, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
+        return out
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.held]
-        if len(self.held) + len(new) > CACHE:
-            self.held.clear()
-            new = list(words)
-        parts = [self._parts(w) for w in new]
-        wanted = [*dict.fromkeys(p for two in parts for p in two if p and p not in self.held)]
-        found = dict(zip(wanted, self._encode(wanted)))
-        for w, (stem, tail) in zip(new, parts):
-            self.held[w] = (found.get(stem) or self.held.get(stem, b"")) + (found.get(tail) or self.held.get(tail, b"") if tail else b"")
+        if len(self.held) > CACHE:
+            self.held, self.older = {b"": b""}, self.held
+        held, older = self.held, self.older
+        new = words - held.keys()
+        back = new & older.keys()
+        held.update({w: older[w] for w in back})
+        parts = {w: self._parts(w) for w in new - back}
+        wanted = {p for two in parts.values() for p in two if p} - held.keys()
+        back = wanted & older.keys()
+        held.update({w: older[w] for w in back})
+        held.update(self._encode(list(wanted - back)))
+        held.update({w: held[stem] + held[tail] if tail else held[stem] for w, (stem, tail) in parts.items()})
 
     @staticmethod
     def _parts(word: bytes) -> tuple[bytes, bytes]:
         """A word and the punctuation at its end, where the vocabulary's pattern parts them for certain."""
-        if b"<|" in word or not word.isascii():
+        if b"<|" in word:
             return word, b""
         stem = word.rstrip(TAILS)
+        if not word.isascii():
+            return (stem, word[len(stem):]) if WordEncoder._plain(stem) else (word, b"")
         return (stem.lower(), word[len(stem):]) if stem.isalnum() else (word.lower(), b"")
 
     def ids(self, texts: list[bytes]):
         """Ids of each text, in turn."""
         for k in range(0, len(texts), 500):
             split = [t.split() for t in texts[k:k + 500]]
+            self.learn(set().union(*split))
+            held = self.held
             for words in split:
-                self.learn(set(words))
-                held = self.held
                 yield b"".join([held[w] for w in words])
 
 
