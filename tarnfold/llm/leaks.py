@@ -24,10 +24,11 @@ def _words(text):
     return F.filter(F.split(lower_az(F.coalesce(text.cast("string"), F.lit(""))), WORD_BREAK), lambda w: w != "")
 
 
-def _shingles(rows: DataFrame, size: int, texts: bool) -> DataFrame:
-    """``rows`` (row, ..., words) to one row per shingle position: h, and s (its text) if asked for."""
+def _shingles(rows: DataFrame, size: int, texts: bool, long_enough: bool = False) -> DataFrame:
+    """``rows`` (row, ..., words) to one row per shingle position: h, and s (its text) if asked for. Rows known to be
+    ``long_enough`` are not filtered: such a filter would be pushed below a join and cut every text into words there."""
     kept = [c for c in rows.columns if c != "words"]
-    hashed = rows.filter(F.size("words") >= size).withColumn("_wh", F.transform("words", lambda w: F.xxhash64(w)))
+    hashed = (rows if long_enough else rows.filter(F.size("words") >= size)).withColumn("_wh", F.transform("words", lambda w: F.xxhash64(w)))
     if not texts:
         hashed = hashed.drop("words")
     at = hashed.select("*", F.explode(F.sequence(F.lit(0), F.size("_wh") - size)).alias("_i"))
@@ -58,11 +59,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, size: int = 5, threshold: floa
     """(row, id, item_id, shared, item_shingles, containment) for each document row that holds at least ``threshold`` of an
     item's distinct shingles; ``row`` is the hash of the document's id and text."""
     own, sketch = item_sketches(items, size, threshold, item_col, item_text_col)
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("id"), _words(F.col(text_col)).alias("words"))
-    sized = rows.withColumn("doc_class", _size_class(F.size("words") - (size - 1)))
-    found = keep(_shingles(sized.drop("id"), size, False).join(sketch, "h").filter(F.col("doc_class") >= F.col("item_class")).select("row", "item").distinct())
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sized = rows.select("row", _words(F.col("text")).alias("words")).withColumn("doc_class", _size_class(F.size("words") - (size - 1)))
+    found = keep(_shingles(sized, size, False).join(sketch, "h").filter(F.col("doc_class") >= F.col("item_class")).select("row", "item").distinct())
     some = rows.join(small(keep(found.select("row").distinct())), "row", "left_semi")
-    shared = _shingles(some, size, True).join(own, ["h", "s"]).groupBy("row", "id", "item", "item_id", "n") \
+    some = some.select("row", "id", _words(F.col("text")).alias("words"))  # only texts with a candidate are cut into words again
+    shared = _shingles(some, size, True, long_enough=True).join(own, ["h", "s"]).groupBy("row", "id", "item", "item_id", "n") \
         .agg(F.count_distinct("s").alias("shared")).filter(F.col("shared") >= F.ceil(threshold * F.col("n") - 1e-9))
     return shared.join(found, ["row", "item"]).groupBy("row", "id", "item_id") \
         .agg(F.max_by(F.struct("shared", "n"), F.col("shared") / F.col("n")).alias("best")) \
