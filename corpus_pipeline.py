@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept
 Parquet and read again as the next one's documents. All but the last return the columns of ``documents``.
 
     quality         rows that the rule ensemble scores below 0.3 go
-    near_duplicates one row of each SimHash component stays (five-word shingles, 8 bits)
+    near_duplicates one row of each component stays; links have a Jaccard similarity of 0.8 or more of their five-word shingles (candidates: SimHash,
+                    8 bits)
     decontaminate   rows that hold four fifths of a benchmark item's five-word shingles go
     personal_data   spans found are replaced by their kind; n_chars follows
     pack            pieces of at most 2048 tokens in sequences

@@ -9,6 +9,9 @@ holds more than two pieces. Trees give spanning links of what they connect, neve
 
 Trees travel to the tasks of their shard by a shuffle and are not broadcast whole: all trees together grow with the table.
 
+A SimHash cannot decide a Jaccard similarity, so ``drop_near_duplicates`` takes fingerprint components for candidates only: inside
+each, the shingle sets of its distinct texts are compared exactly, and rows count as duplicates along links of ``least`` or more.
+
 Null and empty texts have fingerprint zero and link like any other. Each row keeps its own row in the result, repeated
 rows too. A null id never becomes a component id while the component has another id. Other columns are ignored.
 """
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.llm.common import connected_components, keep, width
+from tarnfold.llm.common import connected_components, keep, small, width
 
 #: Shingles hashed before their bits are summed.
 CHUNK = 1 << 15
@@ -54,15 +57,40 @@ def text_fingerprint(text: bytes | None, size: int) -> int:
     return int(np.packbits(set_bits, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for every row."""
+def text_key(text: bytes | None) -> int:
+    """A signed 64-bit number of the text's words: texts of equal words have equal shingles."""
+    return _signed(xxhash.xxh64_intdigest(b" ".join((text or b"").lower().split()), 7))
+
+
+def shingle_set(text: bytes | None, size: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the distinct shingles that the fingerprint counts, ascending."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[k:k + size]), seed) for k in range(max(1, len(words) - size + 1))], np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    shared = np.count_nonzero(both[1:] == both[:-1])
+    return shared / max(1, len(both) - shared)
+
+
+def fingerprints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(id, fp) for every row, with ``keyed`` also the ``key`` of its words."""
     def run(batches):
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_fingerprint(t.as_py(), size) for t in texts], pa.int64())], ["id", "fp"])
+            texts = [t.as_py() for t in b.column(1).cast(pa.binary())]
+            cols = [b.column(0), pa.array([text_fingerprint(t, size) for t in texts], pa.int64())]
+            if keyed:
+                cols.append(pa.array([text_key(t) for t in texts], pa.int64()))
+            yield pa.RecordBatch.from_arrays(cols, ["id", "fp", "key"][:len(cols)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")) \
+        .mapInArrow(run, f"id {kind}, fp long" + (", key long" if keyed else ""))
 
 
 def shard_keys(radius: int) -> list[int]:
@@ -186,15 +214,74 @@ def near_duplicates(docs: DataFrame, size: int = 5, radius: int = 8, id_col: str
     return fps.join(of_fp.join(lowest, "component").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), hexed, "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 5, radius: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_roots(piece: np.ndarray, first: int, second: int, fps: np.ndarray, sets: list[np.ndarray], least: float) -> np.ndarray:
+    """A root for each text of a part: texts of piece ``first`` against those of ``second``, the nearest fingerprints first. Texts that
+    are connected already are not compared again, nor those whose sizes alone rule ``least`` out."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    root = np.arange(n)
+    right = np.flatnonzero(piece == second)
+    for i in np.flatnonzero(piece == first):
+        others = right[right > i] if first == second else right
+        others = others[root[others] != root[i]]
+        low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        others = others[low >= least * high - 1e-6]
+        for j in others[np.argsort(np.bitwise_count(fps[others] ^ fps[i]), kind="stable")]:
+            if root[i] != root[j] and jaccard(sets[i], sets[j]) >= least:
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+    return root
+
+
+def similar_links(texts: DataFrame, size: int, least: float) -> DataFrame:
+    """Spanning links (a, b) of ``texts`` (component, pieces, key, fp, text; a row for each key): pairs of one component whose
+    shingle sets have a Jaccard similarity of ``least`` or more. Components of several pieces are compared piece by piece."""
+    rows = texts.withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces").cast("long")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))) \
+        .select("component", F.least("piece", "other").alias("first"), F.greatest("piece", "other").alias("second"), "piece", "key", "fp", "text")
+    group = ["component", "first", "second"]
+    rows = rows.repartition(width(texts.sparkSession), *group).sortWithinPartitions(*group)
+
+    def run(batches):
+        part, held = None, []
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns[:6]]
+            for component, first, second, own, key, fp, text in zip(*cols, b.column(6).cast(pa.binary())):
+                if part != (component, first, second):
+                    if len(held) > 1:
+                        yield links(part, held)
+                    part, held = (component, first, second), []
+                held.append((own, key, fp, shingle_set(text.as_py(), size)))
+        if len(held) > 1:
+            yield links(part, held)
+
+    def links(part, held):
+        own, keys, fps, sets = zip(*held)
+        keys = np.array(keys, np.int64)
+        root = similar_roots(np.array(own), part[1], part[2], np.array(fps, np.int64).view(np.uint64), sets, least)
+        linked = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(keys[linked], pa.int64()), pa.array(keys[root[linked]], pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, radius: int = 8, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8,
+                         piece: int = 1024) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (rows without an id last). Rows equal in id and text count as
-    one. The default radius links texts that share four fifths of their five-word shingles, but for those of few words."""
+    one. Links are pairs whose shingle sets have a Jaccard similarity of ``least`` or more, among texts that fingerprints within
+    ``radius`` connect. Texts of equal words are one text."""
     row = F.xxhash64(F.col(id_col), F.col(text_col))
     tagged = docs.withColumn("_simhash_row", row)
     fps = keep(fingerprints(docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), row.alias("row")).alias("id"), F.col(text_col).alias("text")),
-                            size, "id", "text"))
-    low = fps.groupBy("fp").agg(F.min("id").alias("low")).join(_components(fps, radius), "fp")
-    stay = low.groupBy("component").agg(F.min("low").alias("low")).select(F.col("low.row").alias("_simhash_row"))
+                            size, "id", "text", keyed=True))
+    texts = fps.groupBy("key", "fp").agg(F.min("id").alias("low"))
+    texts = keep(texts.join(_components(fps, radius), "fp"))
+    several = texts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1") \
+        .select("component", F.ceil(F.col("n") / piece).cast("int").alias("pieces"))
+    asked = keep(texts.join(several, "component").select(F.col("low.row").alias("_simhash_row"), "component", "pieces", "key", "fp"))
+    found = docs.select(row.alias("_simhash_row"), F.col(text_col).cast("string").alias("text")).join(small(asked), "_simhash_row") \
+        .dropDuplicates(["_simhash_row"]).drop("_simhash_row")
+    parts = connected_components(similar_links(found, size, least)).select(F.col("node").alias("key"), F.col("component").alias("same"))
+    stay = texts.join(parts, "key", "left").groupBy(F.coalesce("same", "key").alias("same")).agg(F.min("low").alias("low")) \
+        .select(F.col("low.row").alias("_simhash_row"))
     return tagged.join(stay, "_simhash_row", "left_semi").dropDuplicates(["_simhash_row"]).drop("_simhash_row")
 
 

@@ -85,6 +85,43 @@ def test_one_row_of_each_component_stays(spark):
     assert len(kept) == len(set(root)) and out.columns == docs(spark).columns and {r.doc_id for r in kept} >= {1, 4, 8}
 
 
+def shingle_texts(text, size):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i:i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def alike(a, b, least=0.8):
+    return a == b or len(a & b) >= least * len(a | b) - 1e-9
+
+
+def test_rows_below_the_similarity_stay(spark):
+    rows = sorted((r.doc_id, r.text) for r in read(spark, "documents", "/root/testdata/sf0.01").select("doc_id", "text").collect())
+    fps = np.array([brute_fingerprint(t, 5) for _, t in rows], np.uint64)
+    sets, n = [shingle_texts(t, 5) for _, t in rows], len(rows)
+    near = [(i, j) for i in range(n) for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 8)]
+    assert sum(not alike(sets[i], sets[j]) for i, j in near) > 5
+
+    def components(pairs):
+        root = list(range(n))
+        for i, j in pairs:
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root] if a != b else root
+        return root
+
+    candidate = components(near)
+    groups = {}
+    for i, c in enumerate(candidate):
+        groups.setdefault(c, []).append(i)
+    root = components([(i, j) for g in groups.values() for i in g for j in g if j < i and alike(sets[i], sets[j])])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for piece in (1024, 3):
+        kept = {r.doc_id for r in simhash.drop_near_duplicates(df, piece=piece).collect()}
+        assert kept == {rows[c][0] for c in set(root)}
+    at = {r[0]: k for k, r in enumerate(rows)}
+    for gone in {r[0] for r in rows} - kept:
+        assert any(alike(sets[at[gone]], sets[k]) for k in range(n) if k != at[gone])
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (200, 150), (201, 200)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
