@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from tarnfold.functions.moments import per_feature, vector_summary
 from tarnfold.functions.tails import f_pvalue, t_pvalue
 from tarnfold.functions.vectors import euclidean
+from tarnfold.operators.blocks import BLOCK, numbered_rows, over_block_pairs, square_distances
 from tarnfold.operators.ranking import Splits, average_ranks, running_totals
 from tarnfold.session import bounded, cut_lineage
 
@@ -137,39 +137,33 @@ def davies_bouldin(df: DataFrame, vector: str, label: str, prefixes=None) -> Dat
     return out if prefixes else out.drop("n")
 
 
-def silhouette(sample: DataFrame, vector: str, label: str, max_rows: int = 5000) -> DataFrame:
-    """Mean Euclidean silhouette of a bounded sample.
+def silhouette(df: DataFrame, vector: str, label: str, block: int = BLOCK) -> DataFrame:
+    """Mean Euclidean silhouette of all rows, and their number.
 
-    The sample (at most ``max_rows`` rows, checked) is shipped to the tasks as one matrix; each row computes its mean
-    distance to every class from it, so no pair table exists. Draw larger tables down first with a sampler.
+    Each block of rows meets each block of points in a task; distance sums per (row, class) are added by key, so neither the
+    driver nor a task holds the table. A row alone in its class has 0, as has every row of a single class; a null label is a
+    class like any other. Rows without a vector are left out.
     """
-    rows = sample.select(F.col(vector).cast("array<double>").alias("v"), F.col(label).cast("string").alias("y")) \
-        .limit(max_rows + 1).toPandas()
-    if len(rows) > max_rows:
-        raise ValueError(f"silhouette needs a sample of at most {max_rows} rows")
-    matrix = np.stack(rows["v"].to_numpy()) if len(rows) else np.zeros((0, 1))
-    classes, codes = np.unique(rows["y"].to_numpy().astype(str), return_inverse=True)
-    sizes = np.bincount(codes, minlength=len(classes))
-    shared = sample.sparkSession.sparkContext.broadcast((matrix, classes, codes, sizes))
-
-    @F.pandas_udf("double")
-    def width(v: pd.Series, y: pd.Series) -> pd.Series:
-        points, names, owner, count = shared.value
-        out = np.zeros(len(v))
-        where = {n: i for i, n in enumerate(names)}
-        for r, (vec, cls) in enumerate(zip(v, y)):
-            dist = np.sqrt(((points - np.asarray(vec)) ** 2).sum(axis=1))
-            sums = np.bincount(owner, weights=dist, minlength=len(names))
-            mine = where[cls]
-            if count[mine] < 2 or len(names) < 2:
-                continue
-            inside = sums[mine] / (count[mine] - 1)
-            nearest = np.delete(sums / count, mine).min()
-            top = max(inside, nearest)
-            out[r] = (nearest - inside) / top if top > 0 else 0.0
-        return pd.Series(out)
-
-    return sample.select(width(F.col(vector).cast("array<double>"), F.col(label).cast("string")).alias("w")) \
+    label_text = F.col(label).cast("string")
+    rows = numbered_rows(df, vector, F.coalesce(F.concat(F.lit("="), label_text), F.lit("")).alias("_y"))
+
+    def sums(left, right):
+        names, owner = np.unique(right["_y"].astype(str), return_inverse=True)
+        order = np.argsort(owner, kind="stable")
+        count = np.bincount(owner, minlength=len(names))
+        starts, total = np.append(0, np.cumsum(count)[:-1]), np.zeros((len(left["_v"]), len(names)))
+        for at, squares in square_distances(left["_v"], right["_v"][order]):
+            total[at] = np.add.reduceat(np.sqrt(squares), starts, axis=1)
+        n, k = total.shape
+        return {"_row": np.repeat(left["_row"], k), "_y": np.repeat(left["_y"].astype(str), k), "other": np.tile(names, n), "total": total.ravel(), "n": np.tile(count, n)}
+
+    met = over_block_pairs(rows, sums, "_row long, _y string, other string, total double, n long", block)
+    per = met.groupBy("_row", "_y", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    mine = F.col("_y") == F.col("other")
+    row = per.groupBy("_row").agg(F.max(F.when(mine & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("inside"), F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("nearest"))
+    top = F.greatest("inside", "nearest")
+    whole = F.col("inside").isNotNull() & F.col("nearest").isNotNull() & (top > 0)
+    return row.select(F.when(whole, (F.col("nearest") - F.col("inside")) / top).otherwise(F.lit(0.0)).alias("w")) \
         .agg(F.avg("w").alias("silhouette"), F.count("w").alias("n"))
 
 

@@ -22,6 +22,31 @@ def blobs(spark):
     return df.repartition(4), x, y
 
 
+@pytest.mark.parametrize("block", [64, 2048])
+def test_silhouette_of_all_rows_in_blocks(spark, block):
+    rng = np.random.default_rng(3)
+    y = np.append(np.arange(250) % 3, [7, 9])
+    x = rng.normal(size=(252, 5)) + y[:, None] * 0.4
+    x[3] = x[0]
+    want = np.zeros(252)
+    for i in range(252):
+        far = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        if (y == y[i]).sum() > 1:
+            inside = far[y == y[i]].sum() / ((y == y[i]).sum() - 1)
+            nearest = min(far[y == c].mean() for c in set(y) - {y[i]})
+            want[i] = (nearest - inside) / max(nearest, inside)
+    df = spark.createDataFrame([(None if y[i] == 9 else str(y[i]), x[i].tolist()) for i in range(252)], "y string, v array<double>")
+    got = scoring.silhouette(df, "v", "y", block=block).first()
+    assert got.n == 252 and got.silhouette == pytest.approx(want.mean(), abs=1e-12)
+    assert tuple(scoring.silhouette(df.limit(0), "v", "y").first()) == (None, 0)
+
+
+def test_silhouette_above_the_old_bound(spark):
+    df = spark.range(5200).select((F.col("id") % 2).cast("string").alias("y"), F.array((F.col("id") % 2) * 10.0, (F.col("id") % 7) / 7.0).alias("v"))
+    got = scoring.silhouette(df, "v", "y").first()
+    assert got.n == 5200 and 0.9 < got.silhouette < 1
+
+
 def test_frozen_one_hot(spark):
     train = spark.createDataFrame([("tcp", 1.0), ("udp", 2.0), ("only_train", 3.0)], "proto string, n double")
     test = spark.createDataFrame([("tcp", 5.0), ("only_test", 6.0), (None, 7.0)], "proto string, n double")
