@@ -1,4 +1,7 @@
-"""All rows against all rows of a table, block by block on Spark: no task holds more than two blocks, the driver none."""
+"""All rows against all rows of a table, block by block on Spark: no task holds more than two blocks, the driver none.
+
+Kernel statistics of the whole table follow from sums per row over all blocks, whatever the kernel and the class mix.
+"""
 
 from __future__ import annotations
 
@@ -63,3 +66,87 @@ def square_distances(left: np.ndarray, right: np.ndarray):
             x, y = i[c:c + (1 << 16)], j[c:c + (1 << 16)]
             out[x, y] = ((left[at][x] - right[y]) ** 2).sum(axis=1)
         yield at, out
+
+
+def kernel_strips(left: np.ndarray, right: np.ndarray, kernels):
+    """(slice of left, list of kernel values to right) for kernels (kind, gamma, coef0) of kind "linear", "poly" (squared) or "rbf"."""
+    for at, squares in square_distances(left, right):
+        product = left[at] @ right.T
+        yield at, [product if kind == "linear" else (gamma * product + coef0) ** 2 if kind == "poly" else np.exp(-gamma * squares) for kind, gamma, coef0 in kernels]
+
+
+def kernel_sums(df: DataFrame, vector: str, label: str, kernels, keys=(), block: int = BLOCK) -> DataFrame:
+    """A row for each row: ``keys``, y (0 or 1), n and, for kernel m, sums over all rows: total{m}, squares{m}, signed{m} (times the other's -1 or 1),
+    same{m} (rows of its class, n_same of them), top{m} the largest value and self{m} its own. cross is the sum of products of the
+    first two kernels, gap and gap_squares those of their absolute and squared differences."""
+    rows = numbered_rows(df, vector, F.col(label).cast("int").alias("y"), *keys)
+    names = [f"{c}{m}" for m in range(len(kernels)) for c in ("total", "squares", "signed", "same", "top")]
+
+    def sums(left, right):
+        own, other = left["y"][:, None], right["y"][None, :]
+        out = {c: np.zeros(len(left["_v"])) for c in [*names, "cross", "gap", "gap_squares"]}
+        for at, values in kernel_strips(left["_v"], right["_v"], kernels):
+            same = own[at] == other
+            for m, k in enumerate(values):
+                for c, x in (("total", k.sum(axis=1)), ("squares", (k * k).sum(axis=1)), ("signed", k @ (2.0 * right["y"] - 1)), ("same", np.where(same, k, 0.0).sum(axis=1)), ("top", k.max(axis=1))):
+                    out[f"{c}{m}"][at] = x
+            if len(values) > 1:
+                gap = values[0] - values[1]
+                for c, x in (("cross", values[0] * values[1]), ("gap", np.abs(gap)), ("gap_squares", gap * gap)):
+                    out[c][at] = x.sum(axis=1)
+        matches = np.array([np.count_nonzero(right["y"] == 0), np.count_nonzero(right["y"] == 1)])
+        return {"_row": left["_row"], "n": np.full(len(own), len(right["y"])), "n_same": matches[left["y"]]} | out
+
+    columns = [*names, "cross", "gap", "gap_squares"]
+    met = over_block_pairs(rows.select("_row", "_v", "y"), sums, "_row long, n long, n_same long, " + ", ".join(f"{c} double" for c in columns), block)
+    added = met.groupBy("_row").agg(*[(F.max if c.startswith("top") else F.sum)(c).alias(c) for c in ["n", "n_same", *columns]])
+    norm = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x)
+    selves = [(norm if kind == "linear" else (F.lit(gamma) * norm + F.lit(coef0)) ** 2 if kind == "poly" else F.lit(1.0)).alias(f"self{m}") for m, (kind, gamma, coef0) in enumerate(kernels)]
+    return rows.select("*", *selves).drop("_v").join(added, "_row")
+
+
+def whole_statistics(sums: DataFrame, m: int = 0) -> DataFrame:
+    """One row of statistics of kernel ``m`` over all pairs, from ``kernel_sums``."""
+    n, n1 = F.max("n").cast("double"), F.max("n").cast("double") * (F.max("n") - 1)
+    total, squares, trace = F.sum(f"total{m}"), F.sum(f"squares{m}"), F.sum(f"self{m}")
+    mean_off = (total - trace) / n1
+    within = F.sum(f"same{m}") / F.sum("n_same")
+    across = (total - F.sum(f"same{m}")) / F.sum(F.col("n") - F.col("n_same"))
+    return sums.agg(F.max("n").alias("n"), (F.sum((2 * F.col("y") - 1) * F.col(f"signed{m}")) / (F.sqrt(squares) * n)).alias("alignment"),
+                    (trace * trace / squares).alias("effective_rank"), within.alias("within"), across.alias("across"), mean_off.alias("mean_off"),
+                    ((squares - F.sum(F.col(f"self{m}") ** 2)) / n1 - mean_off * mean_off).alias("var_off"), F.min(f"self{m}").alias("min_self"))
+
+
+def whole_cka(sums: DataFrame) -> DataFrame:
+    """Centered alignment of the first two kernels."""
+    def hsic(product, a, b):
+        n = F.max("n").cast("double")
+        return F.sum(product) - 2.0 / n * F.sum(F.col(a) * F.col(b)) + F.sum(a) * F.sum(b) / (n * n)
+
+    parts = sums.agg(hsic("cross", "total0", "total1").alias("ab"), hsic("squares0", "total0", "total0").alias("aa"), hsic("squares1", "total1", "total1").alias("bb"))
+    return parts.select((F.col("ab") / (F.sqrt("aa") * F.sqrt("bb"))).alias("cka"))
+
+
+def whole_difference(sums: DataFrame) -> DataFrame:
+    """Cosine, scaled distance, mean absolute and root mean square difference of the first two kernels."""
+    pairs = F.max("n").cast("double") * F.max("n")
+    return sums.agg((F.sum("cross") / (F.sqrt(F.sum("squares0")) * F.sqrt(F.sum("squares1")) + F.lit(1e-12))).alias("cosine"),
+                    (F.sqrt(F.sum("gap_squares")) / pairs).alias("distance"), (F.sum("gap") / pairs).alias("mae"), F.sqrt(F.sum("gap_squares") / pairs).alias("rmse"))
+
+
+def centered_sums(df: DataFrame, vector: str, label: str, kernel, key: str, block: int = BLOCK) -> DataFrame:
+    """(key, squares, top) of each row of the doubly centered kernel: the rows' means first, then the blocks once more."""
+    vector_again = F.col(vector).cast("array<double>").alias("_w")
+    rows = cut_lineage(kernel_sums(df, vector, label, [kernel], [F.col(key).alias("_key"), vector_again], block)
+                       .select("_row", "_key", F.col("_w").alias("_v"), (F.col("total0") / F.col("n")).alias("mean")))
+    grand = rows.agg(F.avg("mean")).first()[0] or 0.0
+
+    def centered(left, right):
+        out = {c: np.zeros(len(left["_v"])) for c in ("squares", "top")}
+        for at, (k,) in kernel_strips(left["_v"], right["_v"], [kernel]):
+            k = k - left["mean"][at, None] - right["mean"][None, :] + grand
+            out["squares"][at], out["top"][at] = (k * k).sum(axis=1), k.max(axis=1)
+        return {"_row": left["_row"]} | out
+
+    met = over_block_pairs(rows.select("_row", "_v", "mean"), centered, "_row long, squares double, top double", block)
+    return met.groupBy("_row").agg(F.sum("squares").alias("squares"), F.max("top").alias("top")).join(rows.select("_row", "_key"), "_row").select(F.col("_key").alias(key), "squares", "top")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnfold.functions import feature_maps as M
+from tarnfold.operators import blocks as B
 from tarnfold.operators import kernels as G
 
 
@@ -115,3 +116,31 @@ def test_random_pairs_are_rows_of_the_table(spark, points):
     df, x, _ = points
     rows = G.random_row_pairs(df, "id", "x").collect()
     assert len(rows) == 40 and all(np.allclose(r["a"], x[r["id"]]) and any(np.allclose(r["b"], z) for z in x) for r in rows)
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_sums_over_all_rows_equal_the_matrix(spark, block):
+    rng = np.random.default_rng(12)
+    n = 90
+    x, y = rng.normal(size=(n, 5)) * 0.4, (rng.random(n) < 0.2).astype(int)
+    x[7] = x[3]
+    df = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(n)], "vec_id long, y int, v array<double>")
+    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    a, b = np.exp(-2.0 * d2), (x @ x.T / 5 + 0.5) ** 2
+    sums = B.kernel_sums(df, "v", "y", [("rbf", 2.0, 0.0), ("poly", 0.2, 0.5)], ["vec_id"], block).cache()
+    rows = sums.orderBy("vec_id").collect()
+    for m, k in enumerate((a, b)):
+        for c, want in (("total", k.sum(1)), ("squares", (k * k).sum(1)), ("top", k.max(1)), ("self", np.diag(k))):
+            assert [r[f"{c}{m}"] for r in rows] == pytest.approx(want.tolist(), rel=1e-9)
+        s, off, same = 2 * y - 1, ~np.eye(n, dtype=bool), y[:, None] == y[None]
+        got = B.whole_statistics(sums, m).first()
+        want = {"n": n, "alignment": s @ k @ s / (np.sqrt((k * k).sum()) * n), "effective_rank": np.trace(k) ** 2 / (k * k).sum(), "within": k[same].mean(),
+                "across": k[~same].mean(), "mean_off": k[off].mean(), "var_off": k[off].var(), "min_self": np.diag(k).min()}
+        assert got.asDict() == pytest.approx(want, rel=1e-7)
+    h = np.eye(n) - 1.0 / n
+    ca, cb = h @ a @ h, h @ b @ h
+    assert B.whole_cka(sums).first().cka == pytest.approx((ca * cb).sum() / np.sqrt((ca * ca).sum() * (cb * cb).sum()), rel=1e-8)
+    want = ((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()), np.sqrt(((a - b) ** 2).sum()) / n ** 2, np.abs(a - b).mean(), np.sqrt(((a - b) ** 2).mean()))
+    assert tuple(B.whole_difference(sums).first()) == pytest.approx(want, rel=1e-8)
+    got = B.centered_sums(df, "v", "y", ("rbf", 2.0, 0.0), "vec_id", block).orderBy("vec_id").collect()
+    assert [r.squares for r in got] == pytest.approx((ca * ca).sum(1).tolist(), rel=1e-8) and [r.top for r in got] == pytest.approx(ca.max(1).tolist(), rel=1e-8)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tarnfold.functions import feature_maps as M
 from tarnfold.functions.hashing import gaussian
+from tarnfold.operators import blocks as B
 from tarnfold.operators import kernels as G
 from tarnfold.operators import sampling, scaling, search
 from tarnfold.operators.ranking import value_ranks
-from tarnfold.session import settle
+from tarnfold.session import cut_lineage, settle
 from workloads import tables as t
 from workloads.registry import query
 from workloads.tables import ANGLES, VECTORS, r, sql_gaussian, sql_hash, sql_rank
@@ -402,3 +403,89 @@ def scaled_alignment(spark, sf):
                                            F.struct(F.lit("alignment_scaled").alias("which"), F.transform("v", lambda c: c * 2.0).alias("x")))).alias("z"))
     stats = G.map_statistics(both.select("z.which", "y", "z.x"), "x", t.DIM, "y", ["which"])
     return stats.groupBy().pivot("which", ["alignment", "alignment_scaled"]).agg(F.first("alignment"))
+
+
+# Every row against every row in blocks, with the table's own class mix: the statistics that the queries above read from reference
+# rows. SQL over all pairs of a table is too slow; tests hold the operators against the matrix.
+RBF, SLOWER, SQUARED = ("rbf", 2.0, 0.0), ("rbf", 1.5, 0.0), ("poly", 1.0 / 64, 0.0)
+
+
+def all_sums(spark, sf, *kernels):
+    return B.kernel_sums(t.vectors(spark, sf), "v", "y", kernels, ["vec_id"])
+
+
+def all_statistics(spark, sf):
+    return B.whole_statistics(all_sums(spark, sf, RBF))
+
+
+def all_rows(spark, sf, kernel):
+    return all_sums(spark, sf, kernel).select("vec_id", F.col("total0").alias("total"), F.col("squares0").alias("squares"), F.col("top0").alias("top"))
+
+
+@query("g01_linear_rows_all")
+def linear_rows_all(spark, sf):
+    return all_rows(spark, sf, ("linear", 1.0, 0.0))
+
+
+@query("g02_poly_rows_all")
+def poly_rows_all(spark, sf):
+    return all_rows(spark, sf, ("poly", 1.0 / 64, 1.0))
+
+
+@query("g03_rbf_rows_all")
+def rbf_rows_all(spark, sf):
+    return all_rows(spark, sf, RBF)
+
+
+@query("g07_label_kernel_all")
+def label_kernel_all(spark, sf):
+    """The label kernel has rank one: a row's total is its own sign times the sum of all signs."""
+    v = t.vectors(spark, sf).select("vec_id", (2 * F.col("y") - 1).alias("s"))
+    return v.crossJoin(F.broadcast(v.agg(F.sum("s").alias("signs")))).select("vec_id", (F.col("s") * F.col("signs")).alias("total"))
+
+
+@query("g08_max_normalize_all")
+def max_normalize_all(spark, sf):
+    sums = cut_lineage(all_sums(spark, sf, SQUARED))
+    top = sums.agg(F.max("top0").alias("most"))
+    return sums.crossJoin(F.broadcast(top)).select("vec_id", (F.col("total0") / F.col("most")).alias("total"), (F.col("top0") / F.col("most")).alias("top"))
+
+
+@query("g09_alignment_rbf_all")
+def alignment_rbf_all(spark, sf):
+    return all_statistics(spark, sf).select("alignment")
+
+
+@query("g10_double_centering_all")
+def double_centering_all(spark, sf):
+    return B.centered_sums(t.vectors(spark, sf), "v", "y", RBF, "vec_id")
+
+
+@query("g11_cka_rows_all")
+def cka_rows_all(spark, sf):
+    return B.whole_cka(all_sums(spark, sf, RBF, SQUARED))
+
+
+@query("g12_effective_rank_all")
+def effective_rank_all(spark, sf):
+    return all_statistics(spark, sf).select("effective_rank")
+
+
+@query("g14_block_ratio_all")
+def block_ratio_all(spark, sf):
+    return all_statistics(spark, sf).select("within", "across", (F.col("within") / (F.col("across") + F.lit(1e-12))).alias("block_ratio"))
+
+
+@query("g16_concentration_rows_all")
+def concentration_rows_all(spark, sf):
+    return all_statistics(spark, sf).select("mean_off", "var_off", "effective_rank")
+
+
+@query("g17_kernel_difference_all")
+def kernel_difference_all(spark, sf):
+    return B.whole_difference(all_sums(spark, sf, RBF, SLOWER))
+
+
+@query("g22_diagonal_check_all")
+def diagonal_check_all(spark, sf):
+    return all_statistics(spark, sf).select("min_self", (F.col("min_self") >= 0.99).alias("ok"))
