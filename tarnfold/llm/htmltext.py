@@ -35,9 +35,16 @@ porque que se ser si sin sobre son su sus también un una uno y ya
 """.split())
 LONG, SHORT, LINKS, DENSE, SPARSE = 140, 40, 0.33, 0.14, 0.07
 
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|object|select|button|canvas|math"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]{{0,4000}}\"|'[^']{{0,4000}}'|[^'\">])*+|[^>]*)>|<[!?][^>]*>",
-                   re.S | re.I)
+NAME_END = r"(?![\w:-])"
+ATTRS = r"""(?:"[^"]*+"|'[^']*+'|[^'">])*+"""
+#: Parts that are no text: up to the end of the page if unclosed, up to their end tag, or up to their end tag without another start before it.
+#: One that is never closed is a tag like any other, as is an svg or math that closes itself.
+ENDLESS, CLOSED, FLAT = "script|style|textarea|title", "noscript|template|iframe|svg|object|canvas|math", "button|select"
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)
+|<(?P<endless>{ENDLESS}){NAME_END}(?>{ATTRS}>|[^>]*>).*?(?:</(?P=endless)\s*>|\Z)
+|<(?!(?:svg|math){NAME_END}{ATTRS}(?<=/)>)(?P<closed>{CLOSED}){NAME_END}(?>{ATTRS}>|[^>]*>).*?</(?P=closed)\s*>
+|<(?P<flat>{FLAT}){NAME_END}(?>{ATTRS}>|[^>]*>)[^<]*+(?:<(?!/?(?P=flat){NAME_END})[^<]*+)*+</(?P=flat)\s*>
+|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{ATTRS}|[^>]*)>|<[!?][^>]*>""".replace("\n", ""), re.S | re.I)
 BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 OTHER = frozenset("nav aside footer form head menu dialog fieldset".split())
@@ -98,11 +105,11 @@ def blocks_of(page: str) -> list[Block]:
                 if links:
                     linked += len(html.unescape(piece).strip())
         at = m.end()
-        tag = m[3].lower() if m[3] else None
+        tag = m["tag"].lower() if m["tag"] else None
         if tag is None:
             continue
         if tag == "a":
-            links = max(0, links - 1) if m[2] else links + 1
+            links = max(0, links - 1) if m["end"] else links + 1
         elif tag == "br":
             parts.append(" ")
             breaks += 1
@@ -111,7 +118,7 @@ def blocks_of(page: str) -> list[Block]:
         elif tag in BLOCK:
             flush()
             links = 0
-            if m[2]:
+            if m["end"]:
                 k = len(stack) - 1
                 while k > 0 and stack[k][0] != tag:
                     k -= 1
@@ -122,7 +129,7 @@ def blocks_of(page: str) -> list[Block]:
                     stack.pop()
                 if tag == "body":
                     del stack[1:]
-                stack.append((tag, *_part(tag, m[4], stack[-1][1], stack[-1][2])))
+                stack.append((tag, *_part(tag, m["attrs"], stack[-1][1], stack[-1][2])))
             heading = stack[-1][0] in HEADINGS
     if at < len(page):
         parts.append(page[at:])

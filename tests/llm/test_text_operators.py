@@ -85,6 +85,21 @@ def test_article_is_whole_and_plain():
     assert htmltext.main_text("a" * 50000 + "<p" * 2000)
 
 
+@pytest.mark.parametrize("before", ["<svg-icon name=a></svg-icon>", "<button-group>", "<template-part/>", "<title-bar></title-bar>", "<svg viewBox='0 0 1 1'/>", "<math />", '<svg data-x="a>b"/>',
+                                    "<button>", "<select>", "<object data=x>", "<canvas>", "<svg>", "<noscript>", '<i data-x="' + "<p>leak</p> " * 900 + '"></i>',
+                                    "<i srcdoc='" + "<script>" * 900 + "'></i>", "<svg><path/></svg>", "<button data-x='>leak'>leak</button>", "<script-x></script-x>"])
+def test_tags_that_lose_no_text_and_leak_none(before):
+    for after in ("", "<button>leak</button>", "<select><option>leak</select>"):
+        page = f"<body>{before}<article><p>One of the texts.</p></article>{after}</body>"
+        assert htmltext.main_text(page) == "One of the texts."
+
+
+def test_raw_parts_run_to_their_end():
+    for raw in ("script", "style", "textarea", "title"):
+        assert htmltext.main_text(f"<article><p>One.</p><{raw}>leak <p>leak</p>") == "One."
+    assert htmltext.main_text("<article><p>One <BUTTON a='>'>leak <b>leak</b></Button >two</p></article>") == "One two"
+
+
 def test_real_pages_keep_their_article(spark):
     import html
     import re
