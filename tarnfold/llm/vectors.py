@@ -14,6 +14,8 @@ rows of a repeated id count as vectors of their own. Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +23,9 @@ from pyspark.sql import functions as F
 
 from tarnfold.llm.common import connected_components, keep, table, width
 
+#: Dimensions whose links are written together, so that plans stay short.
+TOGETHER = 50
+
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of equal length as a matrix of doubles."""
@@ -94,16 +99,16 @@ def near_vectors(rows: DataFrame, least: float = 0.95, pivots: int = 256, near:
     # a class: equal vectors. Its number is the hash of the vector.
     known = known.withColumn("class", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
     classes = keep(known.filter("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low"), F.first("v").alias("v")))
-    dims = [r[0] for r in classes.select(F.size("v").alias("d")).distinct().limit(1000).collect()]
-    counts, links = [], []
+    # a vector that is the only one of its dimension links to none
+    dims = [r[0] for r in classes.groupBy(F.size("v").alias("d")).count().filter("count > 1").orderBy("d").collect()]
+    counts, links = [spark.createDataFrame([], "class long, n long")], [spark.createDataFrame([], "a long, b long")]
     for d in dims:
         own = classes.filter(F.size("v") == d)
         chosen = own.orderBy(F.xxhash64("class"), "class").limit(pivots).toArrow()
         c, k = _linked(own, unit(_matrix(chosen["v"])), least, near, piece)
         counts.append(c), links.append(k)
-    if not dims:
-        return known.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    from functools import reduce
+        if len(counts) > TOGETHER:
+            counts, links = [keep(reduce(DataFrame.unionByName, counts))], [keep(reduce(DataFrame.unionByName, links))]
     parts = connected_components(reduce(DataFrame.unionByName, links)).withColumnRenamed("node", "class")
     total = reduce(DataFrame.unionByName, counts).groupBy("class").agg(F.sum("n").alias("n"))
     known_classes = classes.select("class", "size", "low").join(parts, "class", "left").join(total, "class", "left") \

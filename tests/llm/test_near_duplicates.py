@@ -187,3 +187,14 @@ def test_vectors(spark):
     assert sum(g[1] for g in got) >= 0.95 * sum(w[1] for w in want) and all(g[1] <= w[1] for g, w in zip(got, want))
     assert [(g[0], g[2], g[3]) for g in got] == [(w[0], w[2], w[3]) for w in want]
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_every_dimension_is_searched(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TOGETHER", 3)
+    pairs = (2, 300, 700, 1100, 1500)
+    rows = [(d, [1.0] * d) for d in range(2, 1503)] + [(10_000 + d, [1.0] * (d - 1) + [1.01]) for d in pairs] + [(20_000, [1.0] * 9)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows)
+    for i, (n, c) in got.items():
+        d = i - 10_000 if 10_000 < i < 20_000 else 9 if i == 20_000 else i
+        assert (n, c) == ((1, d) if d in (*pairs, 9) else (0, i))
