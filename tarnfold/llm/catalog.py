@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["simhash", "leaks", "pii", "tokencount", "packing", "quality", "toxicity", "htmltext", "vectors", "language_model", "negatives"]
+MODULES = ["simhash", "leaks", "pii", "tokencount", "packing", "quality", "toxicity", "htmltext", "vectors", "language_model", "negatives", "spelling"]
 
 
 def load() -> tuple[dict, dict]:
