@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["simhash", "leaks", "pii", "tokencount", "packing", "quality", "toxicity", "htmltext", "vectors", "language_model", "negatives", "spelling"]
+MODULES = ["simhash", "leaks", "pii", "tokencount", "packing", "quality", "toxicity", "htmltext", "vectors", "language_model", "negatives", "spelling", "repeats"]
 
 
 def load() -> tuple[dict, dict]:
