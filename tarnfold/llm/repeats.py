@@ -267,9 +267,10 @@ def op11_radix(spark, sf_dir):
         .withColumnRenamed("id", "doc_id")
 
 
-#: A document's bytes as two hexadecimal digits each, every window by its place.
+#: A document's bytes as two hexadecimal digits each, in overlapping parts so that a window is near its part's start.
 SQL = """WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS MATERIALIZED (SELECT r, CAST(p AS BIGINT) AS p, md5_number(substr(x, 2 * p + 1, 800)) AS h FROM (SELECT r, x, unnest(range(length(x) // 2 - 399)) AS p FROM d WHERE length(x) >= 800)),
+part AS (SELECT r, c, substr(x, 2 * c + 1, 1198) AS x FROM (SELECT r, x, unnest(range(0, length(x) // 2 - 399, 200)) AS c FROM d WHERE length(x) >= 800)),
+w AS MATERIALIZED (SELECT r, c + p AS p, hash(substr(x, 2 * p + 1, 800)) AS h FROM (SELECT r, c, x, unnest(range(least(200, length(x) // 2 - 399))) AS p FROM part)),
 hit AS (SELECT r, p FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
 cut AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY p) AS span FROM (SELECT r, p, CASE WHEN p > lag(p, 1, -1000) OVER (PARTITION BY r ORDER BY p) + 400 THEN 1 ELSE 0 END AS new FROM hit)),
 spans AS (SELECT r, span, min(p) AS a, max(p) + 400 AS b FROM cut GROUP BY r, span),
