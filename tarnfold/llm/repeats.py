@@ -157,9 +157,9 @@ def all_runs(texts: DataFrame, size: int, gram: int) -> DataFrame:
 
 
 def open_pieces(asked: DataFrame, size: int, step: int) -> DataFrame:
-    """Pieces of open runs: what their windows have in common as two numbers, and the digest of each window (16 bytes each, by place). ``asked`` holds k1, k2, text and the
-    open runs of the text; copies of a text are read once a task."""
-    schema = "c1 long, c2 long, k1 long, k2 int, start int, n int, digests binary"
+    """Pieces of open runs: what their windows have in common as two numbers, and the bytes of the piece before and behind that. ``asked`` holds k1, k2, text
+    and the open runs of the text; copies of a text are read once a task."""
+    schema = "c1 long, c2 long, k1 long, k2 int, start int, n int, ahead binary, behind binary"
 
     def run(batches):
         seen = set()
@@ -174,10 +174,10 @@ def open_pieces(asked: DataFrame, size: int, step: int) -> DataFrame:
                     s, e, place = r["start"], r["start"] + r["n"] - 1, r["start"] + r["lead"]
                     for j in range((place - e) // step, (place - s) // step + 1):
                         top = place - j * step
-                        low, high = max(s, top - step + 1), min(e, top)
-                        c = xxhash.xxh3_128_digest(whole[top:top - step + 1 + size], j)
+                        low, high, end = max(s, top - step + 1), min(e, top), top - step + 1 + size
+                        c = xxhash.xxh3_128_digest(whole[top:end], j)
                         out.append((int.from_bytes(c[:8], "little", signed=True), int.from_bytes(c[8:], "little", signed=True), k1, k2, low, high - low + 1,
-                                    b"".join(xxhash.xxh3_128_digest(whole[p:p + size]) for p in range(low, high + 1))))
+                                    text[low:top], text[end:high + size]))
                 if len(out) > 20_000:
                     yield _batch(schema, *zip(*out))
                     out = []
@@ -200,7 +200,7 @@ def cut_text(text: bytes, starts, counts, size: int) -> tuple[int, int, bytes]:
     return len(text) - len(left), len(begin), left
 
 
-def remove_repeats(docs: DataFrame, size: int = 400, gram: int = 128, step: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 400, gram: int = 128, step: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for every row: ``kept`` is what is left of the text, null where it is the whole text."""
     rows, cuts = _repeats(docs, size, gram, step, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -221,14 +221,19 @@ def _repeats(docs: DataFrame, size: int, gram: int, step: int, id_col: str, text
     several = sorts.groupBy("gram").agg(F.count(F.lit(1)).alias("sorts")).filter("sorts > 1").select("gram")
     asked = keep(sorts.join(several, "gram").select("at.*").groupBy(*KEY).agg(F.collect_list(F.struct("start", "n", "lead")).alias("wanted")))
     pieces = keep(open_pieces(long.select(*KEY, "text").join(_few(asked, "wanted"), KEY), size, step))
-    shared = pieces.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("of")).filter("of > 1").drop("of")
-    windows = pieces.join(shared, ["c1", "c2"]).select(*KEY, "start", "digests", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")) \
-        .select(*KEY, (F.col("start") + F.col("i")).alias("start"), F.expr("substring(digests, 16 * i + 1, 16)").alias("window"))
-    windows = keep(windows)
-    repeated = windows.groupBy("window").agg(F.count(F.lit(1)).alias("of")).filter("of > 1").select("window")
-    single = windows.join(repeated, "window").select(*KEY, "start", F.lit(1).alias("n"))
+    digit = ["c1", "c2"]
+    sorts = keep(pieces.groupBy(*digit, "ahead", "behind").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(*KEY, "start", "n")).alias("at")))
+    twice = sorts.filter("times > 1").select(*digit, "ahead", "behind")
+    whole = pieces.join(twice, [*digit, "ahead", "behind"]).select(*KEY, "start", "n")
+    several = sorts.groupBy(*digit).agg(F.count(F.lit(1)).alias("sorts")).filter("sorts > 1").select(*digit)
+    last = sorts.join(several, digit).select(*digit, "ahead", "behind", "at", F.explode(F.sequence(F.lit(0), F.col("at.n") - 1)).alias("i")) \
+        .select(*digit, F.expr("substring(ahead, i + 1)").alias("ahead"), F.expr(f"substring(behind, 1, i - octet_length(ahead) + {step - 1})").alias("behind"), "at", "i")
+    window = [F.xxhash64(F.lit(i), *digit, F.octet_length("ahead"), "ahead", "behind").alias(f"w{i}") for i in (1, 2)]
+    windows = keep(last.select(*window, "at.k1", "at.k2", (F.col("at.start") + F.col("i")).alias("start")))
+    repeated = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("of")).filter("of > 1").drop("of")
+    single = windows.join(repeated, ["w1", "w2"]).select(*KEY, "start", F.lit(1).alias("n"))
     done = found.filter("times = 0").select(*KEY, "start", "n")
-    return rows, keep(done.unionByName(sure).unionByName(single).groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("cuts")))
+    return rows, keep(done.unionByName(sure).unionByName(whole).unionByName(single).groupBy(*KEY).agg(F.collect_set(F.struct("start", "n")).alias("cuts")))
 
 
 def _few(kept: DataFrame, entries: str) -> DataFrame:
@@ -261,7 +266,7 @@ def _cut(rows: DataFrame, cuts: DataFrame, size: int, schema: str, of_kept, of_w
 
 def op11_radix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    rows, cuts = _repeats(docs, 400, 128, 16, "doc_id", "text")
+    rows, cuts = _repeats(docs, 400, 128, 32, "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return _cut(rows, cuts, 400, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", lambda x: hashlib.sha256(x).hexdigest(), F.sha2("text", 256)) \
         .withColumnRenamed("id", "doc_id")
