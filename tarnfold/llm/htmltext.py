@@ -57,6 +57,7 @@ MARKED = re.compile(r"""(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|banners?|spons
 foot|footer|masthead|topbar|breadcrumbs?|cookies?|consent|gdpr|privacy|notices?|notification\w*|alerts?|warning|popup|overlay|modal|newsletter|subscri\w*|signup|login|
 search|share|sharing|social|related|recommend\w*|recirc\w*|trending|popular|more|comment|comments|commentlist|respond|disqus|repl(?:y|ies)|discussion|reactions?|
 widgets?|toolbar|pagination|pager|paywall|tags|tagcloud|copyright|legal|disclaimer|complementary|contentinfo|hidden)(?:$|[\s_-])""".replace("\n", ""), re.I)
+ASIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|repl(?:y|ies)|related|recommend\w*|trending|teaser)(?:$|[\s_-])", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|banner)(?:$|[\s_-])", re.I)
 BODY = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-?body|content|entry|post|story|main|maincontent|hentry|blogpost)(?:$|[\s_-])", re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -74,8 +75,8 @@ def _part(tag: str, attrs: str, inside: bool, other: bool) -> tuple[bool, bool]:
     """(in an article part, in some other part) below an element."""
     names = " ".join(a or b or c for a, b, c in NAMES.findall(attrs)) if attrs else ""
     marked = bool(names and tag not in ("html", "body") and MARKED.search(names)) or bool(attrs and HIDDEN.search(attrs))
-    if tag in ARTICLE:
-        return (True, other and inside or marked)
+    if tag in ARTICLE:  # articles of comments and teasers are others; words of any other kind do not make one of an article
+        return True, other and inside or bool(names and ASIDE.search(names)) or bool(attrs and HIDDEN.search(attrs))
     if tag in OTHER or marked or ((tag == "header" or HEADER.search(names)) and not inside):
         return inside, True
     return inside or bool(names and BODY.search(names) and tag not in ("html", "body")), other
@@ -95,8 +96,8 @@ def blocks_of(page: str) -> list[Block]:
                 out.append(Block(text, linked, stack[-1][1], stack[-1][2], heading))
         parts, linked, breaks = [], 0, 0
 
-    at = 0
-    for m in TOKEN.finditer(page):
+    at, end, open_end = 0, page.rfind(">") + 1, False  # what follows the last > holds no whole tag
+    for m in TOKEN.finditer(page, 0, end):
         if m.start() > at:
             piece = page[at:m.start()]
             parts.append(piece)
@@ -105,6 +106,7 @@ def blocks_of(page: str) -> list[Block]:
                 if links:
                     linked += len(html.unescape(piece).strip())
         at = m.end()
+        open_end = at == end and (m[0].startswith("<!--") and not m[0].endswith("-->") or bool(m["endless"]) and not re.search(rf"</{m['endless']}\s*>$", m[0], re.I))
         tag = m["tag"].lower() if m["tag"] else None
         if tag is None:
             continue
@@ -131,52 +133,63 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[1:]
                 stack.append((tag, *_part(tag, m["attrs"], stack[-1][1], stack[-1][2])))
             heading = stack[-1][0] in HEADINGS
-    if at < len(page):
-        parts.append(page[at:])
+    if at < len(page) and not open_end:
+        parts.append(page[at:end] + page[end:].split("<!--")[0])
     flush()
     return out
 
 
 def decide(blocks: list[Block]) -> None:
-    """First pass, then second: sets ``good`` of every block."""
+    """First pass, then second: sets ``good`` of every block. A page none of whose long blocks has the stop words of a known language is judged
+    by length and links alone."""
     article = any(b.inside and not b.other for b in blocks)
+    density = []
     for b in blocks:
+        words = [w.lower() for w in LETTERS.findall(b.text)] if len(b.text) >= SHORT else []
+        density.append(sum(w in STOP_WORDS for w in words) / max(1, len(words)))
+    known = any(d >= SPARSE for b, d in zip(blocks, density) if len(b.text) >= LONG) or all(len(b.text) < LONG or b.other for b in blocks)
+    for b, dense in zip(blocks, density):
         size, share = len(b.text), b.linked / len(b.text)
         if b.other or share > LINKS and not (b.inside and b.heading) or article and not b.inside or size < LONG and not b.inside and RIGHTS.search(b.text):
             b.good = False
         elif size >= SHORT:
-            words = [w.lower() for w in LETTERS.findall(b.text)]
-            dense = sum(w in STOP_WORDS for w in words) / max(1, len(words))
             if b.inside and article:
                 b.good = True
-            elif size >= LONG and dense >= SPARSE:
+            elif size >= LONG and (dense >= SPARSE or not known):
                 b.good = True
-            elif dense < SPARSE:
+            elif dense < SPARSE and known:
                 b.good = False
             elif dense >= DENSE and not b.heading:
                 b.good = True
         elif b.linked and not b.inside:
             b.good = False
-    first = [b.good for b in blocks]
-    for k, b in enumerate(blocks):
-        if b.good is None:
-            b.good = _neighbour(blocks, first, k)
-
-
-def _neighbour(blocks: list[Block], first: list, k: int) -> bool:
-    """The label of the nearest decided block; for a block inside the article part only blocks there count."""
-    near = []
-    for step in (-1, 1):
-        i = k + step
-        while 0 <= i < len(blocks) and (first[i] is None or blocks[k].inside and (not blocks[i].inside or blocks[i].other)):
-            i += step
-        near.append((abs(i - k), first[i]) if 0 <= i < len(blocks) else None)
-    before, after = near
-    if not before or not after:
-        return (before or after or (0, True))[1]
-    if before[0] != after[0]:
-        return min(before, after)[1]
-    return after[1] if blocks[k].heading else before[1]
+    _second_pass(blocks)
+
+
+def _second_pass(blocks: list[Block]) -> None:
+    """Labels of the nearest decided blocks for open ones; for a block inside the article part only blocks there count. One sweep each way."""
+    def nearest(order):
+        found, last, last_inside = {}, None, None
+        for k in order:
+            b = blocks[k]
+            if b.good is None:
+                found[k] = last_inside if b.inside else last
+            else:
+                last = k
+                if b.inside and not b.other:
+                    last_inside = k
+        return found
+
+    before, after = nearest(range(len(blocks))), nearest(range(len(blocks) - 1, -1, -1))
+    labels = {}
+    for k, i in before.items():
+        j = after[k]
+        if i is None or j is None:
+            labels[k] = blocks[j if i is None else i].good if i is not j else True
+        else:
+            labels[k] = blocks[i if k - i < j - k or k - i == j - k and not blocks[k].heading else j].good
+    for k, good in labels.items():
+        blocks[k].good = good
 
 
 def main_text(page: str | None) -> str:

@@ -1,9 +1,11 @@
 """Token counts, packing, pages: against the libraries themselves and hand-made pages."""
 
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+
 import pytest
 
 from tarnfold.llm import htmltext, packing, tokencount
@@ -85,6 +87,21 @@ def test_article_is_whole_and_plain():
     assert htmltext.main_text("a" * 50000 + "<p" * 2000)
 
 
+def test_articles_of_any_class_and_language():
+    assert htmltext.main_text('<article class="post more share"><p>One text of it.</p></article><article class="comment"><p>Mine.</p></article>') == "One text of it."
+    italian = "Il gatto nero salta sopra il cane pigro mentre una volpe corre lontano verso casa vecchia sulla collina verde accanto al fiume. " * 2
+    assert htmltext.main_text(f"<nav><a href=/>Su</a></nav><p>{italian}</p><p>Breve.</p><footer>Tutto</footer>") == f"{italian.strip()}\n\nBreve."
+
+
+def test_many_short_blocks_and_open_tags_take_linear_time():
+    start = time.perf_counter()
+    assert htmltext.main_text("<p>ab c</p>" * 20_000).count("ab c") in (0, 20_000)
+    for page in ("<p" * 16_000, '<a x="' * 8_000, "<div>a" * 8_000):
+        htmltext.main_text(page)
+    assert time.perf_counter() - start < 10
+    assert htmltext.main_text("<article><p>One.</p><script>a > b") == htmltext.main_text("<article><p>One.</p><!-- a > b") == htmltext.main_text("<article><p>One.</p><!-- a") == "One."
+
+
 @pytest.mark.parametrize("before", ["<svg-icon name=a></svg-icon>", "<button-group>", "<template-part/>", "<title-bar></title-bar>", "<svg viewBox='0 0 1 1'/>", "<math />", '<svg data-x="a>b"/>',
                                     "<button>", "<select>", "<object data=x>", "<canvas>", "<svg>", "<noscript>", '<i data-x="' + "<p>leak</p> " * 900 + '"></i>',
                                     "<i srcdoc='" + "<script>" * 900 + "'></i>", "<svg><path/></svg>", "<button data-x='>leak'>leak</button>", "<script-x></script-x>"])
