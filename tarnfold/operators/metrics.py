@@ -46,6 +46,14 @@ def macro_f1(df: DataFrame, by=(), y: str = "y", pred: str = "pred") -> DataFram
     return per.groupBy(*by).agg(F.avg(ratio(2 * F.col("h"), F.col("t") + F.col("p"), 0)).alias("macro_f1"))
 
 
+def macro_f1_of(cells: DataFrame) -> DataFrame:
+    """Macro-F1 of binary confusion cells: the mean over the classes present in truth or prediction."""
+    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
+    both = [ratio(2 * hit, 2 * hit + fp + fn, 0) for hit in (tn, tp)]
+    present = [(hit + fp + fn > 0).cast("int") for hit in (tn, tp)]
+    return cells.withColumn("macro_f1", (both[0] * present[0] + both[1] * present[1]) / (present[0] + present[1]))
+
+
 def f1_score(df: DataFrame, by=(), y: str = "y", pred: str = "pred", average: str = "macro") -> DataFrame:
     if average == "macro":
         return macro_f1(df, by, y, pred).withColumnRenamed("macro_f1", "f1")

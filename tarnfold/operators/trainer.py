@@ -297,7 +297,7 @@ class _Moving:
     settled: bool = True  # the length is the one to take
 
 
-def fit_designs(rows: DataFrame, moments: Moments, designs: list, tol: float = 1e-9, most: int = 300) -> list:
+def fit_designs(rows: DataFrame, moments: Moments, designs: list, tol: float = 1e-11, most: int = 300) -> list:
     """A ``Fit`` for every design. ``most`` bounds the rounds; models that still move then say so by their gap."""
     if sum((d.axes.shape[1] + 1) ** 2 for d in designs) > LARGEST:
         raise ValueError("too many inputs for curvature matrices; use fit_margin, which keeps gradients only")
@@ -327,6 +327,9 @@ def fit_designs(rows: DataFrame, moments: Moments, designs: list, tol: float = 1
                     m.length = LINE[best - 1]
                     continue
             moved = m.value - half - loss
+            if moved < 0 and m.length > 1e-9:
+                m.length *= 0.25 * LINE[-1] if m.length == 1.0 else 0.25
+                continue
             if moved < 0:  # no step goes down: as good as rounding lets it be
                 point, moved = m.at, 0.0
             else:
@@ -334,8 +337,9 @@ def fit_designs(rows: DataFrame, moments: Moments, designs: list, tol: float = 1
                 # the offset has a curvature even where no row is near a corner
                 curvature = curvature + np.diag(np.append(np.ones(len(point) - 1), 1e-4 * weight[k]))
                 m.step = -np.linalg.solve(curvature, gradient)
+                rest = point[:-1] - gradient[:-1]  # the weights that the multipliers give
                 m.at, m.length, m.value, m.slope, m.settled = point, 1.0, half + loss, float(gradient @ m.step), False
-                fits[k] = Fit(designs[k], point[:-1], float(point[-1]), half + hinge, max(0.0, 2 * half + hinge - multipliers), m.rounds)
+                fits[k] = Fit(designs[k], point[:-1], float(point[-1]), half + hinge, max(0.0, half + hinge - multipliers + 0.5 * float(rest @ rest) + abs(gradient[-1]) * (1 + abs(point[-1]))), m.rounds)
             last = m.stage + 1 == len(WIDTHS)
             if -m.slope <= (tol if last else 1e-3) * max(abs(m.value), 1e-12) or moved <= 1e-14 * abs(m.value):
                 if last:
@@ -375,13 +379,13 @@ def test_designs(rows: DataFrame, fits: list, tested: Callable, by_part: bool =
 
 
 def model_table(spark, fits: list) -> DataFrame:
-    """A row for every fit: model (its number), names, c, w, b (as weights of the inputs), axes (row by row) and shift, objective, gap, rounds, only."""
+    """A row for every fit: model (its number), names, cost, w, b (as weights of the inputs), axes (row by row) and shift, objective, gap, rounds, only."""
     def kind(v):
         return "int" if isinstance(v, (int, np.integer)) else "double" if isinstance(v, float) else "string"
 
     names = list(fits[0].design.name)
     schema = ["model int"] + [f"{c} {kind(v)}" for c, v in fits[0].design.name.items()]
-    schema += ["c double", "w array<double>", "b double", "axes array<double>", "shift array<double>", "low double", "high double", "objective double", "gap double", "rounds int", "only int"]
+    schema += ["cost double", "w array<double>", "b double", "axes array<double>", "shift array<double>", "low double", "high double", "objective double", "gap double", "rounds int", "only int"]
     rows = [(k, *(f.design.name[c] for c in names), float(f.design.c), f.w.tolist(), float(f.b), f.design.axes.ravel().tolist(), f.design.shift.tolist(),
              *(map(float, f.design.limits) if f.design.limits else (None, None)), float(f.objective), float(f.gap), f.rounds, f.only) for k, f in enumerate(fits)]
     return spark.createDataFrame(rows, ", ".join(schema))
@@ -392,11 +396,44 @@ def fits_of(table: DataFrame, names: list) -> list:
     out = []
     for r in table.orderBy("model").collect():
         shift = np.array(r["shift"], float)
-        design = Design({c: r[c] for c in names}, frozenset(), np.array(r["axes"], float).reshape(-1, len(shift)), shift, r["c"], limits=(r["low"], r["high"]) if r["low"] is not None else None)
+        design = Design({c: r[c] for c in names}, frozenset(), np.array(r["axes"], float).reshape(-1, len(shift)), shift, r["cost"], limits=(r["low"], r["high"]) if r["low"] is not None else None)
         out.append(Fit(design, np.array(r["w"], float), r["b"], r["objective"], r["gap"], r["rounds"], r["only"]))
     return out
 
 
+def score_designs(rows: DataFrame, fits: list, tested: Callable, *keep: str) -> DataFrame:
+    """(names, part, y, score, pred, keep columns): every row of the parts a fit is tested on. Fits of one class score -1 or 1."""
+    parts_of = [sorted(tested(f.design)) for f in fits]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, _, x = _inputs(batch)
+            for k, f in enumerate(fits):
+                own = np.isin(part, parts_of[k])
+                if own.any():
+                    kept = batch.filter(pa.array(own))
+                    score = _project(x[own], f.design) @ f.w + f.b if f.only is None else np.full(own.sum(), 2.0 * f.only - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(score), k), pa.int32()), kept.column("part"), kept.column("y"), pa.array(score), pa.array((score > 0).astype(np.int32)),
+                                                      *(kept.column(c) for c in keep)], ["model", "part", "y", "score", "pred", *keep])
+
+    scored = rows.mapInArrow(run, ", ".join(["model int, part int, y int, score double, pred int", *(f"{c} {types[c]}" for c in keep)]))
+    names = list(fits[0].design.name)
+    return scored.join(F.broadcast(model_table(rows.sparkSession, fits).select("model", *names)), "model").select(*names, "part", "y", "score", "pred", *keep)
+
+
+def fit_whole(df: DataFrame, vector: str, label: str, c: float = 1.0, balanced: bool = False, scale: bool = False, keep=()) -> tuple[Fit, DataFrame]:
+    """One model of all rows, and its scores (y, score, pred, keep columns) of them."""
+    rows = study_rows(df.withColumn("_part", F.lit(0)), vector, label, "_part", *keep)
+    moments = part_moments(rows)
+    learns, every = frozenset([0]), range(len(moments.base))
+    design = Design({"model_name": "whole"}, learns, *(scaled(moments, learns, every) if scale else chosen(moments, every)), c, balanced)
+    fit = fit_designs(rows, moments, [design])[0]
+    return fit, score_designs(rows, [fit], lambda d: {0}, *keep).drop("model_name", "part")
+
+
 def project_designs(rows: DataFrame, designs: list, tested: Callable, *keep: str) -> DataFrame:
     """(model, part, y, phi, keep columns): every row of the parts a design is tested on, as its inputs."""
     parts_of = [sorted(tested(d)) for d in designs]

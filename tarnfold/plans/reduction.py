@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.operators import classifiers, kernels, metrics, reduction, scaling, scoring, search
+from tarnfold.operators import kernels, metrics, reduction, scaling, scoring, search, trainer
 from tarnfold.functions.moments import per_feature, vector_summary
 from tarnfold.functions.vectors import squared_distance
 from tarnfold.operators.encoding import FrozenOneHot
 from tarnfold.operators.scaling import ANGLE_MAX
+from tarnfold.plans import studies
 from tarnfold.session import bounded
 
 
@@ -50,38 +51,16 @@ def encode(train: DataFrame, test: DataFrame, numeric, categorical):
     return scaler.apply(a, "features", clipped=False), scaler.apply(b, "features"), onehot, scaler
 
 
-def k_search(cv_rows: DataFrame, names, label: str, ks, fold: str, folds: int, vector: str = "features", max_iter: int = 30) -> DataFrame:
-    """Mean and std of macro-F1 over folds for every K; features are ranked on the training folds only."""
-    def prepare(train, test, setting):
-        scores = scoring.anova(train, vector, label, names, pvalues=False)
-        keep = scoring.selected_positions(scores, setting["k"])
-        return tuple(scoring.keep_positions(d, vector, keep, "phi") for d in (train, test))
-
-    settings = [{"name": str(k), "k": k} for k in ks if k <= len(names)]
-    scores = classifiers.cross_validate(cv_rows, settings, prepare, label, fold, folds, max_iter)
-    return classifiers.cv_table(scores, ["setting"]).withColumn("k", F.col("setting").cast("int")).drop("setting")
-
-
-def ablation(cv_rows: DataFrame, names, label: str, k: int, n: int, fold: str, folds: int, vector: str = "features",
-             max_iter: int = 30) -> DataFrame:
-    """Five pipelines: all features, PCA to 95 %, top K, PCA to n, top K then PCA to n."""
-    def prepare(train, test, setting):
-        keep = list(range(len(names)))
-        if setting["select"]:
-            keep = scoring.selected_positions(scoring.anova(train, vector, label, names, pvalues=False), k)
-        pair = [scoring.keep_positions(d, vector, keep, "phi") for d in (train, test)]
-        if setting["pca"] is not None:
-            how = {"variance": setting["pca"]} if setting["pca"] < 1 else {"n": int(setting["pca"])}
-            pca = reduction.fit_pca(pair[0], "phi", **how)
-            pair = [pca.transform(d, "phi", "phi") for d in pair]
-        return tuple(pair)
-
-    settings = [
-        {"name": "1 all features", "select": False, "pca": None}, {"name": "2 pca 95", "select": False, "pca": 0.95},
-        {"name": "3 top k", "select": True, "pca": None}, {"name": "4 pca n", "select": False, "pca": n},
-        {"name": "5 top k and pca n", "select": True, "pca": n},
-    ]
-    return classifiers.cv_table(classifiers.cross_validate(cv_rows, settings, prepare, label, fold, folds, max_iter), ["setting"])
+def k_search(cv_rows: DataFrame, names, label: str, ks, fold: str, folds: int, vector: str = "features", max_iter: int = 300) -> DataFrame:
+    """Mean and std of macro-F1 over folds for every K; features are ranked on the training folds only. All K and folds are fitted together."""
+    rows = trainer.study_rows(cv_rows.filter(F.col(fold) < folds), vector, label, fold)
+    return studies.cv_means(studies.k_scores(rows, [k for k in ks if k <= len(names)], most=max_iter), ["k"])
+
+
+def ablation(cv_rows: DataFrame, names, label: str, k: int, n: int, fold: str, folds: int, vector: str = "features", max_iter: int = 300) -> DataFrame:
+    """Five pipelines: all features, PCA to 95 %, top K, PCA to n, top K then PCA to n. All pipelines and folds are fitted together."""
+    rows = trainer.study_rows(cv_rows.filter(F.col(fold) < folds), vector, label, fold)
+    return studies.cv_means(studies.ablation_scores(rows, min(k, len(names)), n, most=max_iter), ["setting"])
 
 
 def component_metrics(train: DataFrame, vector: str, label: str, n_values, reps: int = 2) -> DataFrame:

@@ -1,17 +1,22 @@
 """Inventory H: classifiers on kernel maps, calibration, tuning, learning curve. Fits are iterative, so most have no SQL."""
 
 import math
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.functions import feature_maps as M
 from tarnfold.operators import classifiers as C
+from tarnfold.operators import duals as D
 from tarnfold.operators import metrics, sampling, scaling, scoring
+from tarnfold.operators import trainer as T
+from tarnfold.plans import studies
 from workloads import tables as t
 from workloads.registry import query, table
 from workloads.tables import r
 
-KERNELS = [("linear", {}), ("poly", {"coef0": 1.0}), ("rbf", {"gamma": 0.25, "size": 64})]
+#: kind, gamma, coef0
+KERNELS = [("linear", 1.0, 0.0), ("poly", 0.25, 1.0), ("rbf", 0.25, 0.0)]
 
 
 def labelled(spark, sf):
@@ -22,30 +27,43 @@ def labelled(spark, sf):
     return scaling.fit_minmax(kept, "x", 0.0, math.pi).apply(kept, "x").select("vec_id", "label", "y", "v", "x")
 
 
-def fitted(spark, sf, kind="linear", c=1.0, balanced=False, max_iter=20, **kw):
-    df, _ = M.add_map(labelled(spark, sf), kind, "x", 4, **kw)
-    model = C.fit_margin(df, "phi", "y", c, balanced, max_iter)
-    return model, model.score(df, "phi")
+def fitted(spark, sf, balanced=False, y=None):
+    """The linear model of all four angles, fitted to its optimum, and its scores."""
+    df = labelled(spark, sf)
+    return T.fit_whole(df if y is None else df.withColumn("y", y), "x", "y", balanced=balanced, keep=["vec_id"])
 
 
 @query("h01_linear_classifier")
 def linear_classifier(spark, sf):
     """Status of every lineitem from its four scaled numbers."""
-    df = t.flow_vectors(spark, sf)
-    df = scaling.fit_minmax(df, "features").apply(df, "features")
-    model = C.fit_margin(df, "features", "y", 1.0, max_iter=10)
-    return metrics.rates(metrics.confusion(model.score(df, "features"), ["category"]))
+    _, scored = T.fit_whole(t.flow_vectors(spark, sf), "features", "y", scale=True, keep=["category"])
+    return metrics.rates(metrics.confusion(scored, ["category"]))
+
+
+def kernel_fits(spark, sf):
+    """(kind, model) for the exact kernels on the four angles."""
+    base = labelled(spark, sf)
+    return [(kernel[0], D.fit_dual(base, "x", "y", kernel, keep=["vec_id"])) for kernel in KERNELS]
 
 
 @query("h02_kernel_classifiers")
 def kernel_classifiers(spark, sf):
-    out = None
-    base = labelled(spark, sf)
-    for kind, kw in KERNELS:
-        df, _ = M.add_map(base, kind, "x", 4, **kw)
-        rows = C.fit_margin(df, "phi", "y", max_iter=15).score(df, "phi").select(F.lit(kind).alias("kernel"), "y", "pred")
-        out = rows if out is None else out.unionByName(rows)
-    return metrics.macro_f1(out, ["kernel"])
+    rows = [m.rows.select(F.lit(kind).alias("kernel"), "y", "pred") for kind, m in kernel_fits(spark, sf)]
+    return metrics.macro_f1(reduce(DataFrame.unionByName, rows), ["kernel"])
+
+
+@query("h09_kernel_width")
+def kernel_width(spark, sf):
+    """Distance of the margins in each kernel's space, from the multipliers; the gap bounds how far the objective is from its best."""
+    rows = [m.rows.agg(F.lit(kind).alias("kernel"), F.count("*").alias("n")).select("*", F.lit(m.width).alias("width"), F.lit(m.objective).alias("objective"),
+                                                                                   F.lit(m.gap / m.objective).alias("relative_gap")) for kind, m in kernel_fits(spark, sf)]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("h10_kernel_support")
+def kernel_support(spark, sf):
+    """Rows with a multiplier, by class and at the bound."""
+    return reduce(DataFrame.unionByName, [m.support().select(F.lit(kind).alias("kernel"), "*") for kind, m in kernel_fits(spark, sf)])
 
 
 @query("h03_class_weights", f"""WITH w AS (SELECT CASE WHEN label = 0 THEN 1 ELSE 0 END AS y FROM embeddings), c AS (SELECT y, count(*) AS n FROM w GROUP BY y)
@@ -58,9 +76,7 @@ def class_weights(spark, sf):
 
 @query("h03_balanced_classifier")
 def balanced_classifier(spark, sf):
-    df = labelled(spark, sf).withColumn("y", (F.col("label") == 0).cast("int"))
-    model = C.fit_margin(df, "x", "y", balanced=True, max_iter=20)
-    return metrics.confusion(model.score(df, "x"))
+    return metrics.confusion(fitted(spark, sf, True, (F.col("label") == 0).cast("int"))[1])
 
 
 @query("h04_scores")
@@ -78,9 +94,11 @@ def sigmoid_calibration(spark, sf):
 
 @query("h05_sigmoid_out_of_fold")
 def sigmoid_out_of_fold(spark, sf):
-    """Sigmoid fitted on scores of models that did not see the row."""
-    df = sampling.stratified_folds(labelled(spark, sf), 3, "label", ["vec_id"])
-    oof = C.out_of_fold_scores(df, "x", "y", "fold", 3, max_iter=15)
+    """Sigmoid fitted on scores of five models that did not see the row, fitted together."""
+    rows = T.study_rows(sampling.stratified_folds(labelled(spark, sf), 5, "label", ["vec_id"]), "x", "y", "fold")
+    moments = T.part_moments(rows)
+    designs = [T.Design({"fold": k}, frozenset(moments.parts) - {k}, *T.chosen(moments, range(4))) for k in moments.parts]
+    oof = T.score_designs(rows, T.fit_designs(rows, moments, designs), lambda d: {d.name["fold"]})
     out = C.apply_sigmoid(oof, C.fit_sigmoid(oof, "score", "y"), "score")
     return out.groupBy("y").agg(F.avg("prob").alias("mean_prob"), F.count("*").alias("n"))
 
@@ -117,15 +135,9 @@ def best_setting(spark, sf):
 
 @query("h07_tune_c")
 def tune_c(spark, sf):
-    """Scaler refitted per fold, C by mean score."""
-    df = sampling.stratified_folds(labelled(spark, sf), 2, "label", ["vec_id"])
-
-    def prepare(train, test, _):
-        s = scaling.fit_minmax(train, "x")
-        return s.apply(train, "x", "phi"), s.apply(test, "x", "phi")
-
-    settings = [{"name": "linear", "c": c} for c in (0.1, 1.0, 10.0)]
-    return C.cv_table(C.cross_validate(df, settings, prepare, "y", "fold", 2, max_iter=10), ["c"], ddof=1)
+    """Scaler refitted per fold, five penalties and folds fitted together; binary F1."""
+    df = sampling.stratified_folds(labelled(spark, sf), 5, "label", ["vec_id"])
+    return studies.cv_means(studies.c_scores(T.study_rows(df, "v", "y", "fold")), ["c"], ddof=1, average="binary")
 
 
 @query("h08_margin_summary", f"SELECT event_type, {r('avg(abs(value - 50))', 'margin_mean')}, {r('stddev_pop(abs(value - 50))', 'margin_std')} FROM events GROUP BY event_type")
@@ -137,7 +149,7 @@ def margin_summary(spark, sf):
 @query("h09_margin_width")
 def margin_width(spark, sf):
     model, scored = fitted(spark, sf)
-    return scored.agg(F.count("*").alias("n")).withColumn("width", F.lit(model.margin_width()))
+    return scored.agg(F.count("*").alias("n")).withColumn("width", F.lit(model.width))
 
 
 SUPPORT = "(2 * y - 1) * (value - 50) / 50 <= 1 + 1e-6"
@@ -152,14 +164,12 @@ def support_rows(spark, sf):
 
 @query("h11_learning_curve")
 def learning_curve(spark, sf):
+    """Nested sizes up to the table's own, the scaler refitted on each sample, all sizes fitted together."""
     df = labelled(spark, sf)
-    sized = sampling.size_ladder(df, [50, 100, 200], "y", ["vec_id"]).select("vec_id", "y", "x", "size")
-
-    def prepare(train, test):
-        s = scaling.fit_minmax(train, "x")
-        return s.apply(train, "x", "phi"), s.apply(test, "x", "phi")
-
-    return C.learning_curve(sized, df, [50, 100, 200], prepare, "y", max_iter=10, done=[50]).drop("seconds")
+    n = df.count()
+    sizes = [s for s in (100, 200, 500, 1000) if s <= n]
+    sized = sampling.size_ladder(df, sizes, "y", ["vec_id"]).select("y", "v", "size")
+    return studies.learning_curve(sized, df, sizes, "v", "y")
 
 
 @query("h12_train_test_gap")

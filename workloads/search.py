@@ -146,15 +146,20 @@ def fold_vectors(spark, sf, k=3):
     return sampling.stratified_folds(v, k, "label", ["vec_id"])
 
 
+KS = [4, 6, 8, 10, 12, 15, 20, 25, 30, 40, 50, t.DIM]
+
+
 @query("f05_k_search")
 def k_search(spark, sf):
+    """Twelve feature counts, five folds: sixty converged fits in one plan."""
     names = [f"v{i}" for i in range(t.DIM)]
-    return plan.k_search(fold_vectors(spark, sf), names, "y", [4, 16, 64], "fold", 3, max_iter=15)
+    return plan.k_search(fold_vectors(spark, sf, 5), names, "y", KS, "fold", 5)
 
 
 @query("f07_ablation")
 def ablation(spark, sf):
+    """Five pipelines, five folds."""
     names = [f"v{i}" for i in range(t.DIM)]
-    return plan.ablation(fold_vectors(spark, sf, 2), names, "y", 16, 4, "fold", 2, max_iter=10)
+    return plan.ablation(fold_vectors(spark, sf, 5), names, "y", 16, 4, "fold", 5)
 
 

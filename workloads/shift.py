@@ -5,6 +5,8 @@ import math
 from pyspark.sql import functions as F
 
 from tarnfold.operators import metrics, sampling, scaling
+from tarnfold.operators import trainer as T
+from tarnfold.plans import studies
 from tarnfold.plans import shift as S
 from workloads import tables as t
 from workloads.registry import query
@@ -46,6 +48,38 @@ def run_matrix(spark, sf):
     return metrics.rates(metrics.confusion(out, ["train_run", "test_run"])).select("train_run", "test_run", "f1", "accuracy")
 
 
+def run_pipelines(spark, sf):
+    """Vectors by run, and for each run select 16 of 64 -> PCA to 4 -> angles -> classifier, learnt from that run alone."""
+    v = t.vectors(spark, sf).withColumn("run", (F.col("vec_id") % 5).cast("int"))
+    rows = T.study_rows(v, "v", "y", "run", "vec_id")
+    return rows, studies.fitted_runs(rows, 16, 4)
+
+
+@query("k02_fitted_matrix")
+def fitted_matrix(spark, sf):
+    """Every fitted run on the rows of every run."""
+    return metrics.rates(studies.run_matrix(*run_pipelines(spark, sf))).select("train_run", "test_run", "f1", "accuracy")
+
+
+@query("k03_fitted_noise")
+def fitted_noise(spark, sf):
+    """F1 of the fitted runs as their angles get noisier, and its slope."""
+    rows, fits = run_pipelines(spark, sf)
+    f1, slopes = S.noise_sweep(studies.noisy_scores(rows, fits, SIGMAS, ["vec_id"]), ["train_run"], average="binary")
+    return f1.join(slopes.select("train_run", "slope"), "train_run").select("train_run", "sigma", "f1", "slope")
+
+
+@query("e08_angles_by_run")
+def angles_by_run(spark, sf):
+    """Select, PCA and angles refitted on every run: ranges and sums of its angles."""
+    v = t.vectors(spark, sf).withColumn("run", (F.col("vec_id") % 5).cast("int"))
+    rows = T.study_rows(v, "v", "y", "run")
+    moments = T.part_moments(rows)
+    designs = studies.angle_designs(rows, moments, {frozenset([p]): {"run": p} for p in moments.parts}, 16, 4)
+    out = T.project_designs(rows, designs, lambda d: set(d.learns)).select(F.col("part").alias("run"), F.posexplode("phi").alias("component", "angle"))
+    return out.groupBy("run", "component").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"), F.avg("angle").alias("mean"))
+
+
 SIGMAS = [0.0, 0.05, 0.1, 0.15, 0.2]
 NOISE = ANGLES + f""", levels AS (SELECT * FROM (VALUES (0, 0.0::DOUBLE), (1, 0.05::DOUBLE), (2, 0.1::DOUBLE), (3, 0.15::DOUBLE), (4, 0.2::DOUBLE)) v(lev, sigma)),
 noisy AS (SELECT label % 5 AS run, y, sigma, CASE WHEN greatest(0.0, least({math.pi!r}, x0 + sigma * {sql_gaussian(['vec_id', 'lev', 0], 9)})) > {math.pi / 2!r} THEN 1 ELSE 0 END AS pred FROM angles, levels),
