@@ -406,7 +406,16 @@ def scaled_alignment(spark, sf):
 
 
 # Every row against every row in blocks, with the table's own class mix: the statistics that the queries above read from reference
-# rows. SQL over all pairs of a table is too slow; tests hold the operators against the matrix.
+# rows. SQL forms all pairs of the table.
+ALL_PAIRS = VECTORS + ", pairs AS (SELECT a.vec_id AS i, b.vec_id AS j, a.y AS yi, b.y AS yj, {k} AS k FROM vectors a, vectors b)"
+RBF_SQL, SQUARED_SQL = "exp(-2.0 * list_distance(a.v, b.v) ** 2)", "(list_dot_product(a.v, b.v) / 64) ** 2"
+ALL_RBF = ALL_PAIRS.format(k=RBF_SQL)
+
+
+def all_per_row(k: str) -> str:
+    return f"WITH {ALL_PAIRS.format(k=k)} SELECT i AS vec_id, {r('sum(k)', 'total')}, {r('sum(k * k)', 'squares')}, {r('max(k)', 'top')} FROM pairs GROUP BY i"
+
+
 RBF, SLOWER, SQUARED = ("rbf", 2.0, 0.0), ("rbf", 1.5, 0.0), ("poly", 1.0 / 64, 0.0)
 
 
@@ -422,70 +431,77 @@ def all_rows(spark, sf, kernel):
     return all_sums(spark, sf, kernel).select("vec_id", F.col("total0").alias("total"), F.col("squares0").alias("squares"), F.col("top0").alias("top"))
 
 
-@query("g01_linear_rows_all")
+@query("g01_linear_rows_all", all_per_row("list_dot_product(a.v, b.v)"))
 def linear_rows_all(spark, sf):
     return all_rows(spark, sf, ("linear", 1.0, 0.0))
 
 
-@query("g02_poly_rows_all")
+@query("g02_poly_rows_all", all_per_row("(list_dot_product(a.v, b.v) / 64 + 1.0) ** 2"))
 def poly_rows_all(spark, sf):
     return all_rows(spark, sf, ("poly", 1.0 / 64, 1.0))
 
 
-@query("g03_rbf_rows_all")
+@query("g03_rbf_rows_all", all_per_row(RBF_SQL))
 def rbf_rows_all(spark, sf):
     return all_rows(spark, sf, RBF)
 
 
-@query("g07_label_kernel_all")
+@query("g07_label_kernel_all", f"WITH {VECTORS} SELECT a.vec_id, CAST(sum((2 * a.y - 1) * (2 * b.y - 1)) AS BIGINT) AS total FROM vectors a, vectors b GROUP BY a.vec_id")
 def label_kernel_all(spark, sf):
     """The label kernel has rank one: a row's total is its own sign times the sum of all signs."""
     v = t.vectors(spark, sf).select("vec_id", (2 * F.col("y") - 1).alias("s"))
     return v.crossJoin(F.broadcast(v.agg(F.sum("s").alias("signs")))).select("vec_id", (F.col("s") * F.col("signs")).alias("total"))
 
 
-@query("g08_max_normalize_all")
+@query("g08_max_normalize_all", f"WITH {ALL_PAIRS.format(k=SQUARED_SQL)}, m AS (SELECT max(k) AS top FROM pairs) SELECT i AS vec_id, {r('sum(k / m.top)', 'total')}, {r('max(k / m.top)', 'top')} FROM pairs, m GROUP BY i")
 def max_normalize_all(spark, sf):
     sums = cut_lineage(all_sums(spark, sf, SQUARED))
     top = sums.agg(F.max("top0").alias("most"))
     return sums.crossJoin(F.broadcast(top)).select("vec_id", (F.col("total0") / F.col("most")).alias("total"), (F.col("top0") / F.col("most")).alias("top"))
 
 
-@query("g09_alignment_rbf_all")
+@query("g09_alignment_rbf_all", f"WITH {ALL_RBF} SELECT {r(KTA, 'alignment')} FROM pairs")
 def alignment_rbf_all(spark, sf):
     return all_statistics(spark, sf).select("alignment")
 
 
-@query("g10_double_centering_all")
+@query("g10_double_centering_all", f"""WITH {ALL_RBF}, c AS (SELECT i, k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER () AS k FROM pairs)
+SELECT i AS vec_id, {r('sum(k * k)', 'squares')}, {r('max(k)', 'top')} FROM c GROUP BY i""")
 def double_centering_all(spark, sf):
     return B.centered_sums(t.vectors(spark, sf), "v", "y", RBF, "vec_id")
 
 
-@query("g11_cka_rows_all")
+@query("g11_cka_rows_all", f"""WITH {VECTORS}, pairs AS (SELECT a.vec_id AS i, b.vec_id AS j, {RBF_SQL} AS k1, {SQUARED_SQL} AS k2 FROM vectors a, vectors b),
+c AS (SELECT k1 - avg(k1) OVER (PARTITION BY i) - avg(k1) OVER (PARTITION BY j) + avg(k1) OVER () AS k1, k2 - avg(k2) OVER (PARTITION BY i) - avg(k2) OVER (PARTITION BY j) + avg(k2) OVER () AS k2 FROM pairs)
+SELECT {r('sum(k1 * k2) / (sqrt(sum(k1 * k1)) * sqrt(sum(k2 * k2)))', 'cka')} FROM c""")
 def cka_rows_all(spark, sf):
     return B.whole_cka(all_sums(spark, sf, RBF, SQUARED))
 
 
-@query("g12_effective_rank_all")
+@query("g12_effective_rank_all", f"WITH {ALL_RBF} SELECT {r('sum(CASE WHEN i = j THEN k END) ** 2 / sum(k * k)', 'effective_rank')} FROM pairs")
 def effective_rank_all(spark, sf):
     return all_statistics(spark, sf).select("effective_rank")
 
 
-@query("g14_block_ratio_all")
+@query("g14_block_ratio_all", f"""WITH {ALL_RBF}, b AS (SELECT avg(k) FILTER (yi = yj) AS w, avg(k) FILTER (yi <> yj) AS a FROM pairs)
+SELECT {r('w', 'within')}, {r('a', 'across')}, {r('w / (a + 1e-12)', 'block_ratio')} FROM b""")
 def block_ratio_all(spark, sf):
     return all_statistics(spark, sf).select("within", "across", (F.col("within") / (F.col("across") + F.lit(1e-12))).alias("block_ratio"))
 
 
-@query("g16_concentration_rows_all")
+@query("g16_concentration_rows_all", f"""WITH {ALL_RBF} SELECT {r('avg(k) FILTER (i <> j)', 'mean_off')}, {r('var_pop(k) FILTER (i <> j)', 'var_off')},
+  {r('sum(CASE WHEN i = j THEN k END) ** 2 / sum(k * k)', 'effective_rank')} FROM pairs""")
 def concentration_rows_all(spark, sf):
     return all_statistics(spark, sf).select("mean_off", "var_off", "effective_rank")
 
 
-@query("g17_kernel_difference_all")
+@query("g17_kernel_difference_all", f"""WITH {VECTORS}, p AS (SELECT {RBF_SQL} AS a, exp(-1.5 * list_distance(a.v, b.v) ** 2) AS b FROM vectors a, vectors b)
+SELECT {r('sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b)) + 1e-12)', 'cosine')}, {r('sqrt(sum((a - b) ** 2)) / count(*)', 'distance')},
+  {r('avg(abs(a - b))', 'mae')}, {r('sqrt(avg((a - b) ** 2))', 'rmse')} FROM p""")
 def kernel_difference_all(spark, sf):
     return B.whole_difference(all_sums(spark, sf, RBF, SLOWER))
 
 
-@query("g22_diagonal_check_all")
+@query("g22_diagonal_check_all", f"WITH {ALL_RBF} SELECT {r('min(k)', 'min_self')}, min(k) >= 0.99 AS ok FROM pairs WHERE i = j")
 def diagonal_check_all(spark, sf):
     return all_statistics(spark, sf).select("min_self", (F.col("min_self") >= 0.99).alias("ok"))
