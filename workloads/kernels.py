@@ -11,6 +11,7 @@ from tarnfold.operators import blocks as B
 from tarnfold.operators import kernels as G
 from tarnfold.operators import sampling, scaling, search
 from tarnfold.operators.ranking import value_ranks
+from tarnfold.operators.resampling import Drawn, linear_kernel_intervals
 from tarnfold.session import cut_lineage, settle
 from workloads import tables as t
 from workloads.registry import query
@@ -277,6 +278,12 @@ def kernel_interval(spark, sf):
     return search.interval(boot_kernel(spark, sf), "alignment")
 
 
+@query("g15_table_intervals")
+def table_kernel_intervals(spark, sf):
+    """Two hundred resamples as large as the table, all 64 components: alignment, CKA with the labels, effective rank."""
+    return linear_kernel_intervals(Drawn(t.vectors(spark, sf).select("vec_id", "y", "v"), ["vec_id"]), "v", "y", t.DIM)
+
+
 ADDED = (0.0, 0.25, 0.5, 1.0, 2.0)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tarnfold.operators import sampling
 from tarnfold.operators import search as S
 from tarnfold.plans import reduction as plan
+from tarnfold.operators.resampling import Drawn, mean_intervals
 from workloads import tables as t
 from workloads.registry import query, table
 from workloads.tables import FLOWS, r
@@ -125,6 +126,13 @@ def bootstrap_interval(spark, sf):
     return S.interval(per, "q")
 
 
+@query("f20_table_intervals")
+def table_intervals(spark, sf):
+    """Two hundred resamples as large as the table: means of four columns and the share of positives."""
+    names = [*t.NUMERIC, "y"]
+    return mean_intervals(Drawn(t.flows(spark, sf).select(*t.KEY, *t.NUMERIC, "y"), t.KEY), names)
+
+
 @query("f20_objective_intervals")
 def objective_intervals(spark, sf):
     v = t.vectors(spark, sf)
