@@ -122,6 +122,40 @@ def test_rows_below_the_similarity_stay(spark):
         assert any(alike(sets[at[gone]], sets[k]) for k in range(n) if k != at[gone])
 
 
+def test_bands_find_pairs_beyond_the_radius(spark):
+    """With bands the rows that stay are those of all pairs of similarity 0.8 or more, compared one by one."""
+    rows = sorted((r.doc_id, r.text) for r in read(spark, "documents", "/root/testdata/sf0.01").select("doc_id", "text").collect())
+    rng, words = np.random.default_rng(4), [f"w{k}" for k in range(5000)]
+    for k in range(60):  # planted: 200 words, the copy differs in one or two places
+        base = list(rng.choice(words, 200))
+        copy = list(base)
+        for at in rng.choice(200, 1 + k % 2, replace=False):
+            copy[at] = "other"
+        rows += [(100000 + 2 * k, " ".join(base)), (100001 + 2 * k, " ".join(copy))]
+    sets = [shingle_texts(t, 5) for _, t in rows]
+    holders = {}
+    for i, s in enumerate(sets):
+        for h in s:
+            holders.setdefault(h, []).append(i)
+    root = list(range(len(rows)))
+    links = {(i, j) for held in holders.values() for i in held for j in held if j < i and alike(sets[i], sets[j])}
+    links |= {(i, j) for i in range(len(rows)) for j in range(i) if not sets[i] and not sets[j]}
+    for i, j in links:
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root] if a != b else root
+    fps = [brute_fingerprint(t, 5) for _, t in rows]
+    assert sum((fps[i] ^ fps[j]).bit_count() > 8 for i, j in links) >= 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for piece in (1024, 2):
+        assert {r.doc_id for r in simhash.drop_near_duplicates(df, piece=piece, banded=True).collect()} == {rows[c][0] for c in set(root)}
+
+
+def test_bands_take_awkward_rows(spark):
+    out = simhash.drop_near_duplicates(docs(spark), banded=True)
+    assert out.columns == docs(spark).columns and out.count() == simhash.drop_near_duplicates(docs(spark)).count()
+    assert simhash.drop_near_duplicates(docs(spark, []), banded=True).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (200, 150), (201, 200)]
     got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
