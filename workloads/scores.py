@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tarnfold.operators import reduction, scaling, scoring
+from tarnfold.operators import neighbours, reduction, scaling, scoring
 from tarnfold.plans import reduction as R
 from workloads import tables as t
 from workloads import tails
@@ -60,6 +60,39 @@ def mutual_information(spark, sf):
     return scoring.binned_mutual_information(t.flows(spark, sf), t.NUMERIC, "y").select("feature", "mutual_information")
 
 
+# radius to the third neighbour of the class, rows within it by a window of that width
+def sql_psi(n):
+    z = f"({n} + 6.0)"
+    inv = f"(1.0 / ({z} * {z}))"
+    series = f"ln({z}) - 0.5 / {z} - {inv} * (1.0 / 12 - {inv} * (1.0 / 120 - {inv} * (1.0 / 252 - {inv} / 240.0)))"
+    return f"({series}{''.join(f' - 1.0 / ({n} + {i}.0)' for i in range(6))})"
+
+
+def _sql_windows(k):
+    """Distances that reach k neighbours, b of them below."""
+    sides = [([f"h{b}"] if b else []) + ([f"g{k - b}"] if b < k else []) for b in range(k + 1)]
+    return ", ".join(s[0] if len(s) == 1 else f"CASE WHEN {s[0]} IS NOT NULL AND {s[1]} IS NOT NULL THEN greatest({s[0]}, {s[1]}) END" for s in sides)
+
+
+_GAPS = ", ".join(f"x - lag(x, {j}) OVER o AS h{j}, lead(x, {j}) OVER o - x AS g{j}" for j in (1, 2, 3))
+NEIGHBOURS = FLOWS_LONG + f""",
+counts AS (SELECT pos, feature, y AS cls, x, count(*) AS c FROM long GROUP BY ALL),
+sizes AS (SELECT pos, cls, sum(c) AS n_class FROM counts GROUP BY ALL HAVING sum(c) > 1),
+points AS (SELECT counts.*, n_class FROM counts JOIN sizes USING (pos, cls)),
+copies AS (SELECT *, unnest(generate_series(1, least(c, 3))) AS copy FROM points),
+gaps AS (SELECT *, {_GAPS} FROM copies WINDOW o AS (PARTITION BY pos, cls ORDER BY x, copy)),
+radii AS (SELECT pos, feature, cls, x, c, n_class, 0.999999 * CASE WHEN c > 3 THEN 0.0 ELSE coalesce(least({_sql_windows(3)}),
+  greatest(0.0, h1, h2, h3, g1, g2, g3)) END AS radius FROM gaps WHERE copy = 1),
+counted AS (SELECT *, sum(c) OVER (PARTITION BY pos ORDER BY x RANGE BETWEEN radius PRECEDING AND radius FOLLOWING) AS m FROM radii),
+terms AS (SELECT feature, c, {sql_psi('CASE WHEN radius > 0 THEN least(3, n_class - 1) ELSE c END')} - {sql_psi('n_class')} - {sql_psi('m')} AS term FROM counted),
+totals AS (SELECT feature, sum(c) AS n_rows, sum(c * term) / sum(c) AS s FROM terms GROUP BY feature)"""
+
+
+@query("f03_neighbour_information", f"WITH {NEIGHBOURS} SELECT feature, CAST(n_rows AS BIGINT) AS n_rows, {r('greatest(0.0, s + ' + sql_psi('n_rows') + ')', 'mutual_information', 7)} FROM totals", 7)
+def neighbour_information(spark, sf):
+    return neighbours.neighbour_information(t.flows(spark, sf), t.NUMERIC, "y").select("feature", "n_rows", "mutual_information")
+
+
 @query("f04_significance_counts", f"""WITH {VECTOR_P} SELECT count(*) FILTER (p < 0.05) AS n_significant, count(*) FILTER (p >= 0.05 OR p IS NULL) AS n_not_significant,
   count(*) FILTER (coalesce(f_score, 0) <= 1e-12) AS n_zero FROM pvalues""")
 def significance_counts(spark, sf):
