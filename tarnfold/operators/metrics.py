@@ -87,12 +87,32 @@ def roc_auc(df: DataFrame, by, score: str, y: str = "y", splits: Splits | None =
     return cum.groupBy(*by).agg(ratio(area, F.max("total_pos").cast("double") * F.max("total_neg").cast("double")).alias("auc"))
 
 
-def operating_points(df: DataFrame, by, score: str, limits=(0.01, 0.05), y: str = "y", splits: Splits | None = None) -> DataFrame:
+def corner_points(df: DataFrame, by, score: str, y: str = "y", splits: Splits | None = None) -> DataFrame:
+    """The ROC points that curve libraries keep by default: the first, the last, and each point whose step differs from the next one's.
+
+    A point goes if the next lower score adds just as many positives and as many negatives. The next score of a range's last row is the
+    head of the following range that holds rows: heads are a table of groups x ranges rows, so no task sees a whole curve.
+    """
+    by, splits = list(by), splits or Splits.of(df, score)
+    cut = splits.add_to(curve_counts(df, by, score, y, splits), "score")
+    inner = Window.partitionBy(*by, "_range").orderBy(F.desc("score"))
+    heads = cut.groupBy(*by, "_range").agg(F.max_by(F.struct("pos", "neg"), "score").alias("_own"))
+    along = Window.partitionBy(*by).orderBy(F.desc("_range"))
+    heads = heads.select(*by, "_range", F.lead("_own").over(along).alias("_head"))
+    ahead = join_groups(cut.withColumn("_next", F.lead(F.struct("pos", "neg")).over(inner)), heads, [*by, "_range"])
+    ahead = ahead.withColumn("_next", F.coalesce("_next", "_head"))
+    first = F.col("cum_pos") + F.col("cum_neg") == F.col("pos") + F.col("neg")
+    return ahead.filter(first | F.col("_next").isNull() | (F.col("_next") != F.struct("pos", "neg"))).select(
+        *by, "score", ratio(F.col("cum_neg"), F.col("total_neg")).alias("fpr"), ratio(F.col("cum_pos"), F.col("total_pos")).alias("tpr"))
+
+
+def operating_points(df: DataFrame, by, score: str, limits=(0.01, 0.05), y: str = "y", splits: Splits | None = None,
+                     corners: bool = False) -> DataFrame:
     """Per FPR limit, the last ROC point within it; (0, 0) when even the first point is beyond.
 
-    All points are considered, while curve libraries may first drop collinear ones and pick an earlier point.
+    All points are considered, or with ``corners`` those that curve libraries keep, which may give an earlier point.
     """
-    points = roc_points(df, by, score, y, splits)
+    points = (corner_points if corners else roc_points)(df, by, score, y, splits)
     cells = F.array(*[F.lit(float(v)) for v in limits])
     spread = points.withColumn("limit", F.explode(cells))
     best = F.max_by(F.when(F.col("fpr") <= F.col("limit"), F.struct("fpr", "tpr", "score")),

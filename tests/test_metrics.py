@@ -26,6 +26,28 @@ def test_curves_with_ties(ties):
     assert op["fpr"] == 0.0 and op["tpr"] == pytest.approx(1 / 3)
 
 
+def test_corners_of_a_curve(spark):
+    """Runs of equal steps longer than a range, repeated scores, two groups and a null one, against a plain loop."""
+    rows = [(g, round(1 - i / 200, 3), int((i // run) % 2 == 0)) for g, run in (("a", 7), ("b", 40), (None, 1)) for i in range(200)]
+    rows += [("a", 0.5, 1), ("a", 0.495, 0), ("a", 0.495, 0)]
+    df = spark.createDataFrame(rows, "g string, p double, y int")
+    got = {(r.g, r.score): (r.fpr, r.tpr) for r in M.corner_points(df, ["g"], "p").collect()}
+    want = {}
+    for g in ("a", "b", None):
+        own = [(p, y) for q, p, y in rows if q == g]
+        scores = sorted({p for p, _ in own}, reverse=True)
+        steps = [(sum(y for q, y in own if q == p), sum(1 - y for q, y in own if q == p)) for p in scores]
+        total = [sum(x) for x in zip(*steps)]
+        for i, p in enumerate(scores):
+            if i in (0, len(scores) - 1) or steps[i] != steps[i + 1]:
+                done = [sum(x) for x in zip(*steps[:i + 1])]
+                want[g, p] = (done[1] / total[1], done[0] / total[0])
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    every = M.operating_points(df, ["g"], "p", [0.03]).filter("g = 'b'").first()
+    corner = M.operating_points(df, ["g"], "p", [0.03], corners=True).filter("g = 'b'").first()
+    assert every.fpr > 0 and corner.fpr == 0.0 and corner.tpr == pytest.approx(40 / 120)
+
+
 def test_mann_whitney_with_ties(ties):
     r = P.mann_whitney(ties, "p", "y").first()
     assert r["u"] == pytest.approx(5.0)  # U / (n1 n0) is the AUC

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = ["a06_json_results", "b02_category_lookup", "b10_clip_report", "c09_quartiles", "c13_rank_shift", "d02_rare_aware_sample", "d05_draw_with_replacement",
          "d07_cv_subset_capped", "d13_disjoint_runs", "d14_seeded_runs", "d16_stratified_folds", "e01_frozen_one_hot", "e06_reduction_fit_apply",
          "e09_gaussian_noise", "f01_anova_f_vectors", "f03_neighbour_information", "f12_davies_bouldin", "f20_bootstrap_rows", "f23_spearman", "g05_poly_neighbor",
-         "g09_map_statistics_linear", "g15_kernel_bootstrap", "i06_operating_points", "i09_group_average_precision", "i12_reliability_bins", "j10_mcnemar_per_category",
+         "g09_map_statistics_linear", "g15_kernel_bootstrap", "i06_operating_corners", "i06_operating_points", "i09_group_average_precision", "i12_reliability_bins", "j10_mcnemar_per_category",
          "j08_mann_whitney", "k02_run_matrix", "k05_prior_subsample", "l01_sanity_suite"]
 
 

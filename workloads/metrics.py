@@ -82,6 +82,16 @@ def operating_points(spark, sf):
     return M.operating_points(t.scored_long(spark, sf), ["model"], "prob")
 
 
+@query("i06_operating_corners", f"""WITH {SCORED_LONG}, {CURVE}, l AS (SELECT unnest([0.01::DOUBLE, 0.05::DOUBLE]) AS lim),
+steps AS (SELECT *, row_number() OVER w AS i, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg FROM curve WINDOW w AS (PARTITION BY model ORDER BY score DESC)),
+corners AS (SELECT * FROM steps WHERE i = 1 OR next_pos IS NULL OR next_pos != pos OR next_neg != neg),
+z AS (SELECT model, lim, cn / tn AS fpr, cp / tp AS tpr, score, row_number() OVER (PARTITION BY model, lim ORDER BY cn DESC, cp DESC) AS k FROM corners, l WHERE cn / tn <= lim)
+SELECT m.model, {r('l.lim', '"limit"')}, {r('coalesce(fpr, 0)', 'fpr')}, {r('coalesce(tpr, 0)', 'tpr')}, {r('score', 'threshold')}
+FROM (SELECT DISTINCT model FROM models) m CROSS JOIN l LEFT JOIN z ON z.model = m.model AND z.lim = l.lim AND z.k = 1""")
+def operating_corners(spark, sf):
+    return M.operating_points(t.scored_long(spark, sf), ["model"], "prob", corners=True)
+
+
 @query("i07_pr_points", f"WITH {SCORED_LONG}, {CURVE} SELECT model, {r('score', 'score')}, {r('cp / (cp + cn)', 'precision')}, {r('cp / tp', 'recall')} FROM curve")
 def pr_points(spark, sf):
     return M.pr_points(t.scored_long(spark, sf), ["model"], "prob")
