@@ -1,13 +1,15 @@
 """SimHash near-duplicates over BK-trees (operator 6).
 
 Fingerprints come from word shingles; two fingerprints link when at most ``radius`` of 64 bits differ. Distinct
-fingerprints are dealt to shards: 64 bits are cut into ``radius + 2`` blocks, and fingerprints that differ in at most
-``radius`` bits agree on two blocks at least, so every link lies in the shard of some pair of blocks. Each shard is
-searched with BK-trees (children keyed by their Hamming distance to the parent, only edges within the radius followed).
-A shard with more than ``piece`` fingerprints is cut into pieces: a tree for each piece, asked by each piece, so no task
-holds more than two pieces. Trees give spanning links of what they connect, never all pairs.
+fingerprints are dealt to shards: 64 bits are cut into ``radius + agree`` blocks, and fingerprints that differ in at most
+``radius`` bits agree on ``agree`` blocks at least, so every link lies in the shard of some choice of blocks, whatever
+``agree`` is. It follows the number of fingerprints: more of them, longer keys, so that shards do not grow with the table.
+Every shard is searched with BK-trees (children keyed by their Hamming distance to the parent, only edges within the radius
+followed). A shard with more than ``piece`` fingerprints is cut into pieces: a tree for each piece, asked by each piece, so no
+task holds more than two pieces. Trees give spanning links of what they connect, never all pairs.
 
-Trees travel to the tasks of their shard by a shuffle and are not broadcast whole: all trees together grow with the table.
+Trees travel to the tasks of their shard by a shuffle and are not broadcast: all trees together hold the fingerprints of all
+documents, which no bound covers and which must not pass through the driver.
 
 A SimHash cannot decide a Jaccard similarity, so ``drop_near_duplicates`` takes fingerprint components for candidates only: inside
 each, the shingle sets of its distinct texts are compared exactly, and rows count as duplicates along links of ``least`` or more.
@@ -22,6 +24,7 @@ rows too. A null id never becomes a component id while the component has another
 from __future__ import annotations
 
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from tarnfold.llm.common import connected_components, keep, small, width
 
 #: Shingles hashed before their bits are summed.
 CHUNK = 1 << 15
-#: Rows of a shard part that are compared directly.
+#: Rows of a shard part whose tree is built and asked together with those of other parts.
 SMALL = 64
 #: Bands of MinHash values, and values in a band.
 BANDS, BAND = 32, 6
@@ -114,11 +117,20 @@ def fingerprints(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_co
         .mapInArrow(run, f"id {kind}, fp long" + (", key long, bands array<long>" if keyed else ""))
 
 
-def shard_keys(radius: int) -> list[int]:
-    """A mask for each pair of ``radius + 2`` blocks of 64 bits."""
-    cuts = [64 * i // (radius + 2) for i in range(radius + 3)]
+def shard_keys(radius: int, agree: int = 2) -> list[int]:
+    """A mask for each choice of ``agree`` out of ``radius + agree`` blocks of 64 bits."""
+    cuts = [64 * i // (radius + agree) for i in range(radius + agree + 1)]
     blocks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
-    return [a | b for a, b in combinations(blocks, 2)]
+    return [sum(chosen) for chosen in combinations(blocks, agree)]
+
+
+def agreeing(n: int, radius: int, piece: int) -> int:
+    """Blocks to agree on for ``n`` distinct fingerprints: the number of fewest rows sent, a row of a shard of k pieces being sent k
+    times. Evenly spread fingerprints are assumed for the choice alone; every number of blocks finds every link."""
+    def sent(agree):
+        return comb(radius + agree, agree) * (1 + n / piece / 2 ** (64 * agree // (radius + agree)))
+
+    return min(range(2, max(3, min(6, 65 - radius))), key=sent)
 
 
 def _signed(x: int) -> int:
@@ -162,18 +174,52 @@ def hook(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
             root[:] = root[root]
 
 
+def forest(values: np.ndarray, items: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """BK-trees over ``values[items]``, one for each ``part`` (a number for each value), built level by level: (root, edges, children).
+    ``root`` is the first item of each part or -1; ``edges`` (128 x parent + distance, ascending) leads to the node in ``children``."""
+    root, edges, children = np.full(part.max(initial=0) + 1, -1), [], []
+    rest, key = items, None
+    while len(rest):
+        groups, first, which = np.unique(part[rest] if key is None else key, return_index=True, return_inverse=True)
+        node = rest[first]
+        if key is None:
+            root[groups] = node
+        else:
+            edges.append(groups)
+            children.append(node)
+        key = node[which] * 128 + np.bitwise_count(values[rest] ^ values[node[which]])
+        below = np.ones(len(rest), bool)
+        below[first] = False
+        rest, key = rest[below], key[below]
+    if not edges:
+        return root, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    edges, children = np.concatenate(edges), np.concatenate(children)
+    order = np.argsort(edges)
+    return root, edges[order], children[order]
+
+
+def ask_forest(trees, asks: np.ndarray, part: np.ndarray, values: np.ndarray, root: np.ndarray, radius: int) -> None:
+    """Ask the tree of its own part for each of ``values[asks]``, all level by level, and join what lies within the radius in ``root``."""
+    top, edges, children = trees
+    node = top[part[asks]]
+    asks, node = asks[node >= 0], node[node >= 0]
+    while len(asks):
+        far = np.bitwise_count(values[asks] ^ values[node]).astype(np.int64)
+        near = far <= radius
+        hook(root, asks[near], node[near])
+        low = np.searchsorted(edges, node * 128 + np.maximum(far - radius, 0))
+        count = np.searchsorted(edges, node * 128 + np.minimum(far + radius, 64), side="right") - low
+        node = children[np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)]
+        asks = np.repeat(asks, count)
+
+
 def shard_roots(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, second: np.ndarray, piece: np.ndarray, values: np.ndarray, radius: int) -> np.ndarray:
     """A root for each row of shard parts that stand one after another. A part holds the pieces ``first`` (the tree) and
-    ``second`` (the queries). Parts of up to ``SMALL`` rows need no tree: row k is compared with rows k + 1, k + 2, ..."""
+    ``second`` (the queries). The trees of parts of up to ``SMALL`` rows are built and asked together, larger ones one by one."""
     root, size = np.arange(len(values)), ends - starts
-    last = np.repeat(np.where(size <= SMALL, ends, 0), size)
-    at = np.flatnonzero(last)
-    for k in range(1, SMALL):
-        at = at[at + k < last[at]]
-        if not len(at):
-            break
-        near = at[np.bitwise_count(values[at] ^ values[at + k]) <= radius]
-        hook(root, near, near + k)
+    part, few = np.repeat(np.arange(len(size)), size), np.repeat(size <= SMALL, size)
+    trees = forest(values, np.flatnonzero(few & (piece == first)), part)
+    ask_forest(trees, np.flatnonzero(few & (piece == second)), part, values, root, radius)
     for a, b in zip(starts[size > SMALL], ends[size > SMALL]):
         tree = a + np.flatnonzero(piece[a:b] == first[a])
         asks = tree if first[a] == second[a] else a + np.flatnonzero(piece[a:b] == second[a])
@@ -184,10 +230,10 @@ def shard_roots(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, second:
     return root
 
 
-def fingerprint_links(nodes: DataFrame, radius: int, piece: int = 1024) -> DataFrame:
-    """Spanning links (a, b) of the distinct fingerprints ``nodes.fp``."""
+def fingerprint_links(nodes: DataFrame, radius: int, piece: int = 1024, agree: int | None = None) -> DataFrame:
+    """Spanning links (a, b) of the distinct fingerprints ``nodes.fp``. ``agree``: blocks of a shard key, by default from their number."""
     spark = nodes.sparkSession
-    masks = F.array(*[F.lit(_signed(m)) for m in shard_keys(radius)])
+    masks = F.array(*[F.lit(_signed(m)) for m in shard_keys(radius, agree or agreeing(nodes.count(), radius, piece))])
     dealt = nodes.select("fp", F.posexplode(masks).alias("pair", "mask")).select("fp", "pair", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     sizes = dealt.groupBy("pair", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1") \
         .select("pair", "key", F.ceil(F.col("n") / piece).cast("int").alias("pieces"))

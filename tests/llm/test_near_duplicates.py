@@ -64,6 +64,39 @@ def test_trees_find_what_comparison_finds(monkeypatch):
     assert (trees == simhash.shard_roots(np.array([0]), np.array([n]), same, same, same, values, 3)).all()
 
 
+def test_forest_of_small_shards_finds_every_link():
+    rng = np.random.default_rng(6)
+    sizes = np.concatenate([rng.integers(1, simhash.SMALL + 1, 40), [1, 2, simhash.SMALL, simhash.SMALL + 30]])
+    ends = np.cumsum(sizes)
+    centres = rng.integers(0, 1 << 63, 30, np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(ends[-1])], np.uint64)
+    values = centres[rng.integers(0, 30, ends[-1])] ^ flips
+    first = np.repeat(rng.integers(0, 2, len(sizes)), sizes)
+    second = np.maximum(first, np.repeat(rng.integers(0, 2, len(sizes)), sizes))
+    piece = np.where(rng.integers(0, 2, ends[-1]) == 0, first, second)
+    for radius in (0, 3, 8):
+        root = simhash.shard_roots(ends - sizes, ends, first, second, piece, values, radius)
+        for a, b in zip(ends - sizes, ends):
+            want = brute_components(b - a, lambda i, j: {piece[a + i], piece[a + j]} == {first[a], second[a]} and int(values[a + i] ^ values[a + j]).bit_count() <= radius)
+            assert (root[a:b] - a == want).all()
+
+
+def test_longer_keys_find_the_same_links(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.integers(0, 1 << 63, 40, np.uint64)
+    fps = np.unique([c ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 6), replace=False))) for c in centres for _ in range(6)]).view(np.int64)
+    root = brute_components(len(fps), lambda i, j: ((int(fps[i]) ^ int(fps[j])) & (1 << 64) - 1).bit_count() <= 5)
+    groups = {}
+    for i, r in enumerate(root):
+        groups.setdefault(r, set()).add(int(fps[i]))
+    want = {frozenset(g) for g in groups.values() if len(g) > 1}
+    nodes = spark.createDataFrame(pd.DataFrame({"fp": fps}))
+    for agree in (None, 2, 3, 4):
+        got = {r.node: r.component for r in common.connected_components(simhash.fingerprint_links(nodes, 5, agree=agree)).collect()}
+        assert want == {frozenset(k for k in got if got[k] == c) for c in set(got.values())}
+    assert [simhash.agreeing(n, 8, 1024) for n in (10 ** 3, 10 ** 8, 10 ** 10)] == [2, 3, 5]
+
+
 def test_shard_cut_in_pieces_loses_no_link(spark):
     rng = np.random.default_rng(4)
     base = np.uint64(0x0123456789ABCDEF)
