@@ -27,7 +27,10 @@ WORKING = 1024
 
 def kernel_matrix(left: np.ndarray, right: np.ndarray, kernel) -> np.ndarray:
     """Values of a kernel (kind, gamma, coef0)."""
-    return np.concatenate([k for _, (k,) in kernel_strips(left, right, [kernel])]) if len(left) else np.zeros((0, len(right)))
+    out = np.zeros((len(left), len(right)))
+    for at, to, (k,) in kernel_strips(left, right, [kernel]):
+        out[at, to] = k
+    return out
 
 
 def solve_working(gram: np.ndarray, y: np.ndarray, alpha: np.ndarray, f: np.ndarray, cost: np.ndarray, tol: float, most: int = 500_000) -> np.ndarray:
@@ -124,8 +127,8 @@ def _move(state: DataFrame, ids, x, alpha, change, kernel) -> DataFrame:
                 continue
             own = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             f = b.column("f").to_numpy().copy()
-            for at, (k,) in kernel_strips(own, x, [kernel]):
-                f[at] += k @ change
+            for at, to, (k,) in kernel_strips(own, x, [kernel]):
+                f[at] += k @ change[to]
             mine = b.column("alpha").to_numpy().copy()
             place = np.searchsorted(ids, b.column("row").to_numpy()).clip(max=len(ids) - 1)
             hit = ids[place] == b.column("row").to_numpy()

@@ -148,14 +148,23 @@ def silhouette(df: DataFrame, vector: str, label: str, block: int = BLOCK) -> Da
     rows = numbered_rows(df, vector, F.coalesce(F.concat(F.lit("="), label_text), F.lit("")).alias("_y"))
 
     def sums(left, right):
-        names, owner = np.unique(right["_y"].astype(str), return_inverse=True)
-        order = np.argsort(owner, kind="stable")
-        count = np.bincount(owner, minlength=len(names))
-        starts, total = np.append(0, np.cumsum(count)[:-1]), np.zeros((len(left["_v"]), len(names)))
-        for at, squares in square_distances(left["_v"], right["_v"][order]):
-            total[at] = np.add.reduceat(np.sqrt(squares), starts, axis=1)
-        n, k = total.shape
-        return {"_row": np.repeat(left["_row"], k), "_y": np.repeat(left["_y"].astype(str), k), "other": np.tile(names, n), "total": total.ravel(), "n": np.tile(count, n)}
+        sides = []
+        for block in (left, right):
+            names, owner, count = np.unique(block["_y"].astype(str), return_inverse=True, return_counts=True)
+            order = np.argsort(owner, kind="stable")
+            sides.append((block["_row"][order], block["_v"][order], names, owner[order], count))
+        (_, a, a_names, a_owner, _), (_, b, b_names, b_owner, _) = sides
+        totals = np.zeros((len(a), len(b_names))), np.zeros((len(b), len(a_names)))
+
+        def starts(owner):
+            return np.append(0, np.flatnonzero(owner[1:] != owner[:-1]) + 1)
+
+        for at, to, squares, _ in square_distances(a, b):
+            distance, rows_of, columns_of = np.sqrt(squares, out=squares), starts(a_owner[at]), starts(b_owner[to])
+            totals[0][at, b_owner[to][0]:b_owner[to][-1] + 1] += np.add.reduceat(distance, columns_of, axis=1)
+            totals[1][to, a_owner[at][0]:a_owner[at][-1] + 1] += np.add.reduceat(distance, rows_of, axis=0).T
+        return [{"_row": np.repeat(row, len(names)), "_y": np.repeat(own_names[owner], len(names)), "other": np.tile(names, len(row)), "total": total.ravel(), "n": np.tile(count, len(row))}
+                for (row, _, own_names, owner, _), (_, _, names, _, count), total in zip(sides, sides[::-1], totals)]
 
     met = over_block_pairs(rows, sums, "_row long, _y string, other string, total double, n long", block)
     per = met.groupBy("_row", "_y", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

@@ -144,3 +144,29 @@ def test_sums_over_all_rows_equal_the_matrix(spark, block):
     assert tuple(B.whole_difference(sums).first()) == pytest.approx(want, rel=1e-8)
     got = B.centered_sums(df, "v", "y", ("rbf", 2.0, 0.0), "vec_id", block).orderBy("vec_id").collect()
     assert [r.squares for r in got] == pytest.approx((ca * ca).sum(1).tolist(), rel=1e-8) and [r.top for r in got] == pytest.approx(ca.max(1).tolist(), rel=1e-8)
+
+
+def test_rows_meet_in_a_bounded_number_of_blocks(spark):
+    """A row is sent to at most PIECES groups however many rows there are, each unordered pair of blocks is computed once, and every row meets all rows."""
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(300)], "vec_id long, v array<double>")
+
+    def run(left, right):
+        return [{"_row": a["_row"], "n": np.full(len(a["_row"]), len(b["_row"])), "calls": np.ones(len(a["_row"]), int)} for a, b in ((left, right), (right, left))]
+
+    met = B.over_block_pairs(B.numbered_rows(df, "v"), run, "_row long, n long, calls long", block=4)
+    per = met.groupBy("_row").agg(F.sum("n").alias("n"), F.sum("calls").alias("calls")).collect()
+    assert len(per) == 300 and {r.n for r in per} == {300} and max(r.calls for r in per) <= B.PIECES
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_sums_of_odd_rows_equal_the_matrix(spark, block):
+    """Rows of one class only in some blocks, a class mix that cuts tiles, a component that is not a number and wanted sums only."""
+    x = np.random.default_rng(5).normal(size=(40, 3))
+    x[9, 1] = np.nan
+    y = (np.arange(40) >= 37).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), x[i].tolist()) for i in range(40)], "vec_id long, y int, v array<double>")
+    k = x @ x.T
+    rows = B.kernel_sums(df, "v", "y", [("linear", 1.0, 0.0)], ["vec_id"], block, ("same", "top")).orderBy("vec_id").collect()
+    assert "total0" not in rows[0].asDict()
+    assert np.allclose([r.same0 for r in rows], [k[i, y == y[i]].sum() for i in range(40)], equal_nan=True) and not np.isnan(rows[39].same0)
+    assert np.allclose([r.top0 for r in rows], k.max(axis=1), equal_nan=True)
