@@ -5,7 +5,7 @@ ladder), and a model is a ``Design``: the parts it learns from, its penalty, and
 
 * ``part_moments`` reads the table once and returns sums, products and ranges of every (part, class). Min-max, ANOVA selection and PCA of
   any set of parts follow from them by addition, so refitting them for each fold and setting reads nothing again.
-* ``fit_designs`` moves all models together: a round is one pass over the kept rows in which every task adds up value, gradient and
+* ``fit_designs`` moves all models together: a round is one pass over the kept rows, packed in blocks of raw numbers, in which every task adds up value, gradient and
   curvature of each model still moving, and one aggregate by model. Rounds are those of the slowest model; their number does not depend on
   how many models there are. Steps are Newton steps with halving.
 * ``test_designs`` scores rows of the parts a model is tested on and returns its confusion cells, counted in the tasks.
@@ -50,6 +50,49 @@ def _inputs(batch: pa.RecordBatch):
     return batch.column("part").to_numpy(), batch.column("y").to_numpy(), flat.reshape(batch.num_rows, -1)
 
 
+#: Rows and bytes of a packed block, and rows that a round works on at a time.
+PACKED_ROWS, PACKED_BYTES, CHUNK = 16_384, 1 << 20, 4_096
+
+
+def packed(rows: DataFrame, mapped: Callable | None = None) -> DataFrame:
+    """(part, y, x) of ``study_rows`` as blocks of raw numbers, written once: rounds read memory instead of converting lists row by row. ``mapped`` is applied to
+    the matrix of inputs on the way. Tables of fewer partitions than the cluster has cores are dealt again, by blocks."""
+    def block(held):
+        part, y, x = (np.concatenate(c) for c in zip(*held))
+        return pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (part.astype("<i4"), y.astype("<i1"), np.ascontiguousarray(x, "<f8"))], ["part", "y", "x"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, y, x = _inputs(batch)
+            step = max(1, min(PACKED_ROWS, PACKED_BYTES // (8 * max(1, x.shape[1]))))
+            for k in range(0, len(y), step):
+                piece = x[k:k + step] if mapped is None else mapped(x[k:k + step])
+                held.append((part[k:k + step], y[k:k + step], piece))
+                n += piece.size + 1
+                if 8 * n >= PACKED_BYTES:
+                    yield block(held)
+                    held, n = [], 0
+        if held:
+            yield block(held)
+
+    blocks = rows.select("part", "y", "x").mapInArrow(run, "part binary, y binary, x binary")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return cut_lineage(blocks.repartition(cores) if rows.rdd.getNumPartitions() < cores else blocks)
+
+
+def _blocks(batches):
+    """(part, y, x) of the chunks of ``packed`` rows."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            part, y, x = (np.frombuffer(batch.column(c)[row].as_buffer(), kind) for c, kind in (("part", "<i4"), ("y", "<i1"), ("x", "<f8")))
+            x = x.reshape(len(y), -1)
+            for k in range(0, len(y), CHUNK):
+                yield part[k:k + CHUNK], y[k:k + CHUNK], x[k:k + CHUNK]
+
+
 def _added(df: DataFrame) -> list:
     """(key, sums, tops) of rows (key, sums, tops): arrays added and maximized by key, in two steps so that no group has a row for each task."""
     schema = "key long, salt int, sums array<double>, tops array<double>"
@@ -122,7 +165,7 @@ def part_moments(rows: DataFrame) -> Moments:
             yield _sums_batch(found)
 
     cells = {}
-    for key, s, t in _added(rows.mapInArrow(run, ADDING)):
+    for key, s, t in _added(rows.select("part", "y", "x").mapInArrow(run, ADDING)):
         cells[(key // 2, key % 2)] = (s[0], s[1:dim + 1], s[dim + 1:].reshape(dim, dim), -t[dim:], t[:dim])
     return Moments(base, cells)
 
@@ -236,47 +279,59 @@ def to_angles(rows: DataFrame, designs: list, high: float = np.pi, clipped: bool
 
 
 def _project(x: np.ndarray, design: Design) -> np.ndarray:
-    p = x @ design.axes + design.shift
+    same = design.axes.shape[0] == design.axes.shape[1] and not design.shift.any() and np.array_equal(design.axes, np.eye(len(design.axes)))
+    p = x if same else x @ design.axes + design.shift
     return np.clip(p, *design.limits) if design.limits else p
 
 
 def smooth(u: np.ndarray, width: float) -> np.ndarray:
     """max(u, 0) with its corner rounded within ``width``."""
-    at = np.clip(u, 0.0, width)
-    return at * at / (2 * width) + np.maximum(u - width, 0.0)
+    at = np.minimum(np.maximum(u, 0.0), width)
+    return at * (u - 0.5 * at) / width
+
+
+def smooth_sum(u: np.ndarray, cost: np.ndarray, width: float) -> float:
+    """``cost`` times ``smooth``, added up; ``u`` is overwritten."""
+    at = np.maximum(u, 0.0)
+    np.minimum(at, width, out=at)
+    u -= 0.5 * at
+    at *= cost
+    return float(at @ u) / width
 
 
-def _round(rows: DataFrame, trials: list) -> dict:
+def _round(blocks: DataFrame, trials: list) -> dict:
     """{model: (values of the smoothed loss along the step, its value, that of the hinge, sum of multipliers, gradient, curvature)} of the trials (model, design, start,
     step, length, costs by class, width), at the length."""
     def run(batches):
         found = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part, y, x = _inputs(batch)
-            sign, held = 2.0 * y - 1.0, {}
+        for part, y, x in _blocks(batches):
+            sign, held, low, high = 2.0 * y - 1.0, {}, part.min(), part.max()
             for k, design, start, step, length, costs, width in trials:
-                own = np.isin(part, list(design.learns))
-                if not own.any():
+                if low == high:
+                    own = slice(None) if low in design.learns else None
+                else:
+                    own = np.isin(part, list(design.learns))
+                    own = own if own.any() else None
+                if own is None:
                     continue
                 if id(design.axes) not in held:
                     held[id(design.axes)] = np.hstack([_project(x, design), np.ones((len(x), 1))])
-                p, s, cost = held[id(design.axes)][own], sign[own], costs[y[own]]
+                p, s = held[id(design.axes)][own], sign[own]
+                cost = np.where(s > 0, costs[1], costs[0])
                 first, change = 1.0 - s * (p @ start), -s * (p @ step)
                 u = first + length * change
-                slope = np.clip(u / width, 0.0, 1.0)
-                line = [cost @ smooth(first + t * change, width) for t in LINE]
-                band = (u > 0) & (u < width)
+                above = np.maximum(u, 0.0)
+                slope = np.minimum(above, width) * (cost / width)
+                line = [smooth_sum(first + t * change, cost, width) for t in LINE]
+                band = np.flatnonzero((u > 0) & (u < width))
                 q = p[band]
-                stats = np.concatenate([line, [cost @ smooth(u, width), (cost * np.maximum(u, 0)).sum(), (cost * slope).sum()], -((cost * slope * s) @ p),
-                                        ((q * (cost[band] / width)[:, None]).T @ q).ravel()])
+                stats = np.concatenate([line, [smooth_sum(u, cost, width), cost @ above, slope.sum()], -((slope * s) @ p), ((q * (cost[band] / width)[:, None]).T @ q).ravel()])
                 found[k] = (found[k][0] + stats if k in found else stats, np.zeros(0))
         if found:
             yield _sums_batch(found)
 
     out = {}
-    for k, s, _ in _added(rows.mapInArrow(run, ADDING)):
+    for k, s, _ in _added(blocks.mapInArrow(run, ADDING)):
         line, (value, hinge, multipliers), rest = s[:len(LINE)], s[len(LINE):len(LINE) + 3], s[len(LINE) + 3:]
         size = round(((4 * len(rest) + 1) ** 0.5 - 1) / 2)  # the gradient and its square
         out[k] = (line, value, hinge, multipliers, rest[:size], rest[size:].reshape(size, size))
@@ -297,8 +352,9 @@ class _Moving:
     settled: bool = True  # the length is the one to take
 
 
-def fit_designs(rows: DataFrame, moments: Moments, designs: list, tol: float = 1e-9, most: int = 300) -> list:
-    """A ``Fit`` for every design. ``most`` bounds the rounds; models that still move then say so by their gap."""
+def fit_designs(rows: DataFrame, moments: Moments, designs: list, tol: float = 1e-9, most: int = 300, widths=WIDTHS, mapped: Callable | None = None) -> list:
+    """A ``Fit`` for every design. ``most`` bounds the rounds; models that still move then say so by their gap. ``widths`` are the stages of the smoothing; ``mapped``
+    goes before the designs' own maps."""
     if sum((d.axes.shape[1] + 1) ** 2 for d in designs) > LARGEST:
         raise ValueError("too many inputs for curvature matrices; use fit_margin, which keeps gradients only")
     fits, moving, costs, weight = [], {}, {}, {}
@@ -310,10 +366,11 @@ def fit_designs(rows: DataFrame, moments: Moments, designs: list, tol: float = 1
             costs[k] = d.c * (n.sum() / (2 * n) if d.balanced else np.ones(2))
             weight[k] = float(costs[k] @ n)
             moving[k] = _Moving(np.zeros(d.axes.shape[1] + 1), np.zeros(d.axes.shape[1] + 1))
+    blocks = packed(rows, mapped) if moving else None
     for _ in range(most):
         if not moving:
             break
-        stats = _round(rows, [(k, designs[k], m.at, m.step, m.length, costs[k], WIDTHS[m.stage]) for k, m in moving.items()])
+        stats = _round(blocks, [(k, designs[k], m.at, m.step, m.length, costs[k], widths[m.stage]) for k, m in moving.items()])
         for k, m in list(moving.items()):
             line, loss, hinge, multipliers, gradient, curvature = stats[k]
             m.rounds += 1
@@ -340,7 +397,7 @@ def fit_designs(rows: DataFrame, moments: Moments, designs: list, tol: float = 1
                 rest = point[:-1] - gradient[:-1]  # the weights that the multipliers give
                 m.at, m.length, m.value, m.slope, m.settled = point, 1.0, half + loss, float(gradient @ m.step), False
                 fits[k] = Fit(designs[k], point[:-1], float(point[-1]), half + hinge, max(0.0, half + hinge - multipliers + 0.5 * float(rest @ rest) + abs(gradient[-1]) * (1 + abs(point[-1]))), m.rounds)
-            last = m.stage + 1 == len(WIDTHS)
+            last = m.stage + 1 == len(widths)
             if -m.slope <= (tol if last else 1e-3) * max(abs(m.value), 1e-12) or moved <= 1e-14 * abs(m.value):
                 if last:
                     del moving[k]

@@ -131,6 +131,26 @@ def test_rounds_do_not_follow_the_number_of_models(study):
     assert rounds([1.0] * 20) == rounds([1.0]) < 60
 
 
+def test_rounds_read_packed_blocks(study, monkeypatch):
+    """Rounds get blocks of raw numbers, not a list for every row, and other columns do not travel; blocks hold every row once."""
+    df, x, y, part = study
+    rows = T.study_rows(df, "v", "y", "part", "id")
+    seen, old = [], T._round
+    monkeypatch.setattr(T, "_round", lambda blocks, trials: seen.append((blocks.columns, blocks.count())) or old(blocks, trials))
+    monkeypatch.setattr(T, "PACKED_ROWS", 7)
+    fits = T.fit_designs(rows, T.part_moments(rows), [T.Design({"c": 1.0}, frozenset(range(4)), np.eye(6), np.zeros(6))])
+    assert fits[0].objective == pytest.approx(hinge_objective(fits[0], x, y), rel=1e-9)
+    assert {c for columns, _ in seen for c in columns} == {"part", "y", "x"} and max(n for _, n in seen) < 60
+    found = [z for batch in T.packed(rows).toArrow().to_batches() for z in T._blocks([batch])]
+    assert sorted(np.concatenate([z[2] for z in found]).tolist()) == sorted(x.tolist()) and sum(len(z[0]) for z in found) == 240
+
+
+def test_smoothed_hinge():
+    u = np.array([-1.0, 0.0, 0.02, 0.05, 0.3])
+    want = np.array([0, 0, 0.02 ** 2 / 0.1, 0.025, 0.275])
+    assert np.allclose(T.smooth(u, 0.05), want) and T.smooth_sum(u.copy(), np.arange(5.0), 0.05) == pytest.approx(np.arange(5) @ want)
+
+
 def test_models_are_saved_and_loaded(study, tmp_path, spark):
     df, *_ = study
     rows = T.study_rows(df, "v", "y", "part", "id")
