@@ -8,18 +8,35 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _block_column(df: DataFrame, vector: str, out: str, block) -> DataFrame:
-    """Adds ``out`` = ``block`` applied to the matrix of each Arrow batch."""
-    @F.pandas_udf("array<double>")
-    def run(v: pd.Series) -> pd.Series:
-        return pd.Series(list(block(np.stack(v.to_numpy())))) if len(v) else pd.Series([], dtype=object)
+#: Rows that are mapped at a time: a mapped row may hold thousands of numbers.
+STEP = 256
+
 
-    return df.withColumn(out, run(F.col(vector).cast("array<double>")))
+def _block_column(df: DataFrame, vector: str, out: str, block) -> DataFrame:
+    """Adds ``out`` = ``block`` applied to the matrix of every ``STEP`` rows; no more mapped rows than these are held at once."""
+    kept = [c for c in df.columns if c != out]
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(vector).cast("array<double>").alias("_vector"))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, STEP):
+                part = batch.slice(k, STEP)
+                v = part.column(batch.num_columns - 1)
+                if v.null_count or len(pc.list_value_length(v).unique()) > 1:
+                    raise ValueError("vectors must be of one length and not null")
+                cells = block(v.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, cells.shape[1]), pa.int32()), pa.array(cells.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*kept, out])
+
+    return source.mapInArrow(run, schema)
 
 
 def poly2_block(x: np.ndarray, gamma: float, coef0: float = 0.0) -> np.ndarray:

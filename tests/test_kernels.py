@@ -170,3 +170,19 @@ def test_sums_of_odd_rows_equal_the_matrix(spark, block):
     assert "total0" not in rows[0].asDict()
     assert np.allclose([r.same0 for r in rows], [k[i, y == y[i]].sum() for i in range(40)], equal_nan=True) and not np.isnan(rows[39].same0)
     assert np.allclose([r.top0 for r in rows], k.max(axis=1), equal_nan=True)
+
+
+def test_maps_are_made_of_few_rows_at_a_time(spark, monkeypatch, tmp_path):
+    """However many rows a batch has, at most STEP are mapped at once; other columns stay beside their rows."""
+    monkeypatch.setattr(M, "STEP", 7)
+    df = spark.createDataFrame([(i, [float(i), 1.0], f"r{i}") for i in range(50)], "id long, v array<double>, name string").coalesce(1)
+
+    def block(x):
+        with open(f"{tmp_path}/sizes", "a") as f:
+            f.write(f"{len(x)} ")
+        return np.hstack([x, 2 * x])
+
+    got = {r.id: r for r in M._block_column(df, "v", "phi", block).collect()}
+    assert len(got) == 50 and all(r.phi == [i, 1.0, 2.0 * i, 2.0] and r.v == [i, 1.0] and r.name == f"r{i}" for i, r in got.items())
+    assert max(map(int, (tmp_path / "sizes").read_text().split())) <= 7
+    assert M._block_column(df, "v", "v", lambda x: x + 1).filter("id = 3").first().v == [4.0, 2.0]
