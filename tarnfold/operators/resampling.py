@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from tarnfold.operators.trainer import ADDING, _added
 from tarnfold.session import cut_lineage
 
-#: Rows of a block while there are at most ``MOST_BLOCKS``; rows of a strip.
-BLOCK_ROWS, MOST_BLOCKS, STRIP = 16_384, 1 << 20, 2_048
+#: Rows of a block while there are at most ``MOST_BLOCKS``; rows of a strip, and rows whose columns are held at a time.
+BLOCK_ROWS, MOST_BLOCKS, STRIP, ROWS = 16_384, 1 << 20, 2_048, 256
 
 
 class Tree:
@@ -70,9 +70,11 @@ class Drawn:
 
         def run(table: pa.Table) -> pa.Table:
             order = table.take(pa.array(np.argsort(table.column("_h").to_numpy(), kind="stable")))
-            values, total = columns(order), 0.0
+            total = 0.0
             for at, times in tree.strips(int(order.column("_block")[0].as_py()), order.num_rows):
-                total = total + times @ values[at]
+                for k in range(at.start, at.stop, ROWS):  # columns of few rows at a time: they may be thousands
+                    size = min(ROWS, at.stop - k)
+                    total = total + times[:, k - at.start:k - at.start + size] @ columns(order.slice(k, size))
             return pa.table({"key": pa.array([0], pa.int64()), "sums": pa.array([np.ravel(total)], pa.list_(pa.float64())), "tops": pa.array([[]], pa.list_(pa.float64()))})
 
         found = _added(self.rows.select("_h", "_block", *needed).groupBy("_block").applyInArrow(run, ADDING))

@@ -62,3 +62,21 @@ def test_width_of_the_interval_follows_the_table(table):
 def test_of_nothing(spark):
     drawn = R.Drawn(spark.createDataFrame([], "id long, q double"), ["id"])
     assert R.mean_intervals(drawn, ["q"]).first()["mean"] is None and drawn.multiplicities("id").count() == 0
+
+
+def test_columns_are_made_of_few_rows_at_a_time(spark, tmp_path):
+    """Columns of a row may be thousands, so a task holds those of at most ROWS rows; the sums are those of the listed draws."""
+    from tarnfold.operators import resampling as R
+
+    df = spark.createDataFrame([(i, float(i)) for i in range(1000)], "id long, x double")
+    drawn = R.Drawn(df, ["id"], replicates=3)
+
+    def columns(table):
+        with open(f"{tmp_path}/sizes", "a") as f:
+            f.write(f"{table.num_rows} ")
+        return np.stack([table.column("x").to_numpy(), np.ones(table.num_rows)], axis=1)
+
+    got = drawn.sums(columns, "x")
+    assert max(map(int, (tmp_path / "sizes").read_text().split())) <= 256
+    want = {r.replicate: (r.x, r.n) for r in drawn.multiplicities("x").groupBy("replicate").agg(F.sum(F.col("times") * F.col("x")).alias("x"), F.sum("times").alias("n")).collect()}
+    assert np.allclose(got, [want[k] for k in range(3)]) and (got[:, 1] == 1000).all()
