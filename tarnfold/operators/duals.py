@@ -2,8 +2,9 @@
 
 Every row keeps its multiplier and its kernel sum f = sum of multiplier * sign * kernel over all rows. A round takes the ``working`` rows that violate the optimality conditions
 most (half of them above, half below), solves the dual over these exactly with all other multipliers fixed, and adds what changed to every row's f:
-rows against at most ``working`` broadcast rows, in strips. There is no Gram matrix, no feature map and no shuffle of rows; a round is one pass. Rounds end when no
-pair of rows violates the conditions by more than ``tol``.
+rows against at most ``working`` broadcast rows, in strips. There is no Gram matrix and a round is one pass. Rounds end when no
+pair of rows violates the conditions by more than ``tol``. Tables larger than a working set start from the multipliers of a fit on a finite map of the kernel; the
+rounds, the offset and the gap use the kernel itself.
 
 Rows without a label have no multiplier but are scored all the same: test rows ride along. Rows with a null vector are left out. With rows of
 one class only, all multipliers are zero and that class is predicted.
@@ -18,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfold.operators.blocks import kernel_strips
+from tarnfold.operators.blocks import kernel_strips, over_block_pairs
+from tarnfold.operators.trainer import WIDTHS, Design, Moments, fit_designs
 from tarnfold.session import cut_lineage
 
 #: Rows of a working set; its kernel matrix is all that is held at once.
 WORKING = 1024
+#: Rows that landmarks of the start are picked from, most landmarks, and the share of the largest kernel value they may leave unexplained there.
+SAMPLE, LANDMARKS, LEAST = 4096, 512, 1e-9
 
 
 def kernel_matrix(left: np.ndarray, right: np.ndarray, kernel) -> np.ndarray:
@@ -90,6 +94,8 @@ def fit_dual(df: DataFrame, vector: str, label: str, kernel: tuple, c: float = 1
     cost = F.when(F.col("y") == 1, F.lit(costs.get(1, 0.0))).when(F.col("y") == 0, F.lit(costs.get(0, 0.0))).otherwise(F.lit(0.0))
     state = cut_lineage(given.select(F.monotonically_increasing_id().alias("row"), (2.0 * F.col("y") - 1.0).alias("s"), "x", F.lit(0.0).alias("alpha"), F.lit(0.0).alias("f"), cost.alias("cost"), *keep))
     rounds = 0
+    if len(counts) == 2 and total > working:
+        state = _started(state, kernel, counts, costs, total, tol)
     while len(counts) == 2 and rounds < most:
         chosen = _working_set(state, working, tol)
         if chosen is None:
@@ -104,6 +110,77 @@ def fit_dual(df: DataFrame, vector: str, label: str, kernel: tuple, c: float = 1
     return _finish(state, costs, kernel, rounds, counts)
 
 
+def landmarks(x: np.ndarray, kernel, most: int = LANDMARKS, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, inverse root of their kernel matrix) by pivoted Cholesky: the row worst explained by the ones before it comes next, until none is further than
+    ``least`` of the largest value from its explanation."""
+    left = np.array([kernel_matrix(v[None], v[None], kernel)[0, 0] for v in x])
+    floor, factor, at = least * left.max(initial=0.0), np.zeros((len(x), 0)), []
+    while len(at) < min(most, len(x)) and (left > floor).any():
+        i = int(left.argmax())
+        column = (kernel_matrix(x, x[i:i + 1], kernel)[:, 0] - factor @ factor[i]) / left[i] ** 0.5
+        factor, left = np.hstack([factor, column[:, None]]), left - column * column
+        left[i] = 0.0
+        at.append(i)
+    return x[at], np.linalg.inv(factor[at]).T if at else np.zeros((0, 0))
+
+
+def _started(state: DataFrame, kernel, counts: dict, costs: dict, total: int, tol: float) -> DataFrame:
+    """``state`` with multipliers near the optimum. The kernel is replaced by a finite map on landmarks, picked from at most ``SAMPLE`` rows; on that map the
+    grouped trainer fits the hinge, smoothed within half of ``tol``, over all labelled rows, and its multipliers are those of the rows. Kernel sums are then taken with
+    the kernel itself, over all pairs in blocks; the exact rounds that follow need only mend what the map leaves out."""
+    sample = state.filter("s is not null").orderBy(F.xxhash64("row")).limit(SAMPLE).select("x").toArrow().column("x").combine_chunks()
+    points, root = landmarks(sample.flatten().to_numpy(zero_copy_only=False).reshape(len(sample), -1), kernel)
+    size = len(points)
+    if not size:
+        return state
+
+    def mapped(x):
+        return kernel_matrix(x, points, kernel) @ root
+
+    rows = state.filter("s is not null").select(F.lit(0).alias("part"), ((F.col("s") + 1) / 2).cast("int").alias("y"), "x")
+    none = np.zeros(size), np.zeros((size, size)), np.full(size, np.inf), np.full(size, -np.inf)
+    moments = Moments(np.zeros(size), {(0, y): (n, *none) for y, n in counts.items()})
+    design = Design({"model_name": "start"}, frozenset([0]), np.eye(size), np.zeros(size), float(costs[0]))
+    if costs[0] != costs[1]:
+        design.c, design.balanced = costs[0] * 2 * counts[0] / total, True
+    widths = [w for w in WIDTHS if w > tol / 2]
+    while (widths or WIDTHS)[-1] > tol / 2:
+        widths.append(max(tol / 2, (widths or WIDTHS)[-1] / 2))
+    width = widths[-1]
+    fit = fit_designs(rows, moments, [design], 1e-7, widths=widths, mapped=mapped)[0]
+
+    def multipliers(batches):
+        for b in batches:
+            if b.num_rows:
+                x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                s, cost = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("s", "cost"))
+                alpha = np.nan_to_num(cost * np.clip((1.0 - s * (mapped(x) @ fit.w + fit.b)) / width, 0.0, 1.0))
+                yield b.set_column(b.schema.names.index("alpha"), "alpha", pa.array(alpha))
+
+    state = cut_lineage(state.mapInArrow(multipliers, state.schema))
+    # the sum of multiplier times sign is to be zero: free multipliers give way in proportion to their room
+    room = F.when((F.col("alpha") > 0) & (F.col("alpha") < F.col("cost")), F.when(F.col("s") * F.lit(1.0) > 0, F.col("alpha")).otherwise(F.col("cost") - F.col("alpha"))).otherwise(F.lit(0.0))
+    other = F.when(room > 0, F.col("cost") - room).otherwise(F.lit(0.0))
+    over, down, up = state.filter("s is not null").agg(F.sum(F.col("alpha") * F.col("s")), F.sum(room), F.sum(other)).first()
+    free = down if over > 0 else up
+    if abs(over) > 0.5 * free:
+        return state.withColumns({"alpha": F.lit(0.0), "f": F.lit(0.0)})
+    if over:
+        state = state.withColumn("alpha", F.when(room > 0, F.col("alpha") - F.col("s") * F.lit(over / free) * (room if over > 0 else other)).otherwise(F.col("alpha")))
+
+    def sums(left, right):
+        found = [{"_row": a["_row"], "f": np.zeros(len(a["_v"]))} for a in (left, right)]
+        for at, to, (k,) in kernel_strips(left["_v"], right["_v"], [kernel]):
+            found[0]["f"][at] += k @ right["given"][to]
+            found[1]["f"][to] += left["given"][at] @ k
+        return found
+
+    state = cut_lineage(state)
+    given = state.select(F.col("row").alias("_row"), F.col("x").alias("_v"), F.coalesce(F.col("alpha") * F.col("s"), F.lit(0.0)).alias("given"))
+    f = over_block_pairs(given, sums, "_row long, f double").groupBy("_row").agg(F.sum("f").alias("f"))
+    return cut_lineage(state.drop("f").join(f.withColumnRenamed("_row", "row"), "row").select(*state.columns))
+
+
 def _working_set(state: DataFrame, working: int, tol: float):
     g = (F.col("s") - F.col("f")).alias("g")
     up = F.when(F.col("s") > 0, F.col("alpha") < F.col("cost")).otherwise(F.col("alpha") > 0)
