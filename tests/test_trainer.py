@@ -212,3 +212,13 @@ def test_dual_of_one_class(spark):
     model = D.fit_dual(spark.createDataFrame([([1.0], 0), ([2.0], 0)], "x array<double>, y int"), "x", "y", ("rbf", 1.0, 0.0))
     assert [r.pred for r in model.rows.collect()] == [0, 0] and model.rounds == 0 and model.support().first().n_support == 0
     assert D.fit_dual(spark.createDataFrame([], "x array<double>, y int"), "x", "y", ("rbf", 1.0, 0.0)).rows.count() == 0
+
+
+def test_dual_starts_near_its_optimum(spark, monkeypatch):
+    """Rows beyond a working set do not take a round for every few of them."""
+    x, y, _ = cloud(200, seed=8)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id long, x array<double>, y int").coalesce(2)
+    model = D.fit_dual(df, "x", "y", ("linear", 1.0, 0.0), 0.1, keep=["id"], working=24)
+    assert model.rounds <= 3 and model.gap <= 2e-3 * model.objective
+    monkeypatch.setattr(D, "_started", lambda state, *given: state)
+    assert D.fit_dual(df, "x", "y", ("linear", 1.0, 0.0), 0.1, keep=["id"], working=24, most=4).rounds == 4
