@@ -11,6 +11,7 @@ A null text is empty and gives one piece of one end id. Repeated rows are packed
 
 from __future__ import annotations
 
+import string
 import zlib
 
 import numpy as np
@@ -23,25 +24,78 @@ from tarnfold.llm.common import keep, once, table
 
 #: Pieces of a packing group; a group ends with one or two sequences that are not full.
 GROUP = 4000
-#: Words whose ids a worker remembers; as many older ones are kept that come back when they are met again.
+#: Pieces of words whose ids a worker remembers; as many older ones are kept that come back when they are met again.
 CACHE = 400_000
-TAILS = b".,;:!?*#$%&|()[]\"-"
+#: Bytes of texts that are looked at together; a longer text is looked at alone.
+TOGETHER = 1 << 22
+#: Kinds of bytes: white space, letters, first bytes of Latin letters, punctuation that parts from letters and digits for certain, digits, others, and those others whose
+#: case is left alone.
+SPACE, LETTER, LATIN, MARK, DIGIT, OTHER, AS_IS = range(7)
+BLANK = b" \t\n\v\f\r"
+
+
+def _kinds() -> bytes:
+    kind = bytearray([OTHER] * 128 + [AS_IS] * 128)
+    for of, found in ((SPACE, BLANK), (LETTER, string.ascii_letters.encode()), (LATIN, range(0xC3, 0xC9)), (MARK, string.punctuation.encode()), (DIGIT, string.digits.encode()),
+                      (OTHER, b"'"), (AS_IS, b"|")):
+        for byte in found:
+            kind[byte] = of
+    return bytes(kind)
+
+
+KIND, LOWER = _kinds(), bytes(range(256)).lower()
+
+
+def cut_words(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number of the first piece of each text and of the end, all pieces) of texts that lie one after another; white space is left out."""
+    kind = np.frombuffer(bytearray(data.translate(KIND)), np.uint8)
+    # letters of two bytes, U+00C0 to U+023F but for two signs and for U+0130, whose lower case is two characters
+    at = np.flatnonzero(kind[:-1] == LATIN)
+    raw = np.frombuffer(data, np.uint8)
+    two = raw[at].astype(np.uint16) << 8 | raw[at + 1]
+    kind[at] = kind[at + 1] = np.where((two == 0xC397) | (two == 0xC3B7) | (two == 0xC4B0), AS_IS, LETTER)
+    other, space = kind >= OTHER, kind == SPACE
+    begins = np.ones(len(kind) + 1, bool)
+    begins[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    begins[1:-1] &= ~(other[1:] | other[:-1])
+    begins[1:-1] |= space[1:] | space[:-1]
+    begins[offsets] = True
+    place = np.flatnonzero(begins[:-1] & ~space)
+    ends = np.cumsum(np.append(0, np.flatnonzero(begins[1:] & ~space) + 1 - place))
+    low, odd = bytearray(data.translate(LOWER, BLANK)), np.flatnonzero(kind == AS_IS)
+    if len(odd):
+        own = np.unique(np.searchsorted(place, odd, "right") - 1)
+        for at, a, b in zip(place[own].tolist(), ends[own].tolist(), ends[own + 1].tolist()):
+            low[a:b] = data[at:at + b - a]
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(place), [None, pa.py_buffer(ends), pa.py_buffer(low)])
+    return np.searchsorted(place, offsets), pieces
+
+
+def _parts(column: pa.Array, some=slice(None)) -> tuple[list[int], bytes]:
+    """(where values begin, and the end; the bytes of all) of a large binary column; only ``some`` of the places."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1] if offsets else np.zeros(1, np.int64)
+    return ends[some].tolist(), data.to_pybytes() if data else b""
 
 
 class WordEncoder:
     """Token ids of a text as little-endian unsigned 32-bit numbers.
 
-    White space always parts tokens in this vocabulary and leaves none, so a text's ids are those of its words in a row,
-    and each distinct word is encoded once in a while. ASCII words are remembered in lower case, as the vocabulary's own
-    normalizer makes them, and words of letters apart from the punctuation they end with; words with ``<|`` may hold special strings and are
-    left as they are. Words of letters only are encoded many at a time: each gives ids of which just the last ends a word.
+    White space always parts tokens in this vocabulary and leaves none, and its pattern parts letters, digits and punctuation. So texts are cut at white space,
+    around digits and between letters and ASCII punctuation, all at once by kinds of bytes, and each distinct piece is encoded once in a while. No cut is made
+    beside an apostrophe (the pattern knows some endings), a bar (special strings hold one), a control character or a character that is neither ASCII nor a Latin letter;
+    pieces with a bar or such a character keep their case, as normal forms and special strings depend on it. Pieces of letters only
+    are encoded many at a time, without the vocabulary's normalizer and pattern, which leave such words as they are: each gives ids of which just the last ends a word.
     """
 
     def __init__(self, path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.model, self.held, self.older = Tokenizer.from_file(path), {b"": b""}, {}
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.model, self.held, self.older = Tokenizer.from_file(path), {}, {}
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(max(self.model.get_vocab().values()) + 1, bool)
         for token, number in self.model.get_vocab().items():
             self.ends[number] = token.endswith("</w>")
@@ -61,43 +115,40 @@ class WordEncoder:
         out = {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(odd, self.model.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False))} if odd else {}
         for k in range(0, len(plain), 1000):
             some = plain[k:k + 1000]
-            ids = np.array(self.model.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.words.encode_batch_fast([b" ".join(some).decode().lower()], add_special_tokens=False)[0].ids, "<u4")
             cuts, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
             out.update(zip(some, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
         return out
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         if len(self.held) > CACHE:
-            self.held, self.older = {b"": b""}, self.held
+            self.held, self.older = {}, self.held
         held, older = self.held, self.older
-        new = words - held.keys()
-        back = new & older.keys()
-        held.update({w: older[w] for w in back})
-        parts = {w: self._parts(w) for w in new - back}
-        wanted = {p for two in parts.values() for p in two if p} - held.keys()
-        back = wanted & older.keys()
-        held.update({w: older[w] for w in back})
-        held.update(self._encode(list(wanted - back)))
-        held.update({w: held[stem] + held[tail] if tail else held[stem] for w, (stem, tail) in parts.items()})
-
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, bytes]:
-        """A word and the punctuation at its end, where the vocabulary's pattern parts them for certain."""
-        if b"<|" in word:
-            return word, b""
-        stem = word.rstrip(TAILS)
-        if not word.isascii():
-            return (stem, word[len(stem):]) if WordEncoder._plain(stem) else (word, b"")
-        return (stem.lower(), word[len(stem):]) if stem.isalnum() else (word.lower(), b"")
+        new = [w for w in words if w not in held]
+        held.update((w, older[w]) for w in new if w in older)
+        held.update(self._encode([w for w in new if w not in older]))
+
+    def _ids(self, texts: list[bytes]):
+        offsets = np.cumsum([0, *map(len, texts)])
+        first, pieces = cut_words(b"".join(texts), offsets)
+        pieces = pieces.dictionary_encode()
+        ends, data = _parts(pieces.dictionary)
+        words = [data[a:b] for a, b in zip(ends, ends[1:])]
+        self.learn(words)
+        ends, data = _parts(pa.array(map(self.held.__getitem__, words), pa.large_binary()).take(pieces.indices), first)
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
 
     def ids(self, texts: list[bytes]):
         """Ids of each text, in turn."""
-        for k in range(0, len(texts), 500):
-            split = [t.split() for t in texts[k:k + 500]]
-            self.learn(set().union(*split))
-            held = self.held
-            for words in split:
-                yield b"".join([held[w] for w in words])
+        some, size = [], 0
+        for t in texts:
+            if some and size + len(t) > TOGETHER:
+                yield from self._ids(some)
+                some, size = [], 0
+            some.append(t)
+            size += len(t)
+        if some:
+            yield from self._ids(some)
 
 
 def piece_rows(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, text_col: str) -> DataFrame:

@@ -38,6 +38,28 @@ def test_ids_equal_the_library():
     assert got == [np.array(encoder.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
+def test_pieces_are_encoded_once_and_ids_equal_the_library(monkeypatch):
+    encoder, encoded = packing.WordEncoder(WORDS), []
+    own = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda words: encoded.extend(words) or own(words))
+    texts = [f"Call {i * 7919:09d} (or +1-{i:04d}), 'Word' word,word. WORD/{i}#word; ÉCOLE, école: {i}" for i in range(1000)]
+    want = [want_of(encoder, t) for t in texts]
+    assert list(encoder.ids([t.encode() for t in texts])) == want
+    assert len(encoded) < 60  # numbers and words with punctuation are put together from pieces
+    # every character beside letters, digits, punctuation and apostrophes, in chunks and caches of any size
+    texts = [f"aB{c}Bé A{c}, .{c}. 1{c}2 {c}{c} '{c}s a'{c}S <|endoftext|>{c}<|ENDOFTEXT|> H{c}" for c in map(chr, [*range(0x370), 0x1E96, 0x2026, 0x20AC, 0x212A, 0x3000, 0x4E2D, 0xAC00, 0x1F642])]
+    want = [want_of(encoder, t) for t in texts]
+    for together, cache in ((1, 100), (5000, 0), (1 << 22, 400_000)):
+        monkeypatch.setattr(packing, "TOGETHER", together)
+        monkeypatch.setattr(packing, "CACHE", cache)
+        assert list(encoder.ids([t.encode() for t in texts])) == want
+    assert list(encoder.ids([])) == [] and list(encoder.ids([b"", b" ", b"", b"a "])) == [b"", b"", b"", want_of(encoder, "a")]
+
+
+def want_of(encoder, text):
+    return np.array(encoder.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_best_two_fit_fills_well_and_keeps_all():
     rng = np.random.default_rng(3)
     for lengths in (rng.integers(1, 2049, 4000), rng.integers(300, 900, 3000), np.full(500, 1025), np.array([2048]), np.array([1] * 3000), np.zeros(0, int)):
