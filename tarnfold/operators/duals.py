@@ -3,8 +3,8 @@
 Every row keeps its multiplier and its kernel sum f = sum of multiplier * sign * kernel over all rows. A round takes the ``working`` rows that violate the optimality conditions
 most (half of them above, half below), solves the dual over these exactly with all other multipliers fixed, and adds what changed to every row's f:
 rows against at most ``working`` broadcast rows, in strips. There is no Gram matrix and a round is one pass. Rounds end when no
-pair of rows violates the conditions by more than ``tol``. Tables larger than a working set start from the multipliers of a fit on a finite map of the kernel; the
-rounds, the offset and the gap use the kernel itself.
+pair of rows violates the conditions by more than ``tol``. Tables larger than a working set start from the multipliers of a fit on a finite map of the kernel, which ends
+as soon as the rows it leaves open fit a working set; the rounds, the offset and the gap use the kernel itself.
 
 Rows without a label have no multiplier but are scored all the same: test rows ride along. Rows with a null vector are left out. With rows of
 one class only, all multipliers are zero and that class is predicted.
@@ -95,7 +95,7 @@ def fit_dual(df: DataFrame, vector: str, label: str, kernel: tuple, c: float = 1
     state = cut_lineage(given.select(F.monotonically_increasing_id().alias("row"), (2.0 * F.col("y") - 1.0).alias("s"), "x", F.lit(0.0).alias("alpha"), F.lit(0.0).alias("f"), cost.alias("cost"), *keep))
     rounds = 0
     if len(counts) == 2 and total > working:
-        state = _started(state, kernel, counts, costs, total, tol)
+        state = _started(state, kernel, counts, costs, total, tol, working)
     while len(counts) == 2 and rounds < most:
         chosen = _working_set(state, working, tol)
         if chosen is None:
@@ -114,20 +114,21 @@ def landmarks(x: np.ndarray, kernel, most: int = LANDMARKS, least: float = LEAST
     """(rows, inverse root of their kernel matrix) by pivoted Cholesky: the row worst explained by the ones before it comes next, until none is further than
     ``least`` of the largest value from its explanation."""
     left = np.array([kernel_matrix(v[None], v[None], kernel)[0, 0] for v in x])
-    floor, factor, at = least * left.max(initial=0.0), np.zeros((len(x), 0)), []
-    while len(at) < min(most, len(x)) and (left > floor).any():
-        i = int(left.argmax())
-        column = (kernel_matrix(x, x[i:i + 1], kernel)[:, 0] - factor @ factor[i]) / left[i] ** 0.5
-        factor, left = np.hstack([factor, column[:, None]]), left - column * column
+    floor, columns, at = least * left.max(initial=0.0), np.zeros((min(most, len(x)), len(x))), []
+    while len(at) < len(columns) and (left > floor).any():
+        i, k = int(left.argmax()), len(at)
+        columns[k] = (kernel_matrix(x, x[i:i + 1], kernel)[:, 0] - columns[:k, i] @ columns[:k]) / left[i] ** 0.5
+        left -= columns[k] * columns[k]
         left[i] = 0.0
         at.append(i)
-    return x[at], np.linalg.inv(factor[at]).T if at else np.zeros((0, 0))
+    return x[at], np.linalg.inv(columns[:len(at), at].T).T if at else np.zeros((0, 0))
 
 
-def _started(state: DataFrame, kernel, counts: dict, costs: dict, total: int, tol: float) -> DataFrame:
+def _started(state: DataFrame, kernel, counts: dict, costs: dict, total: int, tol: float, working: int) -> DataFrame:
     """``state`` with multipliers near the optimum. The kernel is replaced by a finite map on landmarks, picked from at most ``SAMPLE`` rows; on that map the
-    grouped trainer fits the hinge, smoothed within half of ``tol``, over all labelled rows, and its multipliers are those of the rows. Kernel sums are then taken with
-    the kernel itself, over all pairs in blocks; the exact rounds that follow need only mend what the map leaves out."""
+    grouped trainer fits the smoothed hinge over all labelled rows, and its multipliers are those of the rows. The smoothing narrows until at most ``working`` rows lie within
+    its corner, or to half of ``tol``: rows beyond it have their multipliers at a bound already, so that an exact round settles the others at once where further rounds of
+    the fit would move them one by one. Kernel sums are then taken with the kernel itself, over all pairs in blocks; the exact rounds that follow also mend what the map leaves out."""
     sample = state.filter("s is not null").orderBy(F.xxhash64("row")).limit(SAMPLE).select("x").toArrow().column("x").combine_chunks()
     points, root = landmarks(sample.flatten().to_numpy(zero_copy_only=False).reshape(len(sample), -1), kernel)
     size = len(points)
@@ -146,15 +147,14 @@ def _started(state: DataFrame, kernel, counts: dict, costs: dict, total: int, to
     widths = [w for w in WIDTHS if w > tol / 2]
     while (widths or WIDTHS)[-1] > tol / 2:
         widths.append(max(tol / 2, (widths or WIDTHS)[-1] / 2))
-    width = widths[-1]
-    fit = fit_designs(rows, moments, [design], 1e-7, widths=widths, mapped=mapped)[0]
+    fit = fit_designs(rows, moments, [design], 1e-7, widths=widths, mapped=mapped, few=working)[0]
 
     def multipliers(batches):
         for b in batches:
             if b.num_rows:
                 x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                 s, cost = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("s", "cost"))
-                alpha = np.nan_to_num(cost * np.clip((1.0 - s * (mapped(x) @ fit.w + fit.b)) / width, 0.0, 1.0))
+                alpha = np.nan_to_num(cost * np.clip((1.0 - s * (mapped(x) @ fit.w + fit.b)) / fit.corner, 0.0, 1.0))
                 yield b.set_column(b.schema.names.index("alpha"), "alpha", pa.array(alpha))
 
     state = cut_lineage(state.mapInArrow(multipliers, state.schema))

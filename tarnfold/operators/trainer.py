@@ -35,8 +35,8 @@ WIDTHS = (2.0, 0.3, 0.05, 0.01)
 LINE = (0.8, 0.6, 0.45, 0.3, 0.2, 0.1, 0.05, 0.02, 0.005, 0.001)
 #: Numbers of one round, or of the moments, that may reach the driver.
 LARGEST = 1 << 27
-#: Task results are added up in this many groups first.
-SALTS = 32
+#: Task results are added up in this many groups first; those of at most so many numbers are fetched as they are.
+SALTS, AT_ONCE = 32, 1 << 22
 
 
 def study_rows(df: DataFrame, vector: str, label: str, part: str, *keep: str) -> DataFrame:
@@ -93,8 +93,16 @@ def _blocks(batches):
                 yield part[k:k + CHUNK], y[k:k + CHUNK], x[k:k + CHUNK]
 
 
-def _added(df: DataFrame) -> list:
-    """(key, sums, tops) of rows (key, sums, tops): arrays added and maximized by key, in two steps so that no group has a row for each task."""
+def _added(df: DataFrame, numbers: int | None = None) -> list:
+    """(key, sums, tops) of rows (key, sums, tops): arrays added and maximized by key, in two steps so that no group has a row for each task. Where all rows together are known
+    to hold few ``numbers``, they are added here, task by task, without a shuffle."""
+    if numbers is not None and numbers <= AT_ONCE:
+        out, found = df.select("key", "sums", "tops").toArrow(), {}
+        for k, *own in zip(*(out.column(c) for c in ("key", "sums", "tops"))):
+            s, t = (np.asarray(a.values, float) for a in own)
+            old = found.get(k.as_py())
+            found[k.as_py()] = (s, t) if old is None else (old[0] + s, np.maximum(old[1], t))
+        return [(k, s, t) for k, (s, t) in found.items()]
     schema = "key long, salt int, sums array<double>, tops array<double>"
 
     def add(t: pa.Table) -> pa.Table:
@@ -237,6 +245,7 @@ class Fit:
     gap: float = 0.0  # the objective is at most this much above the best one
     rounds: int = 0
     only: int | None = None  # the class of all rows, if there is one only
+    corner: float = 0.0  # width of the smoothing at the end
 
     @property
     def width(self) -> float:
@@ -300,8 +309,8 @@ def smooth_sum(u: np.ndarray, cost: np.ndarray, width: float) -> float:
 
 
 def _round(blocks: DataFrame, trials: list) -> dict:
-    """{model: (values of the smoothed loss along the step, its value, that of the hinge, sum of multipliers, gradient, curvature)} of the trials (model, design, start,
-    step, length, costs by class, width), at the length."""
+    """{model: (values of the smoothed loss along the step, its value, that of the hinge, sum of multipliers, rows in the corner, gradient, curvature)} of the trials (model,
+    design, start, step, length, costs by class, width), at the length."""
     def run(batches):
         found = {}
         for part, y, x in _blocks(batches):
@@ -325,16 +334,16 @@ def _round(blocks: DataFrame, trials: list) -> dict:
                 line = [smooth_sum(first + t * change, cost, width) for t in LINE]
                 band = np.flatnonzero((u > 0) & (u < width))
                 q = p[band]
-                stats = np.concatenate([line, [smooth_sum(u, cost, width), cost @ above, slope.sum()], -((slope * s) @ p), ((q * (cost[band] / width)[:, None]).T @ q).ravel()])
+                stats = np.concatenate([line, [smooth_sum(u, cost, width), cost @ above, slope.sum(), len(band)], -((slope * s) @ p), ((q * (cost[band] / width)[:, None]).T @ q).ravel()])
                 found[k] = (found[k][0] + stats if k in found else stats, np.zeros(0))
         if found:
             yield _sums_batch(found)
 
-    out = {}
-    for k, s, _ in _added(blocks.mapInArrow(run, ADDING)):
-        line, (value, hinge, multipliers), rest = s[:len(LINE)], s[len(LINE):len(LINE) + 3], s[len(LINE) + 3:]
+    out, each = {}, sum(len(LINE) + 4 + len(start) * (len(start) + 1) for _, _, start, *_ in trials)
+    for k, s, _ in _added(blocks.mapInArrow(run, ADDING), each * blocks.rdd.getNumPartitions()):
+        line, (value, hinge, multipliers, corner), rest = s[:len(LINE)], s[len(LINE):len(LINE) + 4], s[len(LINE) + 4:]
         size = round(((4 * len(rest) + 1) ** 0.5 - 1) / 2)  # the gradient and its square
-        out[k] = (line, value, hinge, multipliers, rest[:size], rest[size:].reshape(size, size))
+        out[k] = (line, value, hinge, multipliers, int(corner), rest[:size], rest[size:].reshape(size, size))
     return out
 
 
@@ -350,11 +359,12 @@ class _Moving:
     stage: int = 0
     rounds: int = 0
     settled: bool = True  # the length is the one to take
+    corner: int = 0  # rows within the smoothing at the accepted point
 
 
-def fit_designs(rows: DataFrame, moments: Moments, designs: list, tol: float = 1e-9, most: int = 300, widths=WIDTHS, mapped: Callable | None = None) -> list:
-    """A ``Fit`` for every design. ``most`` bounds the rounds; models that still move then say so by their gap. ``widths`` are the stages of the smoothing; ``mapped``
-    goes before the designs' own maps."""
+def fit_designs(rows: DataFrame, moments: Moments, designs: list, tol: float = 1e-9, most: int = 300, widths=WIDTHS, mapped: Callable | None = None, few: int = -1) -> list:
+    """A ``Fit`` for every design. ``most`` bounds the rounds; models that still move then say so by their gap. ``widths`` are the stages of the smoothing, of which the last is
+    the first that leaves at most ``few`` rows within its corner; ``mapped`` goes before the designs' own maps."""
     if sum((d.axes.shape[1] + 1) ** 2 for d in designs) > LARGEST:
         raise ValueError("too many inputs for curvature matrices; use fit_margin, which keeps gradients only")
     fits, moving, costs, weight = [], {}, {}, {}
@@ -372,7 +382,7 @@ def fit_designs(rows: DataFrame, moments: Moments, designs: list, tol: float = 1
             break
         stats = _round(blocks, [(k, designs[k], m.at, m.step, m.length, costs[k], widths[m.stage]) for k, m in moving.items()])
         for k, m in list(moving.items()):
-            line, loss, hinge, multipliers, gradient, curvature = stats[k]
+            line, loss, hinge, multipliers, corner, gradient, curvature = stats[k]
             m.rounds += 1
             point = m.at + m.length * m.step
             half = 0.5 * float(point[:-1] @ point[:-1])
@@ -395,9 +405,9 @@ def fit_designs(rows: DataFrame, moments: Moments, designs: list, tol: float = 1
                 curvature = curvature + np.diag(np.append(np.ones(len(point) - 1), 1e-4 * weight[k]))
                 m.step = -np.linalg.solve(curvature, gradient)
                 rest = point[:-1] - gradient[:-1]  # the weights that the multipliers give
-                m.at, m.length, m.value, m.slope, m.settled = point, 1.0, half + loss, float(gradient @ m.step), False
-                fits[k] = Fit(designs[k], point[:-1], float(point[-1]), half + hinge, max(0.0, half + hinge - multipliers + 0.5 * float(rest @ rest) + abs(gradient[-1]) * (1 + abs(point[-1]))), m.rounds)
-            last = m.stage + 1 == len(widths)
+                m.at, m.length, m.value, m.slope, m.settled, m.corner = point, 1.0, half + loss, float(gradient @ m.step), False, corner
+                fits[k] = Fit(designs[k], point[:-1], float(point[-1]), half + hinge, max(0.0, half + hinge - multipliers + 0.5 * float(rest @ rest) + abs(gradient[-1]) * (1 + abs(point[-1]))), m.rounds, corner=widths[m.stage])
+            last = m.stage + 1 == len(widths) or m.corner <= few
             if -m.slope <= (tol if last else 1e-3) * max(abs(m.value), 1e-12) or moved <= 1e-14 * abs(m.value):
                 if last:
                     del moving[k]

@@ -222,3 +222,21 @@ def test_dual_starts_near_its_optimum(spark, monkeypatch):
     assert model.rounds <= 3 and model.gap <= 2e-3 * model.objective
     monkeypatch.setattr(D, "_started", lambda state, *given: state)
     assert D.fit_dual(df, "x", "y", ("linear", 1.0, 0.0), 0.1, keep=["id"], working=24, most=4).rounds == 4
+
+
+@pytest.mark.parametrize("kernel", [("linear", 1.0, 0.0), ("poly", 0.2, 1.0), ("rbf", 0.1, 0.0)])
+def test_start_of_a_dual_ends_at_a_working_set(spark, monkeypatch, kernel):
+    """The start's smoothing narrows until a working set can hold the rows within it, not to the tolerance; exact rounds bring the same optimum."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 4))
+    y = (x[:, 0] + rng.normal(size=600) > 0).astype(int)
+    fits, old = [], D.fit_designs
+    monkeypatch.setattr(D, "fit_designs", lambda *given, **named: fits.extend(old(*given, **named)) or fits)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id long, x array<double>, y int").coalesce(2)
+    model = D.fit_dual(df, "x", "y", kernel, keep=["id"], working=128)
+    assert fits[0].rounds <= 30 and model.rounds <= 12
+    k, s = D.kernel_matrix(x, x, kernel), 2.0 * y - 1
+    alpha = D.solve_working(k, s, np.zeros(600), np.zeros(600), np.ones(600), 1e-6)
+    best = alpha.sum() - 0.5 * (alpha * s) @ k @ (alpha * s)
+    assert model.objective == pytest.approx(best, rel=1e-4) and model.gap <= 1e-4 * best
+    assert model.width == pytest.approx(2 / ((alpha * s) @ k @ (alpha * s)) ** 0.5, rel=1e-3)
