@@ -240,3 +240,24 @@ def test_start_of_a_dual_ends_at_a_working_set(spark, monkeypatch, kernel):
     best = alpha.sum() - 0.5 * (alpha * s) @ k @ (alpha * s)
     assert model.objective == pytest.approx(best, rel=1e-4) and model.gap <= 1e-4 * best
     assert model.width == pytest.approx(2 / ((alpha * s) @ k @ (alpha * s)) ** 0.5, rel=1e-3)
+
+
+def test_few_numbers_are_added_without_a_shuffle(spark, monkeypatch):
+    """A round of a small model is one pass; its sums are those of the two steps."""
+    x, y, _ = cloud(200, seed=4)
+    rows = T.study_rows(spark.createDataFrame([(0, int(c), v.tolist()) for v, c in zip(x, y)], "p int, y int, v array<double>").repartition(5), "v", "y", "p")
+    blocks = T.packed(rows)
+    design = T.Design({"p": 0}, frozenset([0]), np.eye(6), np.zeros(6))
+    trials = [(k, design, np.full(7, 0.1 * k), np.ones(7), 0.5, np.ones(2), 0.3) for k in (0, 1)]
+    grouped, old = [], type(blocks).groupBy
+    monkeypatch.setattr(type(blocks), "groupBy", lambda df, *by: grouped.append(by) or old(df, *by))
+    here = T._round(blocks, trials)
+    assert not grouped
+    monkeypatch.setattr(T, "AT_ONCE", 0)
+    there = T._round(blocks, trials)
+    assert grouped and here.keys() == there.keys() == {0, 1}
+    for k in here:
+        assert all(np.allclose(a, b, rtol=1e-12, atol=1e-12) for a, b in zip(here[k], there[k]))
+        s = 2.0 * y - 1
+        u = 1 - s * (x @ (trials[k][2] + 0.5)[:6] + trials[k][2][6] + 0.5)
+        assert here[k][4] == np.sum((u > 0) & (u < 0.3)) and here[k][2] == pytest.approx(np.maximum(u, 0).sum())
