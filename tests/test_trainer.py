@@ -261,3 +261,26 @@ def test_few_numbers_are_added_without_a_shuffle(spark, monkeypatch):
         s = 2.0 * y - 1
         u = 1 - s * (x @ (trials[k][2] + 0.5)[:6] + trials[k][2][6] + 0.5)
         assert here[k][4] == np.sum((u > 0) & (u < 0.3)) and here[k][2] == pytest.approx(np.maximum(u, 0).sum())
+
+
+def test_support_of_many_copies(spark, monkeypatch):
+    """Copies with either label beyond a working set stay within the corner at every width; support rows are those of the optimum."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(300, 3)), np.tile([0.2, -0.1, 0.4], (150, 1))])
+    y = np.concatenate([(x[:300, 0] + 0.7 * rng.normal(size=300) > 0).astype(int), np.arange(150) % 2])
+    fits, old = [], D.fit_designs
+    monkeypatch.setattr(D, "fit_designs", lambda *given, **named: fits.extend(old(*given, **named)) or fits)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id long, x array<double>, y int").coalesce(2)
+    kernel = ("rbf", 0.25, 0.0)
+    model = D.fit_dual(df, "x", "y", kernel, keep=["id"], working=96)
+    assert fits[0].rounds + model.rounds <= 40 and model.gap <= 2e-4 * model.objective
+    k, s = D.kernel_matrix(x, x, kernel), 2.0 * y - 1
+    alpha = D.solve_working(k, s, np.zeros(450), np.zeros(450), np.ones(450), 1e-6)
+    mine = {r.id: r.alpha for r in model.rows.collect()}
+    score = {r.id: r.score for r in model.rows.collect()}
+    assert model.objective == pytest.approx(alpha.sum() - 0.5 * (alpha * s) @ k @ (alpha * s), rel=1e-4)
+    out = [i for i in range(450) if s[i] * score[i] > 1.01]
+    within = [i for i in range(450) if s[i] * score[i] < 0.99]
+    assert len(out) > 50 and all(mine[i] == 0 for i in out) and all(mine[i] == 1 for i in within)
+    r = model.support().first()
+    assert len(within) <= r.n_bound <= r.n_support <= 450 - len(out) and r.n_support == r.n_support_0 + r.n_support_1
